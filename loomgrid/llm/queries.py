@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import mixing, packing, simhash
+from loomgrid.llm import mixing, packing, quality_rules, simhash
 from loomgrid.llm.common import table
 
 
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.trusted_documents(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -29,7 +34,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_packing": op3_packing, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
