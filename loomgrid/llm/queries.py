@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import mixing, packing, quality_rules, simhash
+from loomgrid.llm import mixing, packing, quality_rules, simhash, warc
 from loomgrid.llm.common import table
 
 
@@ -33,8 +33,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash}
+    return {"op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
