@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import mixing, packing, quality_rules, simhash, warc
-from loomgrid.llm.common import table
+from loomgrid.llm import compress_quality, langid, mixing, packing, quality_rules, simhash, warc
+from loomgrid.llm.common import fold, table
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs, quality_rules.trusted_documents(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = compress_quality.learn(compress_quality.sample(docs, labels.where(fold(F.col("doc_id"), 5) != 0)))
+    scores = compress_quality.scored(docs, model)
+    return scores.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(fold(F.col("doc_id"), 4) != 2))
+    return langid.predicted(docs, model).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op3_packing": op3_packing, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+    return {"op1_quality_rules": op1_quality_rules, "op2_compression": op2_compression, "op3_packing": op3_packing, "op7_language": op7_language, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
