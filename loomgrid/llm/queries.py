@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import ann, compress_quality, langid, lattice_lm, mixing, packing, quality_rules, simhash, warc
+from loomgrid.llm import ann, bwt_dedup, compress_quality, langid, lattice_lm, mixing, packing, quality_rules, simhash, warc
 from loomgrid.llm.common import fold, table
 
 
@@ -41,6 +41,10 @@ def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.spans(table(spark, sf_dir, "documents"))
+
+
 def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = lattice_lm.scored(docs, fold(F.col("doc_id"), 5) != 1, tokenizer_path("piece_bpe_32k.model"))
@@ -63,7 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_compression": op2_compression, "op3_packing": op3_packing, "op4_multi_index": op4_multi_index, "op6_lattice_lm": op6_lattice_lm, "op7_language": op7_language, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+    return {"op1_quality_rules": op1_quality_rules, "op2_compression": op2_compression, "op3_packing": op3_packing, "op4_multi_index": op4_multi_index, "op5_bwt_dedup": op5_bwt_dedup, "op6_lattice_lm": op6_lattice_lm, "op7_language": op7_language, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
