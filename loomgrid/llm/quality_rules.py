@@ -1,8 +1,9 @@
 """Quality rules: base counts of a text and a hashed n-gram log-likelihood ratio with a fixed threshold.
 
 Two multinomials over ``SLOTS`` hash slots of word n-grams are counted over whole tables: the trusted one from the
-rows marked as trusted, the raw one from all rows. A document's score is the mean, over its n-grams, of the log of the
-ratio of the smoothed slot probabilities. It is kept if it passes the base rules and its score is at least
+rows marked as trusted, the raw one from all rows. The trusted one has a prior centred on the raw one, so a slot with
+few n-grams has a ratio near 1. A document's score is the mean, over its n-grams, of the log of the ratio of the slot's
+probabilities. It is kept if it passes the base rules and its score is at least
 ``threshold``; the threshold is a constant, so a document's verdict depends on no sample and no quantile.
 
 Everything is DataFrame expressions. The n-grams of a document are exploded, joined with the slot table (``SLOTS``
@@ -16,32 +17,36 @@ rows are scored one by one; null ids are kept; other columns are ignored. An emp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import words
+from loomgrid.llm.common import words, written
 
-SLOTS = 65536
+SLOTS = 1 << 18
 #: Mean log-likelihood ratio per n-gram from which a document is kept.
-THRESHOLD = -0.38
-#: Added to every slot's count.
-SMOOTHING = 1.0
+THRESHOLD = -0.18
+#: Expected count below which a slot says little: the mass of a prior centred on the raw multinomial.
+SMOOTHING = 5.0
 MIN_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 
 
-def slots(tokens: Column) -> Column:
-    """Hash slots of the one- and two-word n-grams."""
-    slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, 2147483647), lambda a, b: F.when(b.isNotNull(), slot(F.xxhash64(a, b))))
-    return F.concat(F.transform(tokens, lambda a: slot(F.xxhash64(a))), F.filter(pairs, lambda x: x.isNotNull()))
+def exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., slot): the hash slots of the one- and two-word n-grams of ``tokens``; a row without tokens gives a null slot."""
+    slot = lambda *w: F.pmod(F.xxhash64(*w), F.lit(SLOTS)).cast("int")
+    last = F.size("tokens") - 1
+    at = rows.select(*keep, "tokens", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
+    one, two = F.get("tokens", F.col("i")), F.get("tokens", F.col("i") + 1)
+    both = at.select(*keep, F.explode_outer(F.when(F.col("i") < F.size("tokens") - 1, F.array(slot(one), slot(one, two))).when(F.col("i").isNotNull(), F.array(slot(one)))).alias("slot"))
+    return both
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with tokens, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (the last five are long)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\u000b\f\r", "")) > 0)
-    window = F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - 2), lambda i: F.struct(F.xxhash64(F.get("tokens", i - 1), F.get("tokens", i), F.get("tokens", i + 1)).alias("h"), i.alias("i")))
+    window = F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - 2), lambda i: F.xxhash64(F.get("tokens", i - 1), F.get("tokens", i), F.get("tokens", i + 1)))
+    placed = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = F.filter("windows", lambda x, k: (F.get("windows", k - 1)["h"] == x["h"]) | F.coalesce(F.get("windows", k + 1)["h"] == x["h"], F.lit(False)))
     covered = F.aggregate(
         "repeated",
@@ -51,7 +56,9 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     out = docs.withColumn("tokens", words(F.col(text_col).cast("string")))
     out = out.withColumn("lines", lines).withColumn("n_words", F.size("tokens").cast("long"))
-    out = out.withColumn("windows", F.when(F.col("n_words") >= 3, F.array_sort(window)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    out = out.withColumn("hashes", F.when(F.col("n_words") >= 3, window))
+    # only texts with an equal pair of windows sort them
+    out = out.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     out = out.withColumn("repeated", F.array_sort(F.transform(twice, lambda x: x["i"])))
     return out.withColumns(
         {
@@ -60,35 +67,36 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "n_repeat_words": covered,
         }
-    ).drop("lines", "windows", "repeated")
+    ).drop("lines", "hashes", "windows", "repeated")
 
 
-def ratio(raw: DataFrame, trusted: DataFrame, text_col: str = "text") -> DataFrame:
+def ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(slot, ratio): log of trusted over raw probability for the slots that occur."""
-    grams = lambda d, k: d.select(F.explode(slots(words(F.col(text_col).cast("string")))).alias("slot"), F.lit(k).alias("kind"))
-    both = grams(raw, 0).unionByName(grams(trusted, 1)).groupBy("slot", "kind").count()
-    wide = both.groupBy("slot").agg(F.sum(F.when(F.col("kind") == 0, F.col("count")).otherwise(0)).alias("raw"), F.sum(F.when(F.col("kind") == 1, F.col("count")).otherwise(0)).alias("trusted"))
-    total = wide.agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).first()
+    wanted = trusted.select(F.col("doc_id").alias(id_col), F.lit(True).alias("trusted")).distinct().hint("shuffle_hash")
+    marked = docs.select(id_col, text_col).join(wanted, id_col, "left").select("trusted", words(F.col(text_col).cast("string")).alias("tokens"))
+    both = exploded(marked, "trusted").where("slot is not null").groupBy("slot").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted"))
+    both = written(both, "slots")
+    total = both.agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).first()
     if not total["trusted"]:
-        return wide.select("slot", F.lit(None).cast("double").alias("ratio"))
-    share = lambda c: (F.col(c) + F.lit(SMOOTHING)) / F.lit(float(total[c] or 0) + SMOOTHING * SLOTS)
-    return wide.select("slot", F.log(share("trusted") / share("raw")).alias("ratio"))
+        return both.select("slot", F.lit(None).cast("double").alias("ratio"))
+    expected = F.col("raw") * F.lit(total["trusted"] / total["raw"])
+    return both.select("slot", F.log((F.col("trusted") + F.lit(SMOOTHING)) / (expected + F.lit(SMOOTHING))).alias("ratio"))
 
 
 def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) per row of ``docs``.
 
-    trusted: documents of the wanted kind, with the same text column.
+    trusted: ids (doc_id) of the documents of the wanted kind.
     """
-    table = F.broadcast(ratio(docs, trusted, text_col))
+    table = F.broadcast(ratio(docs, trusted, id_col, text_col))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = counted(docs.select(F.col(id_col).alias("doc_id"), text_col), text_col).withColumn("row", F.monotonically_increasing_id())
-    grams = rows.select("row", "doc_id", *counts, F.explode_outer(slots(F.col("tokens"))).alias("slot"))
+    rows = counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("row", F.monotonically_increasing_id())
+    grams = exploded(rows, "row", "doc_id", *counts)
     scored = grams.join(table, "slot", "left").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in counts], F.avg("ratio").alias("score"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.select("doc_id", *counts, failed.alias("base_failed"), "score", (~failed & F.coalesce(F.col("score") >= threshold, F.lit(True))).alias("kept"))
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that some row of ``labels`` marks with quality 1."""
-    return docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids that some row of ``labels`` marks with quality 1."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()

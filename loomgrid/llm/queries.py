@@ -22,7 +22,7 @@ def tokenizer_path(name: str) -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_rules.judged(docs, quality_rules.trusted_documents(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.judged(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
