@@ -35,7 +35,7 @@ from loomgrid.llm.common import written
 #: Sub-groups over which pieces of one length are numbered.
 BUCKETS = 256
 #: Words whose ids a Python worker remembers; beyond it, it starts anew. Memory only, never results.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 
 _tokenizers: dict = {}
 
