@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgrid.llm.common import written
 
@@ -341,3 +342,30 @@ def spans(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text
             yield made.astype({"doc_id": "Int64"})
 
     return _with_spans(docs, marked(docs, id_col, text_col), id_col, text_col).mapInPandas(run, schema)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the repeated bytes cut out of the text; rows with nothing but white space left go.
+
+    Characters that a cut divides are left out too. Other columns are unchanged, and travel with their row's text.
+    """
+    names = [c for c in docs.columns if c != text_col]
+    mark = marked(docs, id_col, text_col)
+    rows = located(docs, mark, id_col, text_col)
+    found = written(repeats(rows), "repeats").groupBy("id", "mark").agg(F.collect_list("at").alias("ats"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), mark.cast("long").alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*names).alias("rest"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for t, ats in zip(f["text"], f["ats"]):
+                if ats is not None and len(ats):
+                    data = t.encode("utf-8", "surrogatepass")
+                    t = np.frombuffer(data, np.uint8)[~removed(data, np.array(ats, np.int64))].tobytes().decode("utf-8", "ignore")
+                out.append(t)
+            f = f[["rest"]].assign(text=out)
+            yield f[f["text"].str.strip().astype(bool)]
+
+    schema = T.StructType([T.StructField("rest", own.schema["rest"].dataType), T.StructField("text", T.StringType())])
+    made = own.join(found, ["id", "mark"], "left").select("rest", "text", "ats").mapInPandas(run, schema)
+    return made.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])

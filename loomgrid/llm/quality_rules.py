@@ -6,9 +6,9 @@ few n-grams has a ratio near 1. A document's score is the mean, over its n-grams
 probabilities. It is kept if it passes the base rules and its score is at least
 ``threshold``; the threshold is a constant, so a document's verdict depends on no sample and no quantile.
 
-Everything is DataFrame expressions. The n-grams of a document are exploded, joined with the slot table (``SLOTS``
-rows at most, whatever the corpus, hence broadcast) and summed again by a row number made in the same stage, so only
-one partial sum per document is shuffled. The base counts come from the arrays of the row itself.
+Everything is DataFrame expressions. To count, n-grams are exploded and summed by slot on either side of the shuffle.
+To score, the ratios are one array of ``SLOTS`` floats, whatever the corpus, that every row reads: verdicts are made
+where the row is, without a shuffle. The base counts come from the arrays of the row itself.
 
 Nulls: a null text has no words: its counts are 0, its score null, and it is rejected by the base rules. A text
 without n-grams (n_words = 0) likewise. Without trusted rows the score is null and the base rules decide. Repeated
@@ -17,12 +17,12 @@ rows are scored one by one; null ids are kept; other columns are ignored. An emp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import words, written
 
-SLOTS = 1 << 18
+SLOTS = 1 << 17
 #: Mean log-likelihood ratio per n-gram from which a document is kept.
 THRESHOLD = -0.18
 #: Expected count below which a slot says little: the mass of a prior centred on the raw multinomial.
@@ -70,31 +70,42 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("lines", "hashes", "windows", "repeated")
 
 
-def ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(slot, ratio): log of trusted over raw probability for the slots that occur."""
+def ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(slot, ratio): log of trusted over raw probability for the slots that occur; and whether anything was trusted."""
     wanted = trusted.select(F.col("doc_id").alias(id_col), F.lit(True).alias("trusted")).distinct().hint("shuffle_hash")
     marked = docs.select(id_col, text_col).join(wanted, id_col, "left").select("trusted", words(F.col(text_col).cast("string")).alias("tokens"))
     both = exploded(marked, "trusted").where("slot is not null").groupBy("slot").agg(F.count("*").alias("raw"), F.count("trusted").alias("trusted"))
     both = written(both, "slots")
     total = both.agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).first()
     if not total["trusted"]:
-        return both.select("slot", F.lit(None).cast("double").alias("ratio"))
+        return both, False
     expected = F.col("raw") * F.lit(total["trusted"] / total["raw"])
-    return both.select("slot", F.log((F.col("trusted") + F.lit(SMOOTHING)) / (expected + F.lit(SMOOTHING))).alias("ratio"))
+    return both.select("slot", F.log((F.col("trusted") + F.lit(SMOOTHING)) / (expected + F.lit(SMOOTHING))).alias("ratio")), True
 
 
-def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) per row of ``docs``.
+def table(ratios: DataFrame) -> Column:
+    """The ratios as one array by slot, SLOTS long; 0 where a slot does not occur."""
+    every = ratios.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(ratios, "slot", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("ratio", F.lit(0.0)).cast("float").alias("ratio")))), lambda x: x["ratio"]).alias("table")).scalar()
+
+
+def with_verdict(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept): ``row`` has all columns of ``docs``.
 
     trusted: ids (doc_id) of the documents of the wanted kind.
     """
-    table = F.broadcast(ratio(docs, trusted, id_col, text_col))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("row", F.monotonically_increasing_id())
-    grams = exploded(rows, "row", "doc_id", *counts)
-    scored = grams.join(table, "slot", "left").groupBy("row").agg(F.first("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in counts], F.avg("ratio").alias("score"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    ratios, learned = ratio(docs, trusted, id_col, text_col)
+    rows = counted(rows).withColumn("table", table(ratios) if learned else F.lit(None).cast("array<float>"))
+    slot = lambda *w: F.pmod(F.xxhash64(*w), F.lit(SLOTS)).cast("int")
+    one, two = (lambda i: F.get("tokens", i)), (lambda i: F.get("tokens", i + 1))
+    last = F.size("tokens") - 1
+    step = lambda acc, i: acc + F.get("table", slot(one(i))) + F.when(i < last, F.get("table", slot(one(i), two(i)))).otherwise(0.0)
+    total = F.aggregate(F.sequence(F.lit(0), last), F.lit(0.0), step)
+    rows = rows.withColumn("score", F.when(last >= 0, total / (2 * last + 1)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return scored.select("doc_id", *counts, failed.alias("base_failed"), "score", (~failed & F.coalesce(F.col("score") >= threshold, F.lit(True))).alias("kept"))
+    kept = ~failed & F.coalesce(F.col("score") >= threshold, F.lit(True))
+    return rows.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", kept.alias("kept"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

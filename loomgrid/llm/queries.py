@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import ann, bwt_dedup, compress_quality, langid, lattice_lm, mixing, packing, quality_rules, simhash, warc
 from loomgrid.llm.common import fold, table
+from loomgrid.session import ship
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +26,8 @@ def tokenizer_path(name: str) -> str:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_rules.judged(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
+    found = quality_rules.with_verdict(docs, quality_rules.trusted_ids(table(spark, sf_dir, "labels")))
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +71,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = (
+    op1_quality_rules, op2_compression, op3_packing, op4_multi_index, op5_bwt_dedup, op6_lattice_lm, op7_language, op8_mixing, op9_simhash, op10_warc, pipeline,
+)
+
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(ship(spark), sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules, "op2_compression": op2_compression, "op3_packing": op3_packing, "op4_multi_index": op4_multi_index, "op5_bwt_dedup": op5_bwt_dedup, "op6_lattice_lm": op6_lattice_lm, "op7_language": op7_language, "op8_mixing": op8_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+    return {q.__name__: _shipped(q) for q in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE_SQL}
+    return {"op8_mixing": mixing.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
