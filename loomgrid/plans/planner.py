@@ -1,0 +1,81 @@
+"""Pure planning functions: splits, process grids, strategies, batches, pipeline chunks."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from loomgrid.meta import TensorError
+
+
+def split_sizes(n: int, parts: int) -> list[int]:
+    """Sizes of ``parts`` parts of n: equal, with the remainder one each to the first."""
+    base, more = divmod(n, parts)
+    return [base + (k < more) for k in range(parts)]
+
+
+def local_range(n: int, parts: int, part: int) -> tuple[int, int]:
+    """[begin, end) of a part."""
+    sizes = split_sizes(n, parts)
+    return sum(sizes[:part]), sum(sizes[: part + 1])
+
+
+def process_grid(parts: int) -> tuple[int, int]:
+    """(rows, columns) with rows * columns = parts, as near to a square as it goes, rows the smaller."""
+    rows = next(r for r in range(math.isqrt(parts), 0, -1) if parts % r == 0)
+    return rows, parts // rows
+
+
+@dataclass(frozen=True)
+class Cluster:
+    """What plans assume of the machines; times in seconds, sizes in bytes."""
+
+    workers: int = 4
+    memory: int = 8 << 30
+    flops: float = 5e10
+    bandwidth: float = 1e9
+    latency: float = 0.05
+    broadcast: int = 64 << 20
+
+
+def matmul_costs(m: int, k: int, n: int, cluster: Cluster = Cluster(), cell: int = 8) -> dict[str, dict]:
+    """Memory of the fullest worker and seconds of each way to split A[m, k] @ B[k, n]."""
+    w = cluster.workers
+    rows, columns = process_grid(w)
+    most = lambda x, p: -(-x // p)
+    parts = {"row": (most(m, w), n), "column": (m, most(n, w)), "block": (most(m, rows), most(n, columns))}
+    moved = {"row": m * k + w * k * n, "column": w * m * k + k * n, "block": columns * m * k + rows * k * n}
+    small = {"row": k * n, "column": m * k, "block": 0}
+    out = {}
+    for name, (a, b) in parts.items():
+        memory = cell * (a * k + k * b + a * b)
+        seconds = 2 * a * b * k / cluster.flops + cell * (moved[name] + m * n) / cluster.bandwidth / w + cluster.latency * (2 if name == "block" else 1)
+        out[name] = {"memory": memory, "seconds": seconds, "feasible": memory <= cluster.memory and cell * small[name] <= cluster.broadcast}
+    return out
+
+
+def choose_matmul(m: int, k: int, n: int, cluster: Cluster = Cluster(), cell: int = 8) -> str:
+    """The fastest way that fits; by blocks, which spill, if none does."""
+    fit = {name: c["seconds"] for name, c in matmul_costs(m, k, n, cluster, cell).items() if c["feasible"]}
+    return min(fit, key=fit.get) if fit else "block"
+
+
+def plan_batches(rows: int, row_bytes: int, shared_bytes: int, memory: int, margin: float = 0.2) -> list[tuple[int, int]]:
+    """[begin, end) row ranges that fit beside ``shared_bytes`` in ``memory`` less a margin."""
+    free = int(memory * (1 - margin)) - shared_bytes
+    if free < row_bytes:
+        raise TensorError("a row does not fit beside the shared operand")
+    step = max(1, free // row_bytes)
+    return [(a, min(rows, a + step)) for a in range(0, rows, step)]
+
+
+def chunk_count(least: int, transfer: float, compute: float, latency: float, most: int = 32) -> int:
+    """Chunks of a pipeline of transfer and compute: those that minimise their overlap's length, between the bounds."""
+    best = math.sqrt(min(transfer, compute) / latency) if latency > 0 else most
+    return int(min(most, max(2, least, round(best))))
+
+
+def overlap_benefit(chunks: int, transfer: float, compute: float, latency: float = 0.0) -> float:
+    """Time of one chunk after the other over that of overlapped chunks."""
+    plain = transfer + compute
+    return plain / (max(transfer, compute) + min(transfer, compute) / chunks + chunks * latency)

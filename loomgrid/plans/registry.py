@@ -2,10 +2,379 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgrid.meta import Tensor
+from loomgrid.operators import contraction, convolution, fourier, matrix, pipeline, reduction, stencil
+from loomgrid.plans import planner
+from loomgrid.session import ship
+from loomgrid.sources import fixtures as fx
+from loomgrid.sources.layouts import coo, sparse
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str):
+    def add(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(ship(spark), sf_dir)
+
+        QUERIES[name], ORACLE[name] = run, sql
+        return f
+
+    return add
+
+
+def shown(t: Tensor, names: str, digits: int | None = None) -> DataFrame:
+    """The cells with single-letter index names, values rounded where they are not exact."""
+    value = lambda c: (F.round(c, digits) + F.lit(0.0) if digits is not None else F.col(c)).alias(c)
+    return t.df.select(*[F.col(c).cast("long").alias(n) for c, n in zip(t.index, names, strict=True)], *map(value, t.values))
+
+
+def both(spark: SparkSession, sf_dir: str) -> tuple[Tensor, Tensor]:
+    return fx.matrix_a(spark, sf_dir), fx.matrix_b(spark, sf_dir)
+
+
+# matrix products
+
+_GRAM = fx.with_tensors("e", "SELECT x.i, y.i AS j, round(sum(x.v * y.v), 6) + 0.0 AS v FROM e x JOIN e y USING (k) GROUP BY ALL")
+
+
+def _gram(strategy: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = fx.vectors(spark, sf_dir)
+        return shown(matrix.matmul(e, matrix.transpose(e), strategy), "ij", 6)
+
+    return run
+
+
+for _name, _how in (("matmul_gram", None), ("matmul_row", "row"), ("matmul_column", "column"), ("matmul_block", "block"), ("matmul_shuffle", "shuffle")):
+    query(_name, _GRAM)(_gram(_how))
+
+
+@query("gram_all", "WITH e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT x.i, y.i AS j, round(list_inner_product(x.v, y.v), 6) + 0.0 AS v FROM e x, e y")
+def gram_all(spark, sf_dir):
+    df = matrix.gram(fx._table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return df.select("i", "j", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+_MATMUL = fx.with_tensors("ab", "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a JOIN b ON a.j = b.i GROUP BY ALL")
+
+
+@query("matmul_int", _MATMUL)
+def matmul_int(spark, sf_dir):
+    return shown(matrix.matmul(*both(spark, sf_dir)), "ij")
+
+
+@query("batch_matmul", fx.with_tensors("t", "SELECT x.b, x.i, y.j, sum(x.v * y.v) AS v FROM t x JOIN t y ON x.b = y.b AND x.j = y.i GROUP BY ALL"))
+def batch_matmul(spark, sf_dir):
+    t = fx.cube(spark, sf_dir)
+    return shown(matrix.batch_matmul(t, t), "bij")
+
+
+@query("batch_matmul_shared_b", fx.with_tensors("t", "SELECT x.b, x.i, y.j, sum(x.v * y.v) AS v FROM t x JOIN t y ON y.b = 0 AND x.j = y.i GROUP BY ALL"))
+def batch_matmul_shared_b(spark, sf_dir):
+    t = fx.cube(spark, sf_dir)
+    return shown(matrix.batch_matmul(t, coo(t.df.where("i0 = 0"), (8, 8), ["i1", "i2"])), "bij")
+
+
+@query("transpose_2d", fx.with_tensors("a", "SELECT j AS i, i AS j, v FROM a"))
+def transpose_2d(spark, sf_dir):
+    return shown(matrix.transpose(fx.matrix_a(spark, sf_dir)), "ij")
+
+
+@query("transpose_3d", fx.with_tensors("t", "SELECT j AS b, i, b AS j, v FROM t"))
+def transpose_3d(spark, sf_dir):
+    return shown(matrix.transpose(fx.cube(spark, sf_dir), 0, -1), "bij")
+
+
+@query("add_dense", fx.with_tensors("ab", "SELECT i, j, a.v + b.v AS v FROM a JOIN b USING (i, j)"))
+def add_dense(spark, sf_dir):
+    return shown(matrix.add(*both(spark, sf_dir)), "ij")
+
+
+@query("add_sparse", fx.with_tensors("as", "SELECT i, j, s.v * 2 AS v FROM s WHERE v <> 0"))
+def add_sparse(spark, sf_dir):
+    s = sparse(fx.thinned(fx.matrix_a(spark, sf_dir)))
+    return shown(matrix.add(s, s), "ij")
+
+
+_HALF = "CASE WHEN v = 0 THEN v WHEN abs(v) >= 65520 THEN sign(v) * 'Infinity'::DOUBLE ELSE round_even(v / greatest(pow(2, floor(log2(abs(v))) - 10), pow(2, -24)), 0) * greatest(pow(2, floor(log2(abs(v))) - 10), pow(2, -24)) + 0.0 END"
+
+
+@query("matmul_mixed", fx.with_tensors("e", f", h AS (SELECT i, k, {_HALF} AS v FROM e) SELECT x.i, y.i AS j, round(sum(x.v * y.v), 6) + 0.0 AS v FROM h x JOIN h y USING (k) GROUP BY ALL"))
+def matmul_mixed(spark, sf_dir):
+    e = fx.vectors(spark, sf_dir)
+    return shown(matrix.matmul_mixed_precision(e, matrix.transpose(e)), "ij", 6)
+
+
+@query("matmul_sparse", fx.with_tensors("abs", "SELECT s.i, b.j, sum(s.v * b.v) AS v FROM s JOIN b ON s.j = b.i GROUP BY ALL"))
+def matmul_sparse(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    return shown(matrix.matmul_sparse_aware(fx.thinned(a), b), "ij")
+
+
+@query("sparsity_stats", fx.with_tensors("as", "SELECT count(*) FILTER (v <> 0) AS nonzero, count(*) AS cells FROM s"))
+def sparsity_stats(spark, sf_dir):
+    return fx.thinned(fx.matrix_a(spark, sf_dir)).df.agg(F.count_if(F.col("v") != 0).alias("nonzero"), F.count("*").alias("cells"))
+
+
+@query("matmul_batch", fx.with_tensors("ab", "SELECT p.k AS pair, x.i, y.j, sum(x.v * y.v) AS v FROM (VALUES (CAST(0 AS BIGINT)), (1)) p(k) JOIN a x ON TRUE JOIN (SELECT 0 AS k, * FROM b UNION ALL SELECT 1, * FROM a) y ON y.k = p.k AND y.i = x.j GROUP BY ALL"))
+def matmul_batch(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    return matrix.matmul_pairs([(a, b), (a, a)]).select("pair", F.col("i0").alias("i"), F.col("i1").alias("j"), "v")
+
+
+# convolutions
+
+def _conv_sql(x: tuple, w: tuple, stride: tuple, padding: tuple, dilation: tuple, groups: int, bias: bool) -> str:
+    axes, per, outs = len(x) - 2, w[1], w[0]
+    s, k, o = "pqr"[:axes], "def"[:axes], "xyz"[:axes]
+    size = [(n + 2 * p - d * (m - 1) - 1) // t + 1 for n, m, t, p, d in zip(x[2:], w[2:], stride, padding, dilation)]
+    ranges = ", ".join(f"range({n}) {c}_({c})" for n, c in zip((x[0], outs, *size), "no" + o))
+    meet = " AND ".join(f"xs.{a} = g.{c} * {t} - {p} + ws.{b} * {d}" for a, b, c, t, p, d in zip(s, k, o, stride, padding, dilation))
+    return (
+        f"SELECT g.n, g.o, {', '.join(f'g.{c}' for c in o)}, coalesce(sum(xs.v * ws.v), 0) + {'any_value(g.o)' if bias else '0'} AS v FROM (SELECT * FROM {ranges}) g "
+        f"LEFT JOIN ({fx.polynomial_sql(w, 2, 'uc' + k)} ws JOIN {fx.polynomial_sql(x, 1, 'mh' + s)} xs ON xs.h = ws.c + (ws.u // {outs // groups}) * {per}) ON ws.u = g.o AND xs.m = g.n AND {meet} GROUP BY ALL"
+    )
+
+
+def _conv(name: str, x: tuple, w: tuple, stride: tuple, padding: tuple, dilation: tuple, groups: int = 1, bias: bool = False) -> None:
+    @query(name, _conv_sql(x, w, stride, padding, dilation, groups, bias))
+    def run(spark, sf_dir):
+        shift = coo(spark.range(w[0]).withColumn("v", F.col("id").cast("double")), (w[0],), ["id"]) if bias else None
+        out = convolution.convolve(fx.polynomial(spark, x, 1), fx.polynomial(spark, w, 2), shift, stride, padding, dilation, groups)
+        return shown(out, "no" + "xyz"[: len(x) - 2])
+
+
+_conv("conv2d_pad", (2, 4, 8, 8), (4, 4, 3, 3), (1, 1), (1, 1), (1, 1))
+_conv("conv2d_stride_dil", (2, 4, 8, 8), (4, 4, 3, 3), (2, 1), (2, 3), (1, 2))
+_conv("conv2d_groups_bias", (2, 4, 8, 8), (4, 2, 3, 3), (1, 1), (0, 1), (1, 1), 2, True)
+_conv("conv3d", (2, 2, 4, 6, 6), (2, 2, 2, 3, 3), (1, 1, 1), (0, 1, 1), (1, 1, 1))
+_conv("conv3d_stride_bias", (2, 2, 4, 6, 6), (2, 2, 2, 3, 3), (1, 2, 2), (1, 1, 0), (2, 1, 1), 1, True)
+
+
+# Fourier transforms: the SQL is the plain sum
+
+def _rows8(spark, sf_dir) -> Tensor:
+    return fx.vectors(spark, sf_dir, 8)
+
+
+def _dft(source: str, n: int, length: int, bins: int, sign: int, scale: str, value: str = "v") -> str:
+    angle = f"2 * pi() * ((f.k * x.k) % {n}) / {n}"
+    re, im = (f"x.{value} * cos({angle})", f"{sign} * x.{value} * sin({angle})") if value == "v" else (f"x.re * cos({angle}) - {sign} * x.im * sin({angle})", f"x.im * cos({angle}) + {sign} * x.re * sin({angle})")
+    return f"SELECT x.i, CAST(f.k AS BIGINT) AS k, round(sum({re}) * {scale}, 4) + 0.0 AS re, round(sum({im}) * {scale}, 4) + 0.0 AS im FROM {source} x, range({bins}) f(k) WHERE x.i < 8 AND x.k < {length} GROUP BY ALL"
+
+
+@query("fft", fx.with_tensors("e", _dft("e", 64, 64, 64, -1, "1")))
+def fft(spark, sf_dir):
+    return shown(fourier.fft(_rows8(spark, sf_dir)), "ik", 4)
+
+
+@query("rfft", fx.with_tensors("e", _dft("e", 64, 64, 33, -1, "1")))
+def rfft(spark, sf_dir):
+    return shown(fourier.rfft(_rows8(spark, sf_dir)), "ik", 4)
+
+
+@query("ifft", fx.with_tensors("e", _dft("(SELECT i, k, v AS re, v * 0.5 AS im FROM e)", 64, 64, 64, 1, "(1 / 64.0)", "z").replace("x.z", "x.v")))
+def ifft(spark, sf_dir):
+    e = _rows8(spark, sf_dir)
+    z = e.with_df(e.df.select("i0", "i1", F.col("v").alias("re"), (F.col("v") * 0.5).alias("im")), complex=True)
+    return shown(fourier.ifft(z), "ik", 4)
+
+
+@query("fft_norms", fx.with_tensors("e", " UNION ALL ".join(f"SELECT '{norm}' AS norm, * FROM ({_dft('e', n, min(n, 64), n, -1, scale)})" for norm, n, scale in (("ortho", 48, "(1 / sqrt(48.0))"), ("forward", 80, "(1 / 80.0)")))))
+def fft_norms(spark, sf_dir):
+    parts = [shown(fourier.fft(_rows8(spark, sf_dir), n, norm=norm), "ik", 4).select(F.lit(norm).alias("norm"), "i", "k", "re", "im") for norm, n in (("ortho", 48), ("forward", 80))]
+    return parts[0].unionByName(parts[1])
+
+
+_FFT_DIM0 = "SELECT CAST(f.k AS BIGINT) AS i, a.j, round(sum(a.v * cos(2 * pi() * ((f.k * a.i) % 16) / 16)), 4) + 0.0 AS re, round(-sum(a.v * sin(2 * pi() * ((f.k * a.i) % 16) / 16)), 4) + 0.0 AS im FROM a, range(16) f(k) GROUP BY ALL"
+
+
+@query("fft_dim0", fx.with_tensors("a", _FFT_DIM0))
+def fft_dim0(spark, sf_dir):
+    return shown(fourier.fft(fx.matrix_a(spark, sf_dir), dim=0), "ij", 4)
+
+
+def _dft2(source: str, keys: str, n: int, m: int) -> str:
+    angle = f"2 * pi() * (((f.k * x.i) % {n}) / {n}.0 + ((g.k * x.j) % {m}) / {m}.0)"
+    return f"SELECT {keys}CAST(f.k AS BIGINT) AS i, CAST(g.k AS BIGINT) AS j, round(sum(x.v * cos({angle})), 4) + 0.0 AS re, round(-sum(x.v * sin({angle})), 4) + 0.0 AS im FROM {source} x, range({n}) f(k), range({m}) g(k) GROUP BY ALL"
+
+
+@query("fft2d", fx.with_tensors("t", _dft2("t", "x.b, ", 8, 8)))
+def fft2d(spark, sf_dir):
+    return shown(fourier.fft2d(fx.cube(spark, sf_dir)), "bij", 4)
+
+
+@query("fft2d_pencil", fx.with_tensors("a", _dft2("a", "", 16, 16)))
+def fft2d_pencil(spark, sf_dir):
+    return shown(fourier.fft2d_pencil(fx.matrix_a(spark, sf_dir)), "ij", 4)
+
+
+# Einstein sums
+
+@query("einsum_chain", fx.with_tensors("ab", "SELECT x.i, z.j AS l, sum(x.v * y.v * z.v) AS v FROM a x JOIN b y ON x.j = y.i JOIN a z ON y.j = z.i GROUP BY ALL"))
+def einsum_chain(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    return shown(contraction.einsum("ij,jk,kl->il", a, b, a), "il")
+
+
+@query("einsum_trace", fx.with_tensors("a", "SELECT sum(v) AS v FROM a WHERE i = j"))
+def einsum_trace(spark, sf_dir):
+    return contraction.einsum("ii->", fx.matrix_a(spark, sf_dir)).df
+
+
+@query("einsum_outer", fx.with_tensors("a", "SELECT x.j AS i, y.j, x.v * y.v AS v FROM (SELECT j, sum(v) AS v FROM a GROUP BY j) x, (SELECT j, sum(v) AS v FROM a GROUP BY j) y"))
+def einsum_outer(spark, sf_dir):
+    a = fx.matrix_a(spark, sf_dir)
+    return shown(contraction.einsum("ai,bj->ij", a, a), "ij")
+
+
+@query("einsum_4d", fx.with_tensors("t", "SELECT x.b, x.i, y.b AS c, y.j, sum(x.v * y.v) AS v FROM t x JOIN t y ON x.j = y.i GROUP BY ALL"))
+def einsum_4d(spark, sf_dir):
+    t = fx.cube(spark, sf_dir)
+    return shown(contraction.einsum("bik,ckj->bicj", t, t), "bicj")
+
+
+@query("einsum_path", fx.with_tensors("ab", "SELECT x.i, z.j AS l, sum(x.v * y.v * z.v) AS v FROM a x JOIN b y ON x.j = y.i JOIN a z ON y.j = z.i GROUP BY ALL"))
+def einsum_path(spark, sf_dir):
+    a, b = both(spark, sf_dir)
+    return shown(contraction.einsum("ij,jk,kl->il", a, b, a, path=[(1, 2), (0, 1)]), "il")
+
+
+@query("tensordot", fx.with_tensors("t", "SELECT x.b, y.b AS c, sum(x.v * y.v) AS v FROM t x JOIN t y ON x.i = y.i AND x.j = y.j GROUP BY ALL"))
+def tensordot(spark, sf_dir):
+    t = fx.cube(spark, sf_dir)
+    return shown(contraction.tensordot(t, Tensor(t.df.select(F.col("i1").alias("i0"), F.col("i2").alias("i1"), F.col("i0").alias("i2"), "v"), (8, 8, 7)), 2), "bc")
+
+
+@query("contraction_path", "SELECT * FROM (VALUES ('optimal', CAST(0 AS BIGINT), 'ij,jk', 'ik', CAST(18000 AS BIGINT)), ('optimal', 1, 'kl,ik', 'il', 12000), ('optimal', 2, 'lm,il', 'im', 2000)) t(strategy, step, operands, result, flops)")
+def contraction_path(spark, sf_dir):
+    return contraction.path_table(spark, "ij,jk,kl,lm->im", (10, 30), (30, 60), (60, 20), (20, 10), strategy="optimal")
+
+
+# reductions
+
+def _reduce(name: str) -> None:
+    f, sql = getattr(reduction, name), {"sum": "sum(v)", "mean": "sum(v) / count(*)", "max": "max(v)", "min": "min(v)"}[name]
+    query(f"{name}_all", fx.with_tensors("a", f"SELECT {sql} AS v FROM a"))(lambda spark, sf_dir: f(fx.matrix_a(spark, sf_dir)).df)
+    query(f"{name}_dim0", fx.with_tensors("a", f"SELECT j, {sql} AS v FROM a GROUP BY j"))(lambda spark, sf_dir: shown(f(fx.matrix_a(spark, sf_dir), 0), "j"))
+    query(f"{name}_dim1", fx.with_tensors("a", f"SELECT i, {sql} AS v FROM a GROUP BY i"))(lambda spark, sf_dir: shown(f(fx.matrix_a(spark, sf_dir), -1), "i"))
+    query(f"{name}_keepdim", fx.with_tensors("t", f"SELECT b, CAST(0 AS BIGINT) AS i, j, {sql} AS v FROM t GROUP BY b, j"))(lambda spark, sf_dir: shown(f(fx.cube(spark, sf_dir), 1, keepdim=True), "bij"))
+
+
+for _name in ("sum", "mean", "max", "min"):
+    _reduce(_name)
+
+
+def _cancelling(spark, sf_dir) -> Tensor:
+    prices = fx._table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("v"))
+    huge = spark.createDataFrame([(1e16,), (-1e16,)], "v double")
+    both_ = huge.limit(1).unionByName(prices).unionByName(huge.offset(1))
+    return Tensor(both_.select(F.lit(0).cast("long").alias("i0"), "v"), (prices.count() + 2,))
+
+
+_EXACT = "(SELECT CAST(CAST(l_extendedprice AS DECIMAL(38, 2)) AS DECIMAL(38, 2)) AS v FROM lineitem UNION ALL VALUES (CAST(10000000000000000 AS DECIMAL(38, 2))), (CAST(-10000000000000000 AS DECIMAL(38, 2))))"
+
+
+@query("sum_kahan", f"SELECT round(CAST(sum(v) AS DOUBLE), 2) + 0.0 AS v FROM {_EXACT}")
+def sum_kahan(spark, sf_dir):
+    return reduction.sum_kahan(_cancelling(spark, sf_dir)).df.select((F.round("v", 2) + F.lit(0.0)).alias("v"))
+
+
+@query("mean_kahan", f"SELECT round(CAST(sum(v) AS DOUBLE) / count(*), 4) + 0.0 AS v FROM {_EXACT}")
+def mean_kahan(spark, sf_dir):
+    return reduction.mean_kahan(_cancelling(spark, sf_dir)).df.select((F.round("v", 4) + F.lit(0.0)).alias("v"))
+
+
+@query("sum_kahan_dim", fx.with_tensors("t", "SELECT i, j, sum(v) AS v FROM t GROUP BY ALL"))
+def sum_kahan_dim(spark, sf_dir):
+    return shown(reduction.sum_kahan(fx.cube(spark, sf_dir), 0), "ij")
+
+
+# stencils
+
+def _step_sql(source: str, kernel, boundary: str) -> str:
+    h, w = len(kernel) // 2, len(kernel[0]) // 2
+    taps = ", ".join(f"({a - h}, {b - w}, CAST({kernel[a][b]!r} AS DOUBLE))" for a in range(len(kernel)) for b in range(len(kernel[0])) if kernel[a][b] or (a, b) == (h, w))
+    if boundary == "periodic":
+        on = "x.i = (g.i + k.a + 16) % 16 AND x.j = (g.j + k.b + 16) % 16"
+    else:
+        on = "x.i = g.i + k.a AND x.j = g.j + k.b"
+    return f"SELECT g.i, g.j, sum(x.v * k.w) AS v FROM {source} g CROSS JOIN (VALUES {taps}) k(a, b, w) JOIN {source} x ON {on} GROUP BY ALL"
+
+
+def _stencil(name: str, kernel, boundary: str, iterations: int) -> None:
+    steps = "".join(f", s{k} AS ({_step_sql('a' if k == 1 else f's{k - 1}', kernel, boundary)})" for k in range(1, iterations + 1))
+    sql = fx.with_tensors("a", steps + f" SELECT i, j, round(v, 4) + 0.0 AS v FROM s{iterations}")
+    query(name, sql)(lambda spark, sf_dir: shown(stencil.stencil_2d(fx.matrix_a(spark, sf_dir), kernel, boundary, iterations), "ij", 4))
+
+
+_stencil("stencil_5pt", stencil.LAPLACIAN_5, "zero", 1)
+_stencil("stencil_9pt", stencil.LAPLACIAN_9, "zero", 1)
+_stencil("stencil_periodic", stencil.LAPLACIAN_5, "periodic", 1)
+_stencil("stencil_iter3", stencil.LAPLACIAN_5, "zero", 3)
+_stencil("stencil_wide", ((1.0, 0.0, 2.0, 0.0, -1.0), (0.0, 1.0, -3.0, 1.0, 0.0), (2.0, 0.0, 1.0, 0.0, 2.0)), "periodic", 2)
+
+
+def _jacobi_sql(boundary: str, iterations: int) -> str:
+    steps = ""
+    kernel = ((0.0, 0.25, 0.0), (0.25, 0.0, 0.25), (0.0, 0.25, 0.0))
+    for k in range(1, iterations + 1):
+        source = "a" if k == 1 else f"u{k - 1}"
+        steps += f", m{k} AS ({_step_sql(source, kernel, boundary)}), u{k} AS (SELECT m{k}.i, m{k}.j, m{k}.v - f.v / 4 AS v FROM m{k} JOIN a f ON f.i = m{k}.j AND f.j = m{k}.i)"
+    return fx.with_tensors("a", steps + f" SELECT i, j, round(v, 4) + 0.0 AS v FROM u{iterations}")
+
+
+for _name, _boundary in (("jacobi_5", "zero"), ("jacobi_periodic", "periodic")):
+    query(_name, _jacobi_sql(_boundary, 5))(lambda spark, sf_dir, boundary=_boundary: shown(stencil.jacobi_2d(fx.matrix_a(spark, sf_dir), matrix.transpose(fx.matrix_a(spark, sf_dir)), boundary=boundary, iterations=5, tol=None)[0], "ij", 4))
+
+
+# pipelines and plans
+
+@query("pipelined_matmul", _MATMUL)
+def pipelined_matmul(spark, sf_dir):
+    return shown(pipeline.pipelined_matmul(*both(spark, sf_dir), num_chunks=4), "ij")
+
+
+@query("pipelined_allreduce", "SELECT i, CAST(sum(v) AS DOUBLE) AS v FROM (SELECT l_linenumber % 4 AS rank, CAST(l_orderkey % 16 AS BIGINT) AS i, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL) GROUP BY i")
+def pipelined_allreduce(spark, sf_dir):
+    lines = fx._table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 4).alias("rank"), (F.col("l_orderkey") % 16).alias("i0"), F.col("l_quantity").cast("long").alias("q"))
+    parts = lines.groupBy("rank", "i0").agg(F.sum("q").cast("double").alias("v"))
+    return shown(pipeline.pipelined_allreduce(parts, (16,)), "i")
+
+
+@query("split_sizes", "SELECT n, p, CAST(part AS BIGINT) AS part, CAST(n // p + CASE WHEN part < n % p THEN 1 ELSE 0 END AS BIGINT) AS size FROM (VALUES (CAST(10 AS BIGINT), CAST(3 AS BIGINT)), (3, 8), (1000, 7)) t(n, p), range(8) r(part) WHERE part < p")
+def split_sizes(spark, sf_dir):
+    rows = [(n, p, k, s) for n, p in ((10, 3), (3, 8), (1000, 7)) for k, s in enumerate(planner.split_sizes(n, p))]
+    return spark.createDataFrame(rows, "n long, p long, part long, size long")
+
+
+@query("plan_batches", "SELECT CAST(a AS BIGINT) AS first, least(1000, a + 300) AS last FROM range(0, 1000, 300) t(a)")
+def plan_batches(spark, sf_dir):
+    return spark.createDataFrame(planner.plan_batches(1000, 100, 10_000, 50_000), "first long, last long")
+
+
+@query(
+    "cost_model_table",
+    "SELECT m, k, n, CASE WHEN 40 * least(m * k, k * n) > 67108864 THEN 'block' WHEN m >= n THEN 'row' ELSE 'column' END AS strategy "
+    "FROM (VALUES (CAST(1000 AS BIGINT), CAST(100 AS BIGINT), CAST(100 AS BIGINT)), (100, 100, 1000), (100000, 100000, 100000)) t(m, k, n)",
+)
+def cost_model_table(spark, sf_dir):
+    rows = [(m, k, n, planner.choose_matmul(m, k, n)) for m, k, n in ((1000, 100, 100), (100, 100, 1000), (100_000, 100_000, 100_000))]
+    return spark.createDataFrame(rows, "m long, k long, n long, strategy string")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
