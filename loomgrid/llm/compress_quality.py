@@ -11,7 +11,7 @@ each) pass through the driver; scoring is a map over partitions without a shuffl
 
 Nulls: null and empty texts get the share of label 1 in the calibration part. Without texts of both labels every score
 is that share (0.5 if there are no labels). Labels that are null are ignored; a document with labels of both kinds
-counts for each. Repeated rows are scored one by one; other columns are ignored. Empty tables give empty results.
+counts for each. Of several texts of one id the smallest is learned from. Repeated rows are scored one by one; other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,20 +26,27 @@ from pyspark.sql import functions as F
 
 #: Documents per label that are learned from, bytes of a dictionary, bytes of a block, compression level.
 SAMPLE, DICTIONARY, BLOCK, LEVEL = 1500, 112 * 1024, 4096, 3
-#: Bytes of one document that can go into the sample's training blocks; scoring has no such bound.
-SAMPLE_BYTES = 64 * 1024
+#: Blocks of one sampled document that are learned from, spread evenly over its whole text; scoring reads every block.
+SAMPLE_BLOCKS = 16
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, bool, bytes]]:
     """(label, whether it calibrates, text) of at most ``size`` documents per label, by the hash of their ids."""
-    chosen = labels.select(F.col(id_col).alias("labelled"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and labelled is not null").distinct()
+    chosen = labels.select(F.col(id_col).cast("long").alias("labelled"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and labelled is not null").distinct()
     chosen = chosen.withColumn("h", F.xxhash64(F.lit("quality"), "labelled"))
     picked = None
     for label in (0, 1):
-        own = chosen.where(F.col("label") == label).join(docs.select(F.col(id_col).alias("labelled")), "labelled", "left_semi").orderBy("h", "labelled").limit(size)
+        own = chosen.where(F.col("label") == label).join(docs.select(F.col(id_col).cast("long").alias("labelled")), "labelled", "left_semi").orderBy("h", "labelled").limit(size)
         picked = own if picked is None else picked.unionByName(own)
-    rows = docs.select(F.col(id_col).alias("labelled"), F.substring(F.encode(F.col(text_col).cast("string"), "utf-8"), 1, SAMPLE_BYTES).alias("data")).where("data is not null")
-    found = rows.join(F.broadcast(picked), "labelled").select("labelled", "label", "h", "data").collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("labelled"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = rows.join(F.broadcast(picked), "labelled").groupBy("labelled", "label", "h").agg(F.min("text").alias("text"))
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cut = [blocks(t.encode("utf-8", "replace")) for t in f["text"]]
+            yield f[["labelled", "label", "h"]].assign(data=[b"".join(x[i * len(x) // SAMPLE_BLOCKS] for i in range(SAMPLE_BLOCKS)) if len(x) > SAMPLE_BLOCKS else b"".join(x) for x in cut])
+
+    found = rows.mapInPandas(spread, "labelled long, label int, h long, data binary").collect()
     found.sort(key=lambda r: (r["label"], r["h"], r["labelled"], bytes(r["data"])))
     return [(r["label"], r["h"] % 3 == 0, bytes(r["data"])) for r in found]
 
