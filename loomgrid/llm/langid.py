@@ -4,9 +4,11 @@ Texts are lower-cased, runs of characters that are not letters become one blank,
 characters are hashed to ``SLOTS`` features. Document frequencies are counted over all training documents, in every
 partition first (``SLOTS`` sums at most from each). The weights are learned by follow-the-regularised-leader with
 elastic-net penalties from at most ``SAMPLE`` documents per language, taken by the hash of their ids; a part of the
-sample is kept for the temperature that calibrates the probabilities. Prediction is a map over partitions.
+sample is kept for the temperature that calibrates the probabilities. The sample's whole texts become features in
+tasks; only the features (``SLOTS`` at most of each document) reach the driver. Prediction is a map over partitions.
 
-Nulls: documents without text or language are not learned from. A text that is null or has no letter is "und" with
+Nulls: documents without text or language are not learned from. Of several texts of one id and language the smallest is
+learned from. A text that is null or has no letter is "und" with
 score 0; so is every text when nothing was learned. One language alone is predicted with score 1. Repeated rows are
 predicted one by one; other columns are ignored. Empty tables give empty results.
 """
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 
 SLOTS, LONGEST = 1 << 15, 3
 SAMPLE, EPOCHS, STEP, BETA, L1, L2 = 800, 4, 0.5, 1.0, 0.02, 0.02
-#: Characters of one document that the fit of the sample reads; prediction and frequencies read all.
-FIT_CHARS = 20_000
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -115,13 +115,21 @@ def learn(docs: DataFrame, size: int = SAMPLE) -> dict:
     seen, rows = frequencies(known)
     marked = known.select("doc_id", "lang", F.xxhash64(F.lit("language"), "doc_id").alias("h"))
     first = marked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= size)
-    picked = known.join(F.broadcast(first.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).collect()
-    picked.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
+    idf = np.log((1 + rows) / (1 + seen)) + 1
+    picked = known.join(F.broadcast(first.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [features(t, idf) for t in f["text"]]
+            yield f[["doc_id", "lang"]].assign(slots=[s.astype("<u2").tobytes() for s, _ in made], weights=[v.astype("<f4").tobytes() for _, v in made])
+
+    picked = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInPandas(run, "doc_id long, lang string, slots binary, weights binary").collect()
+    picked.sort(key=lambda r: (r["doc_id"], r["lang"]))
     names = sorted({r["lang"] for r in picked})
-    model = {"names": names, "idf": np.log((1 + rows) / (1 + seen)) + 1}
+    model = {"names": names, "idf": idf}
     if len(names) < 2:
         return model
-    made = [(*features(r["text"], model["idf"]), names.index(r["lang"])) for r in picked]
+    made = [(np.frombuffer(r["slots"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(float), names.index(r["lang"])) for r in picked]
     shuffled = np.random.default_rng(7).permutation(len(made))
     kept, train = (shuffled[::5], np.delete(shuffled, np.s_[::5])) if len(made) >= 50 else (shuffled, shuffled)
     model["weights"], model["offset"] = ftrl(made, len(names), np.concatenate([np.random.default_rng(k).permutation(train) for k in range(EPOCHS)]))
