@@ -10,8 +10,9 @@ the excess is shared by weight among the others, until none exceeds it.
 
 The running sum of a source is the sum of the buckets before (md5 prefixes, summed first) and the sum within a
 bucket, so a source with a third of all rows is dealt over 4096 groups. The global order is cut the same way: words
-are summed by slices of virtual time, and only the slice in which the budget ends is sorted. Only sums by source and
-by slice of time meet in one task; neither grows with the documents.
+are summed by slices of virtual time, the slice in which the budget ends is sliced again until it holds ``LINE`` offers
+at most, and only those are sorted. Only sums by source and by slice of time meet in one task; neither grows with the
+documents.
 
 Nulls: a null text has size 0; the null source is a source, last in order; a null id shuffles as the empty string.
 Documents without words are returned with taken 0. Repeated rows are separate documents. Columns other than id, text
@@ -31,6 +32,8 @@ SHARE = 1.5
 PASSES = 2
 #: Slices of virtual time per unit, and the last slice, which holds all later times.
 SLICES, LAST_SLICE = 4096, 65535
+#: Offers that are put in line at once; a slice with more is sliced again.
+LINE = 50_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -75,16 +78,21 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 def cut(served: DataFrame, budget: int) -> tuple[float | None, str | None, int]:
     """Virtual time and source of the document in which the budget ends, and the words taken of it."""
-    offers = served.where("size > 0").select("source", "size", F.explode(F.array(*[f"finish_{k + 1}" for k in range(PASSES)])).alias("at"))
-    offers = offers.withColumn("slice", F.least(F.floor(F.col("at") * SLICES), F.lit(LAST_SLICE)))
-    sums = offers.groupBy("slice").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("end", F.sum("n").over(Window.orderBy("slice")))
-    last = sums.where(F.col("end") >= budget).orderBy("slice").select("slice", (F.col("end") - F.col("n")).alias("before")).first()
-    if last is None:
-        return None, None, 0
-    line = offers.where(F.col("slice") == last["slice"])
-    end = F.sum("size").over(Window.orderBy("at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(last["before"])
-    row = line.withColumn("end", end).where(F.col("end") >= budget).orderBy("end").first()
+    part = served.where("size > 0").select("source", "size", F.explode(F.array(*[f"finish_{k + 1}" for k in range(PASSES)])).alias("at"))
+    low, per, before = 0.0, float(SLICES), 0
+    while True:
+        part = part.withColumn("slice", F.least(F.floor((F.col("at") - low) * per), F.lit(LAST_SLICE)))
+        sums = part.groupBy("slice").agg(F.sum("size").alias("n"), F.count("*").alias("offers"))
+        sums = sums.withColumn("end", F.sum("n").over(Window.orderBy("slice")) + F.lit(before))
+        last = sums.where(F.col("end") >= budget).orderBy("slice").select("slice", (F.col("end") - F.col("n")).alias("before"), "offers").first()
+        if last is None:
+            return None, None, 0
+        part, before = part.where(F.col("slice") == last["slice"]).drop("slice"), last["before"]
+        if last["offers"] <= LINE or per > 2.0**44:
+            break
+        low, per = low + last["slice"] / per, per * SLICES
+    end = F.sum("size").over(Window.orderBy("at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
+    row = part.withColumn("end", end).where(F.col("end") >= budget).orderBy("end").first()
     return row["at"], row["source"], row["size"] - (row["end"] - budget)
 
 
