@@ -69,3 +69,57 @@ def test_every_pair_within_three_bits_shares_a_key():
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def brute_similar(rows, width, similarity):
+    sets = []
+    for _, text, *_ in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or ({b" ".join(words)} if words else set()))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= similarity * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return {(r[0], least[find(i)]) for i, r in enumerate(rows)}
+
+
+def test_similar_documents_equal_all_pairs(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(80):
+        base = [rng.choice(words) for _ in range(rng.choice([1, 4, 5, 60, 400]))]
+        for _ in range(rng.choice([1, 1, 3, 5])):
+            text = list(base)
+            for _ in range(rng.randrange(1 + len(text) // 20)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows) * 7 + 1, rng.choice([" ", "\n\t"]).join(text).replace("w1", "W1"), "x", 1))
+    rows += [(5, None, None, None), (6, "", None, None), (2, " \x0b ", None, 1), (901, "word " * 60000, None, 1), (902, "word word word word word", None, 1)]
+    found = simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == brute_similar(rows, 5, 0.8)
+    assert len(found) == len(rows)
+
+
+def test_large_group_of_near_copies_and_nulls(spark):
+    rng = random.Random(5)
+    base = [f"b{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(1, " ".join(base), None, 1)]
+    for i in range(400):
+        text = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        rows.append((10 + i, " ".join(text), None, 1))
+    rows += [(None, " ".join(base), None, 1), (1, " ".join(base), None, 1)]
+    found = simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == len(rows) and {r.component_id for r in found} == {1}
+    assert simhash.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
