@@ -108,6 +108,16 @@ def with_verdict(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHO
     return rows.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", kept.alias("kept"))
 
 
+def kept_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep.
+
+    Verdicts are written first: a filter on them would be pushed below the arrays that they are made of, which would then
+    be made anew for every word.
+    """
+    found = with_verdict(docs, trusted, threshold, id_col, text_col).select("row", "kept")
+    return written(found, "verdicts").where("kept").select("row.*")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """The ids that some row of ``labels`` marks with quality 1."""
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
