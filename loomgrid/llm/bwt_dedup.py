@@ -39,7 +39,7 @@ from loomgrid.llm.common import written
 WINDOW, GRAM = 100, 24
 REACH = WINDOW - GRAM + 1
 #: Bytes of a bucket and of a shard, different stretches of an anchor beyond which its windows are dealt one by one.
-BUCKET, SHARD, MOST = 1 << 20, 1 << 17, 4096
+BUCKET, SHARD, MOST = 1 << 17, 1 << 15, 4096
 LAST = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
