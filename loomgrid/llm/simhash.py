@@ -281,13 +281,14 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     marked = written(own.mapInPandas(run, "doc_id long, node long, fp long, bands array<long>, hashes array<int>"), "shingles")
     least = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
     nodes = least.withColumnRenamed("node", "n")
-    classes = written(marked.join(nodes.drop("fp"), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "bands", "hashes"), "classes")
+    classes = marked.join(nodes.drop("fp"), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("least")))
     by_fp = nodes.groupBy("fp").agg(F.min("n").alias("first"))
     named = by_fp.select(F.col("fp").alias("f"), "first")
     fuzzy = links(by_fp).join(named.withColumnsRenamed({"f": "u", "first": "a"}), "u").join(named.withColumnsRenamed({"f": "v", "first": "b"}), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     equal = nodes.join(by_fp, "fp").where("n <> first").select(F.least("n", "first").alias("u"), F.greatest("n", "first").alias("v"))
     pairs = written(band_candidates(classes.select("node", "bands")).unionByName(fuzzy).unionByName(equal).distinct(), "candidates")
-    sets = classes.select("node", "hashes")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = classes.select("node", "hashes").join(wanted, "node", "left_semi")
     both = pairs.join(sets.withColumnsRenamed({"node": "u", "hashes": "one"}), "u").join(sets.withColumnsRenamed({"node": "v", "hashes": "two"}), "v")
     shared = F.size(F.array_intersect("one", "two"))
     joined = components(both.where(shared >= F.lit(similarity) * (F.size("one") + F.size("two") - shared)).select("u", "v"))
