@@ -45,8 +45,10 @@ RADIUS = 3
 SEGMENTS = (22, 21, 21)
 #: Band keys of a text and min-wise hashes of each: all but 0.3 % of pairs of similarity 0.8 share a key.
 BANDS, ROWS = 18, 6
-#: Members of a key that all others are held against: all of them up to FEW, else the MOST_SHARED that share most.
+#: Members of a key that all others are held against first: all of them up to FEW, else the MOST_SHARED that share most.
 FEW, MOST_SHARED = 8, 3
+#: Nodes and shingles of a block of a key whose nodes are compared block against block, and shingles at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 4096
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1. A fixed value.
 GENERATOR = 0b101011100011
 
@@ -239,15 +241,19 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def band_candidates(classes: DataFrame) -> DataFrame:
-    """(u, v): pairs of nodes of ``classes`` (node, bands) that share a band key, in number proportional to the nodes.
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """(key, node, size, members): the band keys of ``classes`` (node, size, bands) that more than one node has."""
+    keyed = written(classes.select("node", "size", F.explode("bands").alias("key")).distinct(), "bands")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    return written(keyed.join(sizes, "key"), "shared")
+
+
+def band_candidates(shared: DataFrame) -> DataFrame:
+    """(u, v): pairs of nodes of ``shared`` keys, in number proportional to the nodes.
 
     Of a key with many nodes, each is paired with those whose keys have most nodes in all: the common origin of near
-    copies has the most frequent key in every band.
+    copies has the most frequent key in every band. What that leaves apart, ``rest_links`` compares.
     """
-    keyed = written(classes.select("node", F.explode("bands").alias("key")), "bands")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = written(keyed.join(sizes, "key"), "shared")
     score = shared.groupBy("node").agg(F.sum("members").alias("score"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
     first = shared.join(score, "node").withColumn("rank", rank).where(F.col("rank") <= FEW)
@@ -255,11 +261,93 @@ def band_candidates(classes: DataFrame) -> DataFrame:
     return shared.select("key", F.col("node").alias("u")).join(first, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
+def common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """(len(one), len(two)) numbers of common values of the sets of either list."""
+
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own = [np.unique(x) for x in sets]
+        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
+
+    (row, x), (column, y) = flat(one), flat(two)
+    values = np.intersect1d(x, y)
+    sides = []
+    for at, v in ((row, x), (column, y)):
+        place = np.searchsorted(values, v)
+        known = place < len(values)
+        known[known] = values[place[known]] == v[known]
+        order = np.argsort(place[known], kind="stable")
+        sides.append((at[known][order], place[known][order]))
+    out = np.zeros((len(one), len(two)), np.float64)
+    for start in range(0, len(values), COLUMNS):
+        parts = []
+        for (at, place), n in zip(sides, out.shape):
+            low, high = np.searchsorted(place, [start, start + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(values) - start)), np.float32)
+            part[at[low:high], place[low:high] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) pairs of ``linked`` that join the same rows and columns as all its pairs, fewer than its rows and columns."""
+    new_row, new_column, out = linked.any(1), linked.any(0), []
+    for start in range(len(linked)):
+        rows = np.array([start]) if new_row[start] else np.array([], int)
+        new_row[start] = False
+        while len(rows):
+            columns = np.nonzero(linked[rows].any(0) & new_column)[0]
+            new_column[columns] = False
+            out += zip(rows[linked[np.ix_(rows, columns)].argmax(0)].tolist() if len(columns) else [], columns.tolist())
+            rows = np.nonzero(linked[:, columns].any(1) & new_row)[0]
+            new_row[rows] = False
+            out += zip(rows.tolist(), columns[linked[np.ix_(rows, columns)].argmax(1)].tolist() if len(rows) else [])
+    return out
+
+
+def rest_links(shared: DataFrame, joined: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links between the roots of ``joined`` (node, root) that its keys with over FEW nodes still hold.
+
+    Pairs within a component need no comparison. Of a key, every node outside its largest component is held against all
+    its nodes: both sides are dealt to blocks by a hash, bounded in nodes and in shingles, and every block meets every
+    block of the other side in a group of its own, which yields only as many links as join its nodes.
+    """
+    big = shared.where(F.col("members") > FEW)
+    named = big.join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    named = written(named, "named")
+    per = named.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    last = F.max(F.struct("n", "s", "root")).alias("main")
+    open_keys = per.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("s").alias("s"), last).where("roots > 1")
+    blocks = lambda n, s: F.ceil(F.greatest(n / F.lit(BLOCK), s / F.lit(BLOCK_SHINGLES), F.lit(1.0))).cast("int")
+    open_keys = open_keys.select(
+        "key", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("lefts"), blocks(F.col("n"), F.col("s")).alias("rights")
+    )
+    members = written(named.join(open_keys, "key"), "open")
+    if members.isEmpty():
+        return members.select(F.col("root").alias("u"), F.col("root").alias("v"))
+    whole = members.join(sets, "node").withColumn("at", F.xxhash64("node", "key"))
+    dealt = lambda parts: F.pmod("at", F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = whole.where("root <> main").select("key", dealt("lefts").alias("i"), every("rights").alias("j"), F.col("root").alias("u"), F.col("hashes").alias("one"))
+    right = whole.select(F.col("key").alias("key_2"), every("lefts").alias("i_2"), dealt("rights").alias("j_2"), F.col("root").alias("v"), F.col("hashes").alias("two"))
+
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"u": np.array([], np.int64), "v": np.array([], np.int64)})
+        a, b = one["u"].to_numpy(np.int64), two["v"].to_numpy(np.int64)
+        both = common(list(one["one"]), list(two["two"]))
+        total = one["one"].map(len).to_numpy()[:, None] + two["two"].map(len).to_numpy()[None, :]
+        pairs = forest((both >= similarity * (total - both)) & (a[:, None] != b[None, :]))
+        return pd.DataFrame({"u": a[[p[0] for p in pairs]] if pairs else a[:0], "v": b[[p[1] for p in pairs]] if pairs else b[:0]})
+
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key_2", "i_2", "j_2")).applyInPandas(compare, "u long, v long").distinct()
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): one row per input row; links are similarities of ``similarity`` or more of shingle sets.
 
-    Equal sets are one node. A link within a group can be missed where neither text is among those that its keys' nodes
-    are held against; links found are exact. Texts without words are one group; ids as in ``near_duplicates``.
+    Equal sets are one node. All nodes that share a key are compared, but for those that other links join already; links
+    are exact. Texts without words are one group; ids as in ``near_duplicates``.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,6 +358,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64").to_numpy(object, na_value=None),
+                        "size": np.fromiter(map(len, sets), np.int32, len(part)),
                         "node": [xxhash.xxh64_intdigest(s.tobytes(), seed) - (1 << 63) for s in sets],
                         "fp": np.fromiter((text_fingerprint(t if isinstance(t, str) else None, width, seed) for t in part["text"]), np.uint64, len(part)).view(np.int64),
                         "bands": [band_keys(s) for s in sets],
@@ -278,20 +367,26 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                 )
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = written(own.mapInPandas(run, "doc_id long, node long, fp long, bands array<long>, hashes array<int>"), "shingles")
+    marked = written(own.mapInPandas(run, "doc_id long, size int, node long, fp long, bands array<long>, hashes array<int>"), "shingles")
     least = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
     nodes = least.withColumnRenamed("node", "n")
-    classes = marked.join(nodes.drop("fp"), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    # rows of a node have equal sets, so that any of them will do
+    classes = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "bands", "hashes")])
     by_fp = nodes.groupBy("fp").agg(F.min("n").alias("first"))
     named = by_fp.select(F.col("fp").alias("f"), "first")
     fuzzy = links(by_fp).join(named.withColumnsRenamed({"f": "u", "first": "a"}), "u").join(named.withColumnsRenamed({"f": "v", "first": "b"}), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     equal = nodes.join(by_fp, "fp").where("n <> first").select(F.least("n", "first").alias("u"), F.greatest("n", "first").alias("v"))
-    pairs = written(band_candidates(classes.select("node", "bands")).unionByName(fuzzy).unionByName(equal).distinct(), "candidates")
+    keyed = shared_keys(classes.select("node", "size", "bands"))
+    pairs = written(band_candidates(keyed).unionByName(fuzzy).unionByName(equal).distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = classes.select("node", "hashes").join(wanted, "node", "left_semi")
+    sets = written(classes.select("node", "hashes").join(wanted, "node", "left_semi"), "sets")
     both = pairs.join(sets.withColumnsRenamed({"node": "u", "hashes": "one"}), "u").join(sets.withColumnsRenamed({"node": "v", "hashes": "two"}), "v")
     shared = F.size(F.array_intersect("one", "two"))
     joined = components(both.where(shared >= F.lit(similarity) * (F.size("one") + F.size("two") - shared)).select("u", "v"))
+    more = written(rest_links(keyed, joined, sets, similarity), "rest")
     roots = least.join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    if not more.isEmpty():
+        further = components(more).withColumnsRenamed({"node": "n", "root": "r"})
+        roots = roots.join(further, F.col("root") == F.col("n"), "left").select("node", "least", F.coalesce("r", "root").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "node").join(roots.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

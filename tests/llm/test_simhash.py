@@ -123,3 +123,43 @@ def test_large_group_of_near_copies_and_nulls(spark):
     found = simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(found) == len(rows) and {r.component_id for r in found} == {1}
     assert simhash.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def near_copies(n, seed):
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(300), 4 + seed % 2 * rng.randrange(2)):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((10 + i, " ".join(text), None, 1))
+    return rows
+
+
+def test_large_group_without_its_original(spark):
+    for seed in (6, 7):
+        rows = near_copies(600, seed)
+        found = simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert {(r.doc_id, r.component_id) for r in found} == brute_similar(rows, 5, 0.8)
+
+
+def test_blocks_and_forest():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 9000, rng.integers(1, 4000)).astype(np.int32) for _ in range(30)]
+    both = simhash.common(sets[:12], sets[12:])
+    assert all(both[i, j] == len(set(sets[i]) & set(sets[12 + j])) for i in range(12) for j in range(18))
+    assert not simhash.common([np.array([1], np.int32)], [np.array([2], np.int32)]).any()
+    for share in (0.0, 0.03, 0.1, 0.6):
+        linked = rng.random((40, 25)) < share
+        pairs = simhash.forest(linked)
+        assert len(pairs) < 65 and all(linked[p] for p in pairs)
+
+        def groups(edges):
+            root = list(range(65))
+            for i, j in edges:
+                one, two = root[i], root[40 + j]
+                root = [one if x == two else x for x in root]
+            return [root.index(x) for x in root]
+
+        assert groups(pairs) == groups(zip(*map(list, np.nonzero(linked))))
