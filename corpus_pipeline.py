@@ -5,7 +5,7 @@ Parquet and read again as the next one's ``docs``. All but the last return the c
 
 * quality_rules: documents that the rules reject go; the trusted kind are the documents that labels mark as good.
 * simhash: of each group of near-duplicates (sets of five-word shingles, similarity of 0.8 or more) the row with the
-  smallest doc_id stays; of equal rows of that id, one.
+  smallest doc_id stays, null ids last; of its rows with that id, one.
 * suffix_array: bytes of strings of 100 bytes that occurred earlier are cut out; characters that a cut divides go with it.
   A document of which nothing but white space is left goes.
 * mixing: sources are brought to their target weights; a document that is taken twice is two rows.
@@ -19,7 +19,6 @@ give empty results.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm import bwt_dedup, mixing, packing, quality_rules, simhash
@@ -39,10 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The first document of each group of near-duplicates."""
     ship(spark)
     found = simhash.similar_documents(docs, width=WIDTH, similarity=SIMILARITY)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    own = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
-    return kept.withColumn("copy", F.row_number().over(own)).where("copy = 1").select(*COLUMNS)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
+    first = found.groupBy("root").agg(least.alias("row")).select("row")
+    # equal ids with equal texts: one of them, before anything meets in one task
+    once = docs.withColumn("row", simhash.row_key(F.col("doc_id"), F.col("text"))).groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("doc"))
+    return once.join(first, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in COLUMNS])
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

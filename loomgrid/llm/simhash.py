@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import written
@@ -343,11 +343,17 @@ def rest_links(shared: DataFrame, joined: DataFrame, sets: DataFrame, similarity
     return left.groupBy("key", "i", "j").cogroup(right.groupBy("key_2", "i_2", "j_2")).applyInPandas(compare, "u long, v long").distinct()
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key of the id and the whole text of a row; a null text counts as empty."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(" "), F.coalesce(text.cast("string"), F.lit(""))).cast("binary")))
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id): one row per input row; links are similarities of ``similarity`` or more of shingle sets.
+    """(doc_id, component_id, row, root): one row per input row; links are similarities of ``similarity`` or more of shingle sets.
 
     Equal sets are one node. All nodes that share a key are compared, but for those that other links join already; links
-    are exact. Texts without words are one group; ids as in ``near_duplicates``.
+    are exact. Texts without words are one group; ids as in ``near_duplicates``. ``row`` is the row's ``row_key``; ``root``
+    names the component where ids repeat or are null.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,6 +364,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64").to_numpy(object, na_value=None),
+                        "row": part["row"],
                         "size": np.fromiter(map(len, sets), np.int32, len(part)),
                         "node": [xxhash.xxh64_intdigest(s.tobytes(), seed) - (1 << 63) for s in sets],
                         "fp": np.fromiter((text_fingerprint(t if isinstance(t, str) else None, width, seed) for t in part["text"]), np.uint64, len(part)).view(np.int64),
@@ -366,8 +373,8 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                     }
                 )
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = written(own.mapInPandas(run, "doc_id long, size int, node long, fp long, bands array<long>, hashes array<int>"), "shingles")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row"))
+    marked = written(own.mapInPandas(run, "doc_id long, row binary, size int, node long, fp long, bands array<long>, hashes array<int>"), "shingles")
     least = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
     nodes = least.withColumnRenamed("node", "n")
     # rows of a node have equal sets, so that any of them will do
@@ -389,4 +396,4 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         further = components(more).withColumnsRenamed({"node": "n", "root": "r"})
         roots = roots.join(further, F.col("root") == F.col("n"), "left").select("node", "least", F.coalesce("r", "root").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "node").join(roots.join(smallest, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "row", "node").join(roots.join(smallest, "root").select("node", "component_id", "root"), "node").select("doc_id", "component_id", "row", "root")
