@@ -21,7 +21,7 @@ and source are ignored here and kept by ``mixed_documents``. An empty table give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import SPACE, words, written
@@ -34,6 +34,8 @@ PASSES = 2
 SLICES, LAST_SLICE = 4096, 65535
 #: Offers that are put in line at once; a slice with more is sliced again.
 LINE = 50_000
+#: Names of the columns that tell rows apart where ids repeat.
+KEYS = ("_text_key", "_row_key")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -49,9 +51,12 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return base.select("source", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken, taken_1 ... taken_PASSES): what the mix takes of each pass of each document."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col).cast("string"))).cast("long").alias("size"))
+def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken, taken_1 ... taken_PASSES): what the mix takes of each pass of each document.
+
+    Columns named in ``keep`` are carried along after those.
+    """
+    sized = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col).cast("string"))).cast("long").alias("size"))
     sized = written(sized.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "sizes")
     sized = sized.withColumn("bucket", F.substring("mark", 1, 3))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
@@ -63,7 +68,7 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     served = sized.withColumn("within", within).join(buckets, sized["source"].eqNullSafe(buckets["s"]) & (sized["bucket"] == buckets["b"]))
     ends = [F.col("skip") + F.col("within") + F.lit(k) * F.col("source_size") for k in range(PASSES)]
-    served = served.select("doc_id", "size", "source", "source_size", "target", *[F.when(F.col("target") > 0, e / F.col("target")).otherwise(F.lit(0.0)).alias(f"finish_{k + 1}") for k, e in enumerate(ends)])
+    served = served.select(*keep, "doc_id", "size", "source", "source_size", "target", *[F.when(F.col("target") > 0, e / F.col("target")).otherwise(F.lit(0.0)).alias(f"finish_{k + 1}") for k, e in enumerate(ends)])
     served = written(served, "finish")
     budget = int(share * (served.agg(F.sum("size")).first()[0] or 0))
     time, source, taken = cut(served, budget)
@@ -73,7 +78,7 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         all_of = (at < F.lit(time)) | ((at == F.lit(time)) & tie) if time is not None else F.lit(True)
         served = served.withColumn(f"taken_{k}", F.when(F.col("size") == 0, 0).when(here, F.lit(taken)).when(all_of, F.col("size")).otherwise(0).cast("long"))
     parts = [f"taken_{k}" for k in range(1, PASSES + 1)]
-    return served.select("doc_id", "size", "source", "source_size", "target", sum(map(F.col, parts)).alias("taken"), *parts)
+    return served.select("doc_id", "size", "source", "source_size", "target", sum(map(F.col, parts)).alias("taken"), *parts, *keep)
 
 
 def cut(served: DataFrame, budget: int) -> tuple[float | None, str | None, int]:
@@ -96,16 +101,28 @@ def cut(served: DataFrame, budget: int) -> tuple[float | None, str | None, int]:
     return row["at"], row["source"], row["size"] - (row["end"] - budget)
 
 
+def row_keys(docs: DataFrame, text_col: str) -> dict[str, Column]:
+    """KEYS of a row: hashes of its text and of its other columns, equal only for rows that are equal throughout."""
+    text = F.col(text_col).cast("string")
+    # a hash skips nulls, so which columns are null is hashed with them
+    others = [c for c in docs.columns if c != text_col]
+    values = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes if c in others]
+    return {KEYS[0]: F.coalesce(F.md5(text.cast("binary")), F.lit("")), KEYS[1]: F.xxhash64(*values, *[F.col(c).isNull() for c in others])}
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a row for each time a document is taken.
 
     The one document that the budget cuts keeps its first words, joined by spaces. Columns are those of ``docs``.
     """
-    took = queue(docs, weights, share, id_col, text_col, source_col).where("taken > 0")
-    took = took.select(F.col("doc_id").alias("taken_id"), F.explode(F.array(*[f"taken_{k}" for k in range(1, PASSES + 1)])).alias("taken_words"), F.col("size").alias("taken_of")).where("taken_words > 0")
-    out = docs.join(took, docs[id_col].eqNullSafe(took["taken_id"]))
+    keyed = docs.withColumns(row_keys(docs, text_col))
+    took = queue(keyed, weights, share, id_col, text_col, source_col, KEYS).where("taken > 0")
+    took = took.select(*KEYS, F.explode(F.array(*[f"taken_{k}" for k in range(1, PASSES + 1)])).alias("taken_words"), F.col("size").alias("taken_of")).where("taken_words > 0")
+    # equal rows are one row here and as many in the queue, so that each of those finds one
+    once = keyed.groupBy(*KEYS).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("doc"))
+    out = once.join(took, list(KEYS)).select("doc.*", "taken_words", "taken_of")
     text = F.when(F.col("taken_words") < F.col("taken_of"), F.array_join(F.slice(words(F.col(text_col)), 1, F.col("taken_words").cast("int")), " ")).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return out.select(*[text.alias(c) if c == text_col else c for c in docs.columns])
 
 
 ORACLE_SQL = f"""

@@ -61,3 +61,25 @@ def test_null_and_repeated_ids_and_empty(spark):
     assert len(found) == 4 and sum(r.taken for r in found) == 15
     assert mixing.queue(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.queue(spark.createDataFrame([(1, None, "s", 1, "x")], SCHEMA).select("doc_id", "text", "source")).first().taken == 0
+
+
+def test_mixed_documents_of_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, None, 1, 2, i]), " ".join([f"w{i}"] * rng.choice([0, 1, 5, 40])), rng.choice(["a", "B", None]), i, "b") for i in range(80)]
+    rows = rows + rows[:30] + [(None, None, "a", 1, None), (1, "x y", "a", None, "2"), (1, "x y", "a", 2, None), (1, "x y", "a", 2, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    made = mixing.mixed_documents(docs).collect()
+    took = mixing.queue(docs.withColumn("body", docs["text"]), keep=("body",))
+    words, want = {}, {}
+    for r in made:
+        words[r.doc_id, r.source, r.text.split()[0]] = words.get((r.doc_id, r.source, r.text.split()[0]), 0) + len(r.text.split())
+    for r in took.where("taken > 0").collect():
+        key = r.doc_id, r.source, r.body.split()[0]
+        want[key] = want.get(key, 0) + r.taken
+    total = sum(len((r[1] or "").split()) for r in rows)
+    assert sum(words.values()) == int(1.5 * total)
+    assert {r[:2] for r in words} <= {(r[0], r[2]) for r in rows}
+    whole = set(rows)
+    cut = [r for r in made if tuple(r) not in whole]
+    assert len(cut) <= 1
+    assert sum(abs(words.get(k, 0) - want.get(k, 0)) for k in words.keys() | want.keys()) <= 2 * 40
