@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Tables that `written` made, by the identity of their DataFrame.
+_tables: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -28,9 +32,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; one of our own only where the cluster names none."""
+    """The folder that every executor sees: spark.checkpoint.dir. Only a session on this machine alone gets one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='loomgrid-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -40,4 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it in the shared folder and read it again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables[id(out)] = weakref.ref(out), path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``written``, once all that reads them is written itself."""
+    for df in tables:
+        kept, path = _tables.pop(id(df), (None, None))
+        if path and kept() is df:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
