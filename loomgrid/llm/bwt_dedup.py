@@ -3,24 +3,24 @@
 A byte is removed if it is covered by a string of ``WINDOW`` bytes that also starts earlier: in a row with a smaller
 id, or earlier in the same row. Matches never cross rows.
 
-1. Anchors. Each window names its least ``GRAM``-byte gram by hash, leftmost of equals. Equal windows name equal grams at equal
-   places, so windows can only repeat where an anchor does; about one position in 39 is one. Anchors are counted, and
-   those that occur once are dropped: no window of theirs repeats.
-2. Segments. An anchor's windows are one stretch of text. Equal stretches of an anchor are collapsed to their first
-   owner; all other owners' windows are repeats. Anchors that are left with several different stretches can still
-   share windows in part.
-3. Transforms. Those stretches are dealt into buckets by anchor and cut into shards. Every shard gets its suffix
-   order and transform; the transforms of a bucket are merged by refining their interleave: each round sorts it stably
-   by the transform's symbol, after h rounds it is in order of h symbols, and no suffix is sorted again. The round in which
-   two neighbours part is their common prefix; neighbours that have not parted after ``WINDOW`` rounds form the
-   repeated intervals, and all but the first owner of an interval repeat. An anchor with more than ``MOST`` different
-   stretches is dealt by single windows instead: equal windows are collapsed to their first owner before anything meets,
-   so no bucket grows with the number of rows that share a passage.
+1. Anchors deal the text. Each window names its least ``GRAM``-byte gram by hash, leftmost of equals. Equal windows name
+   equal grams at equal places, so windows can only repeat where an anchor does; about one position in 39 is one.
+   Anchors are counted, and those that occur once are dropped: no window of theirs repeats.
+2. Segments. An anchor's windows are one stretch of text. Equal stretches of an anchor (equal XXH64 of their bytes, besides
+   the 48-bit hash of their anchor) are one segment with its first owner and its number of owners.
+3. Transforms. Segments are dealt into buckets by anchor and cut into shards. Every shard gets its suffix order and
+   transform; the transforms of a bucket are merged by refining their interleave, two symbols in a round, and intervals that
+   are down to one suffix leave, so that work is spent on what still repeats. What is left after ``WINDOW`` symbols are the
+   repeated intervals: all but the first owner of an interval repeat. An interval counts all owners of a segment, so every
+   repeat is decided here, also that of copies. The segments of an anchor with more than ``MOST`` of them are cut into their
+   single windows, which are dealt by their own hash, equal ones as one segment: a passage that very many rows share
+   with different surroundings fills no bucket, whatever their number.
 4. Spans. The repeats of a row are collected (they are bounded by its own length) and joined with its text.
 
 Nulls: a null text is empty. Null ids come after all others. Rows with equal id are ordered by a hash of their text; rows
 with equal id and equal text are one document, shown once for each row, and none of them is earlier than the
-other. Extra columns are ignored by ``spans`` and kept by ``cleaned``. An empty table gives an empty result.
+other. Texts of any length are read in overlapping parts. Extra columns are ignored by ``spans`` and kept by
+``cleaned``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomgrid.llm.common import written
+from loomgrid.llm.common import drop, written
 
 WINDOW, GRAM = 100, 24
 REACH = WINDOW - GRAM + 1
 #: Bytes of a bucket and of a shard, different stretches of an anchor beyond which its windows are dealt one by one.
-BUCKET, SHARD, MOST = 1 << 17, 1 << 15, 4096
+BUCKET, SHARD, MOST = 1 << 17, 1 << 15, 1024
 LAST = (1 << 63) - 1
+_UP = bytes((b + 1) % 256 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -64,7 +65,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, first window, windows, anchor, stretch hash) of texts laid end to end in ``data``, 65,000 bytes at most.
 
-    ends: where each text ends. Anchors are 48-bit hashes, stretch hashes are of 64 bits.
+    ends: where each text ends. Anchors are 48-bit hashes of their gram; stretches have the XXH64 of their bytes, seeded with
+    the anchor's place in them.
     """
     n = len(data)
     if n < WINDOW:
@@ -88,8 +90,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.nonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])]))[0]
     first, count = starts[at], np.diff(np.append(at, len(starts)))
     place = (least[at] & np.uint64(0xFFFF)).astype(np.int64) - first
-    stretch = (sums[first + count + WINDOW - 1] - sums[first]) * down[first]
-    stretch = _mix(stretch ^ _mix((count * 128 + place).astype(np.uint64)))
+    raw, digest = data.tobytes(), xxhash.xxh64_intdigest
+    stretch = np.fromiter((digest(raw[f:e], k) for f, e, k in zip(first.tolist(), (first + count + WINDOW - 1).tolist(), place.tolist())), np.uint64, len(at))
     return row[at], first, count, (least[at] >> np.uint64(16)).astype(np.int64), stretch.view(np.int64)
 
 
@@ -111,13 +113,22 @@ def chunks(texts: list[bytes], most: int = 60_000) -> Iterator[tuple[list[int],
         yield rows, begins, parts
 
 
-def located(docs: DataFrame, mark: Column, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text) with what orders rows: the id, null last, and a mark that tells rows of one id apart."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), mark.cast("long").alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def located(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(id, mark, text, keep...) of every row and of the different ones, with what orders rows: the id, null last, and a mark.
+
+    The mark tells rows of one id apart by a hash of their text; it is negative where there is an id.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    again = docs.groupBy(id_col).count().where("count > 1").limit(1).count() > 0
+    h = F.xxhash64(text)
+    mark = F.when(F.col(id_col).isNull(), F.shiftrightunsigned(h, 1)).otherwise(h.bitwiseOR(F.lit(-(1 << 63))) if again else F.lit(-1))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), mark.cast("long").alias("mark"), text.alias("text"), *keep)
+    once = rows.select("id", "mark", "text")
+    return rows, once.dropDuplicates(["id", "mark"]) if again else once
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
-    """(anchor, stretch, id, mark, at): one row per anchor; at = 128 * first window + windows."""
+    """(a, s, id, mark, at): one row per anchor a with its stretch s; at = 128 * first window + windows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -132,97 +143,101 @@ def find_anchors(rows: DataFrame) -> DataFrame:
                 own = np.array(own)[row]
                 out.append((anchor, stretch, ids[own], marks[own], (first + offset[row]) * 128 + count))
                 if len(out) >= 64:
-                    yield pd.DataFrame(dict(zip(("anchor", "stretch", "id", "mark", "at"), map(np.concatenate, zip(*out)))))
+                    yield pd.DataFrame(dict(zip(("a", "s", "id", "mark", "at"), map(np.concatenate, zip(*out)))))
                     out = []
             if out:
-                yield pd.DataFrame(dict(zip(("anchor", "stretch", "id", "mark", "at"), map(np.concatenate, zip(*out)))))
+                yield pd.DataFrame(dict(zip(("a", "s", "id", "mark", "at"), map(np.concatenate, zip(*out)))))
 
-    return rows.mapInPandas(run, "anchor long, stretch long, id long, mark long, at long")
+    return rows.mapInPandas(run, "a long, s long, id long, mark long, at long")
 
 
-def suffix_order(text: np.ndarray, segments: int) -> np.ndarray:
-    """Suffix order of segments that end in 0 (other symbols are larger), by doubling; equal suffixes in order of segment."""
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of ``text`` (bytes; 0 ends a segment) by ``WINDOW`` symbols at least, by doubling; equal ones in order of place.
+
+    What lies beyond the end of a segment may decide between suffixes that are shorter than a window.
+    """
     n = len(text)
-    rank = text.astype(np.int64) + segments
-    rank[text == 0] = np.arange(segments)
-    step = 1
+    wide = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)[:n]
+    key, step = np.ascontiguousarray(wide).view(">u8").reshape(-1).astype(np.uint64), 8
     while True:
-        other = np.zeros(n, np.int64)
-        other[:-step] = rank[step:] + 1
-        key = rank * (n + segments + 300) + other
         order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank[order] = new
-        if new[-1] == n - 1:
+        own = key[order]
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])]).astype(np.uint64)
+        if step >= WINDOW or rank[order[-1]] == n - 1:
             return order
-        step *= 2
+        other = np.zeros(n, np.uint64)
+        other[:-step] = rank[step:] + np.uint64(1)
+        key, step = (rank << np.uint64(32)) | other, 2 * step
 
 
 def transform(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(transform, last-to-first map, suffix order) of segments; symbol 0 ends a segment, a byte b is b + 1."""
-    text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 1, np.uint16(0)) for s in segments])
-    order = suffix_order(text, len(segments))
-    symbols = text[order - 1]  # before the first segment stands the last one's end
-    to_first = np.empty(len(text), np.int64)
-    to_first[np.argsort(symbols, kind="stable")] = np.arange(len(text))
-    return symbols, to_first, order
+    """(transform, last-to-first map, suffix order) of segments laid end to end, each with an end.
 
-
-def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in the shards laid end to end, common prefix with the one before) in merged order of ``rounds`` symbols.
-
-    A prefix of ``rounds`` stands for that and more. Ends of segments are all different.
+    The transform has the two symbols before a suffix as one number (a byte b is b + 1, which UTF-8 keeps below 256), and 0
+    where the segment has fewer than two; the map leads to the suffix that begins with them.
+    """
+    text = np.frombuffer(b"".join(bytes(s).translate(_UP) + b"\0" for s in segments), np.uint8)
+    order = suffix_order(text)
+    rank = np.empty(len(text), np.int32)
+    rank[order] = np.arange(len(text), dtype=np.int32)
+    two, one = order - 2, order - 1  # before the first symbol stands the last segment's end
+    symbols = np.where((text[two] > 0) & (text[one] > 0), text[two].astype(np.uint16) << 8 | text[one], 0).astype(np.uint16)
+    return symbols, rank[two], order
+
+
+def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members, interval of each, common): the repeated intervals of ``window`` symbols (an even number) over all shards.
+
+    Members are places in the transforms laid end to end. The interleave of the transforms begins in their order; each
+    round sorts it stably by the transform's symbols and follows the map, so that after h rounds it is in order of 2 h
+    symbols. An interval that is down to one member is settled and leaves; ``common`` (for all places) has the symbols,
+    rounded down to even, that a suffix had in common with another when it left.
     """
     sizes = np.cumsum([0, *(len(s) for s, _, _ in shards)])
     symbols = np.concatenate([s for s, _, _ in shards])
-    to_first = np.concatenate([f + b for (_, f, _), b in zip(shards, sizes)]).astype(np.int32)
-    ends = np.concatenate([b + np.arange((s == 0).sum()) for (s, _, _), b in zip(shards, sizes)]).astype(np.int32)
-    now = np.arange(len(symbols), dtype=np.int32)
-    group = np.zeros(len(symbols), np.int32)
-    prefix = np.full(len(symbols), rounds, np.int16)
-    prefix[0] = 0
-    m = len(ends)
-    for h in range(rounds):
+    to_first = np.concatenate([f + np.int32(b) for (_, f, _), b in zip(shards, sizes)])
+    common = np.zeros(len(symbols), np.int16)
+    now, group = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    for h in range(window // 2):
         c = symbols[now]
-        order = np.argsort(c, kind="stable")[m:]  # ends come first and are in place
-        now = np.concatenate([ends, to_first[now[order]]])
-        c, old = c[order], group[order]
-        new = np.ones(len(now), bool)
-        new[m + 1 :] = (c[1:] != c[:-1]) | (old[1:] != old[:-1])
-        prefix[new & (prefix == rounds)] = h
-        group = np.cumsum(new, dtype=np.int32)
-    return now, prefix
-
-
-def repeated(stretches: pd.DataFrame) -> pd.DataFrame:
-    """(id, mark, at) of the windows of stretches (id, mark, first, data) that have an earlier equal one among them."""
-    data = [bytes(d) for d in stretches["data"]]
-    shards, bases, group, size = [], [], [], 0
-    for i, d in enumerate(data):
-        group.append(i)
-        size += len(d)
-        if size >= SHARD or i == len(data) - 1:
-            shards.append(transform([data[k] for k in group]))
-            bases += group
-            group, size = [], 0
-    now, prefix = merge(shards, WINDOW)
-    # suffix orders are within shards; lay all segments end to end with their ends
-    lengths = np.array([len(d) + 1 for d in data])
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    shard_base = np.concatenate([[0], np.cumsum([len(s) for s, _, _ in shards])[:-1]])
-    place = np.concatenate([o + b for (_, _, o), b in zip(shards, shard_base)])[now]
-    same = prefix >= WINDOW
-    interval = np.cumsum(~same)
-    member = same | np.append(same[1:], False)
-    place, interval = place[member], interval[member]
+        inside = np.nonzero(c)[0]
+        c, now, group = c[inside], now[inside], group[inside]
+        order = np.argsort(c, kind="stable")
+        c, now, group = c[order], to_first[now[order]], group[order]
+        new = np.ones(len(now) + 1, bool)
+        new[1:-1] = (c[1:] != c[:-1]) | (group[1:] != group[:-1])
+        stay = np.nonzero(~(new[:-1] & new[1:]))[0]
+        now, group = now[stay], np.cumsum(new[:-1], dtype=np.int32)[stay]
+        common[now] = 2 * h + 2
+        if not len(now):
+            break
+    return now, group, common
+
+
+def repeated(segments: pd.DataFrame) -> pd.DataFrame:
+    """(a, s, id, mark, at, copies) from segments (a, s, id, mark, at, n, data) of a bucket, whose first owners are (id, mark, at).
+
+    Rows without ``copies``: windows of the first owner that an earlier segment has too. Rows with it: segments with more
+    owners than one, whose intervals all hold the first owner, so that all windows of the others repeat.
+    """
+    data = segments["data"].tolist()
+    lengths = np.fromiter(map(len, data), np.int64, len(data)) + 1
+    cuts = np.nonzero(np.diff(np.cumsum(lengths) // SHARD, prepend=-1))[0]
+    shards = [transform(data[a:b]) for a, b in zip(cuts, [*cuts[1:], len(data)])]
+    now, interval, _ = merge(shards)
+    # suffix orders are within shards; all segments lie end to end
+    begin = np.cumsum(lengths) - lengths
+    place = np.concatenate([o + b for (_, _, o), b in zip(shards, begin[cuts])])[now]
     segment = np.searchsorted(begin, place, side="right") - 1
-    ids, marks = stretches["id"].to_numpy(np.int64)[segment], stretches["mark"].to_numpy(np.int64)[segment]
-    at = stretches["first"].to_numpy(np.int64)[segment] + place - begin[segment]
-    order = np.lexsort((at, marks, ids, interval))
-    new = np.concatenate([[True], interval[order][1:] != interval[order][:-1]]) if len(order) else np.zeros(0, bool)
-    owner = order[np.nonzero(new)[0][np.cumsum(new) - 1]] if len(order) else order
-    keep = order[(ids[order] != ids[owner]) | (marks[order] != marks[owner]) | (at[order] != at[owner])]  # a row given twice is no earlier row
-    return pd.DataFrame({"id": ids[keep], "mark": marks[keep], "at": at[keep]})
+    ids, marks, first = (segments[c].to_numpy(np.int64) for c in ("id", "mark", "at"))
+    at = (first[segment] >> 7) + place - begin[segment]
+    order = np.lexsort((at, marks[segment], ids[segment], interval))
+    later = np.nonzero(np.diff(interval[order], prepend=-1) == 0)[0]
+    keep = order[later]
+    own = runs(pd.DataFrame({"id": ids[segment[keep]], "mark": marks[segment[keep]], "at": at[keep]})).assign(a=0, s=0, copies=False)
+    again = segments.loc[segments["n"] > 1, ["a", "s", "id", "mark", "at"]].assign(copies=True)
+    return pd.concat([own, again])[["a", "s", "id", "mark", "at", "copies"]]
 
 
 def runs(found: pd.DataFrame) -> pd.DataFrame:
@@ -249,55 +264,76 @@ def pressed(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "id long, mark long, text binary")
 
 
-def repeats(rows: DataFrame) -> DataFrame:
-    """(id, mark, at): stretches of windows (at = 128 * first + windows) that have an earlier equal one."""
-    found = find_anchors(rows)
-    often = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    kept = written(found.join(often, "anchor", "left_semi"), "anchors")
-    owner = F.struct("id", "mark", F.shiftright("at", 7).alias("first"))
-    firsts = kept.groupBy("anchor", "stretch").agg(F.min(owner).alias("owner"), F.first(F.col("at").bitwiseAND(127)).alias("windows"))
-    firsts = written(firsts.select("anchor", "stretch", "owner.*", "windows"), "stretches")
-    later = kept.join(firsts.select("anchor", "stretch", F.col("id").alias("i"), F.col("mark").alias("m"), F.col("first").alias("f")), ["anchor", "stretch"])
-    later = later.where(F.struct("id", "mark", F.shiftright("at", 7)) > F.struct("i", "m", "f")).select("id", "mark", "at")
-
-    kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = firsts.join(kinds, "anchor").select("id", "mark", "first", "windows", "anchor", (F.col("kinds") > MOST).alias("hot"))
-    several = written(several, "several")
-    size = several.where("not hot").agg(F.sum(F.col("windows") + WINDOW)).first()[0] or 0
-    lists = several.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "windows", "anchor", "hot")).alias("wanted"))
-    buckets = max(1, -(-size // BUCKET))
-
-    def slices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cut_out(rows: DataFrame, wanted: DataFrame, single: bool = False) -> DataFrame:
+    """(a, s, id, mark, at, n, data): the bytes of ``wanted`` (a, s, id, mark, at, n), or each of their windows by itself."""
+    lists = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "s", "at", "n")).alias("wanted"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
         for f in frames:
-            out = []
             for i, m, packed, wanted in zip(f["id"], f["mark"], f["text"], f["wanted"]):
-                text = unpack.decompress(packed)
+                text, out = unpack.decompress(packed), []
                 for w in wanted:
-                    if w["hot"]:
-                        out += [(hash_of(d), True, i, m, s, d) for s in range(w["first"], w["first"] + w["windows"]) for d in (text[s : s + WINDOW],)]
+                    first, count = w["at"] >> 7, w["at"] & 127
+                    if single:
+                        out += [(0, 0, i, m, k * 128 + 1, 1, text[k : k + WINDOW]) for k in range(first, first + count)]
                     else:
-                        out.append((w["anchor"], False, i, m, w["first"], text[w["first"] : w["first"] + w["windows"] + WINDOW - 1]))
-            yield pd.DataFrame(out, columns=["key", "hot", "id", "mark", "first", "data"])
+                        out.append((w["a"], w["s"], i, m, w["at"], w["n"], text[first : first + count + WINDOW - 1]))
+                yield pd.DataFrame(out, columns=["a", "s", "id", "mark", "at", "n", "data"])
 
-    cut = pressed(rows).join(lists, ["id", "mark"]).mapInPandas(slices, "key long, hot boolean, id long, mark long, first long, data binary")
-    cut = written(cut, "segments")
+    cut = pressed(rows).join(lists, ["id", "mark"]).mapInPandas(run, "a long, s long, id long, mark long, at long, n long, data binary")
+    return cut.withColumns({"a": F.xxhash64("data"), "s": F.xxhash64(F.lit("window"), "data")}) if single else cut
 
-    def compare(own: pd.DataFrame) -> pd.DataFrame:
-        return runs(repeated(own))
 
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
-    shared = cut.where("not hot").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(compare, "id long, mark long, at long")
-    single = cut.where("hot")
-    least = single.groupBy("data").agg(F.min(F.struct("id", "mark", "first")).alias("least"))
-    single = single.join(least, "data").where(F.struct("id", "mark", "first") > F.col("least")).select("id", "mark", (F.col("first") * 128 + 1).alias("at"))
-    return later.unionByName(shared).unionByName(single)
+def decided(segments: DataFrame, total: int) -> DataFrame:
+    """``repeated`` of the segments, dealt by ``a`` to as many buckets as their bytes need; written."""
+    bucket = F.pmod(F.xxhash64("a"), F.lit(max(1, -(-total // BUCKET))))
+    found = segments.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(repeated, "a long, s long, id long, mark long, at long, copies boolean")
+    return written(found, "decided")
 
 
-def hash_of(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=7).digest(), "little")
+def judged(owned: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(id, mark, at): what repeats of ``owned`` (a, s, id, mark, at), whose segments have ``verdicts``."""
+    copies = verdicts.where("copies").select("a", "s", F.col("id").alias("i"), F.col("mark").alias("m"), F.col("at").alias("f"))
+    later = owned.join(copies, ["a", "s"]).where("not (id = i and mark = m and at = f)").select("id", "mark", "at")
+    return later.unionByName(verdicts.where("not copies").select("id", "mark", "at"))
+
+
+def owners(owned: DataFrame) -> DataFrame:
+    """(a, s, id, mark, at, n): the first owner and the number of owners of every segment."""
+    return owned.groupBy("a", "s").agg(F.min(F.struct("id", "mark", "at")).alias("first"), F.count("*").alias("n")).select("a", "s", "first.*", "n")
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """(id, mark, at): stretches of windows (at = 128 * first + windows) that have an earlier equal one; written."""
+    found = find_anchors(rows)
+    often = written(found.groupBy("a").count().where("count > 1").select("a"), "often")
+    kept = written(found.join(often, "a", "left_semi"), "anchors")
+    drop(often)
+    firsts = written(owners(kept), "stretches")
+    hot = written(firsts.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("a"), "hot")
+    crowded = not hot.isEmpty()
+    mild = firsts.join(hot, "a", "left_anti") if crowded else firsts
+    total = mild.agg(F.sum(F.col("at").bitwiseAND(127) + WINDOW)).first()[0] or 0
+    verdicts = decided(cut_out(rows, mild), total)
+    found = judged(kept, verdicts)
+    spent = [kept, firsts, hot, verdicts]
+    if crowded:
+        # copies of a whole stretch repeat; the windows of first owners are dealt one by one
+        of_hot = kept.join(hot, "a", "left_semi")
+        first = F.struct("i", "m", "f")
+        others = of_hot.join(firsts.where("n > 1").select("a", "s", F.col("id").alias("i"), F.col("mark").alias("m"), F.col("at").alias("f")), ["a", "s"]).where(F.struct("id", "mark", "at") > first)
+        single = written(cut_out(rows, firsts.join(hot, "a", "left_semi"), single=True), "windows")
+        each = single.groupBy("data").agg(F.min(F.struct("id", "mark", "at")).alias("first"), F.count("*").alias("n"))
+        each = each.select(F.xxhash64("data").alias("a"), F.xxhash64(F.lit("window"), "data").alias("s"), "first.*", "n", "data")
+        more = decided(each, each.count() * (WINDOW + 1))
+        found = found.unionByName(judged(single.drop("data", "n"), more)).unionByName(others.select("id", "mark", "at"))
+        spent += [single, more]
+    out = written(found, "repeats")
+    drop(*spent)
+    return out
 
 
 def removed(text: bytes, at: np.ndarray) -> np.ndarray:
@@ -309,22 +345,10 @@ def removed(text: bytes, at: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def _with_spans(docs: DataFrame, mark: Column, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text, ats) of every row; text compressed."""
-    rows = located(docs, mark, id_col, text_col)
-    found = written(repeats(rows), "repeats").groupBy("id", "mark").agg(F.collect_list("at").alias("ats"))
-    return pressed(rows).join(found, ["id", "mark"], "left")
-
-
-def marked(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """What tells rows of one id apart: nothing where ids are unique, else a hash of the text."""
-    again = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) if again else F.lit(0)
-
-
 def spans(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) per row of ``docs``; text without the removed bytes."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * keep_text
+    schema = "id long, mark long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -332,16 +356,19 @@ def spans(docs: DataFrame, keep_text: bool = False, id_col: str = "doc_id", text
         unpack = zstandard.ZstdDecompressor()
         for f in frames:
             out = []
-            for i, packed, ats in zip(f["id"], f["text"], f["ats"]):
+            for packed, ats in zip(f["text"], f["ats"]):
                 text = unpack.decompress(packed)
                 gone = removed(text, np.array(ats, np.int64)) if ats is not None and len(ats) else np.zeros(len(text), bool)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 number = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((None if i == LAST else i, len(text), int(gone.sum()), number, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * keep_text))
-            made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * keep_text)
-            yield made.astype({"doc_id": "Int64"})
+                out.append((len(text), int(gone.sum()), number, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * keep_text))
+            made = pd.DataFrame(out, columns=names)
+            yield pd.concat([f[["id", "mark"]].reset_index(drop=True), made], axis=1)
 
-    return _with_spans(docs, marked(docs, id_col, text_col), id_col, text_col).mapInPandas(run, schema)
+    rows, once = located(docs, id_col, text_col)
+    found = repeats(once).groupBy("id", "mark").agg(F.collect_list("at").alias("ats"))
+    made = pressed(rows).join(found, ["id", "mark"], "left").mapInPandas(run, schema)
+    return made.select(F.when((F.col("id") < LAST) | (F.col("mark") < 0), F.col("id")).alias("doc_id"), *names)
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,23 +376,19 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Characters that a cut divides are left out too. Other columns are unchanged, and travel with their row's text.
     """
-    names = [c for c in docs.columns if c != text_col]
-    mark = marked(docs, id_col, text_col)
-    rows = located(docs, mark, id_col, text_col)
-    found = written(repeats(rows), "repeats").groupBy("id", "mark").agg(F.collect_list("at").alias("ats"))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), mark.cast("long").alias("mark"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*names).alias("rest"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for t, ats in zip(f["text"], f["ats"]):
-                if ats is not None and len(ats):
-                    data = t.encode("utf-8", "surrogatepass")
-                    t = np.frombuffer(data, np.uint8)[~removed(data, np.array(ats, np.int64))].tobytes().decode("utf-8", "ignore")
-                out.append(t)
-            f = f[["rest"]].assign(text=out)
-            yield f[f["text"].str.strip().astype(bool)]
-
-    schema = T.StructType([T.StructField("rest", own.schema["rest"].dataType), T.StructField("text", T.StringType())])
-    made = own.join(found, ["id", "mark"], "left").select("rest", "text", "ats").mapInPandas(run, schema)
-    return made.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != text_col]
+    rows, once = located(docs.withColumn("_rest", F.struct(*others)), id_col, text_col, "_rest")
+    found = repeats(once).groupBy("id", "mark").agg(F.collect_list("at").alias("ats"))
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for t, ats in zip(texts, lists):
+            if ats is not None and len(ats):
+                data = t.encode("utf-8", "surrogatepass")
+                t = np.frombuffer(data, np.uint8)[~removed(data, np.array(ats, np.int64))].tobytes().decode("utf-8", "ignore")
+            out.append(t if t.strip() else None)
+        return pd.Series(out, dtype=object)
+
+    made = rows.join(found, ["id", "mark"], "left").select("_rest", without("text", "ats").alias("left")).where(F.col("left").isNotNull())
+    return made.select(*[F.col("left").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns])

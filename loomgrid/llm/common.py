@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.session import shared_dir, written  # noqa: F401
+from loomgrid.session import drop, shared_dir, written  # noqa: F401
 
 #: The words of a text are the runs of characters outside this class.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -35,11 +35,12 @@ def corpus(seed):
         t = "".join(rng.choice([text(rng.randint(0, 200)), rng.choice(passages), rng.choice(passages)[rng.randint(0, 60) :]]) for _ in range(rng.randint(0, 5)))
         rows.append((i * 3, t))
     rows += [(1, None), (2, ""), (4, "a" * 700), (7, "ab" * 300), (500, "x" * 99), (501, "x" * 100), (502, "x" * 101), (None, passages[0] * 2), (900, rows[5][1]), (901, rows[5][1])]
+    rows += [(3000 + i, text(rng.randint(0, 40)) + passages[3] + text(rng.randint(0, 40))) for i in range(60)]  # a hot passage
     rows += [(1000, passages[1] + text(130_000) + passages[2]), (1001, text(70_000) + passages[1] + text(50))]
     return rows
 
 
-@pytest.mark.parametrize("seed,most", [(1, 4096), (2, 2)])
+@pytest.mark.parametrize("seed,most", [(1, 1024), (2, 2)])
 def test_equal_to_brute_force(spark, monkeypatch, seed, most):
     monkeypatch.setattr(b, "MOST", most)
     monkeypatch.setattr(b, "BUCKET", 5000)
@@ -50,21 +51,43 @@ def test_equal_to_brute_force(spark, monkeypatch, seed, most):
     assert found == brute(rows)
 
 
-def test_merge_is_the_sorted_order():
+def test_merge_finds_the_repeated_intervals():
     rng = random.Random(4)
     segments = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 60))).encode() for _ in range(40)]
     groups = [segments[:7], segments[7:8], segments[8:25], segments[25:]]
     shards = [b.transform(g) for g in groups]
-    now, prefix = b.merge(shards, 70)
+    now, interval, common = b.merge(shards, 12)
     places = [(s, o) for s, d in enumerate(segments) for o in range(len(d) + 1)]
     base = np.cumsum([0] + [sum(len(d) + 1 for d in g) for g in groups])
-    order = np.concatenate([o + x for (_, _, o), x in zip(shards, base)])[now]
+    order = np.concatenate([o + x for (_, _, o), x in zip(shards, base)])
     suffix = lambda p: segments[p[0]][p[1] :]
-    assert [places[k] for k in order] == sorted(places, key=lambda p: (suffix(p), p[0]))
-    for k in range(1, len(order)):
-        x, y = suffix(places[order[k - 1]]), suffix(places[order[k]])
-        common = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
-        assert prefix[k] == common
+    found = [places[k] for k in order[now]]
+    by_string = {}
+    for p in places:
+        if len(suffix(p)) >= 12:
+            by_string.setdefault(suffix(p)[:12], []).append(p)
+    want = {k: v for k, v in by_string.items() if len(v) > 1}
+    assert len(want) > 20
+    assert [suffix(p)[:12] for p in found] == sorted(suffix(p)[:12] for p in found)  # merged order
+    groups = {}
+    for p, g in zip(found, interval.tolist()):
+        groups.setdefault(g, set()).add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    for k, p in enumerate(order):
+        own = suffix(places[p])
+        most = max(next((i for i in range(min(len(own), len(x), 12)) if own[i] != x[i]), min(len(own), len(x), 12)) for q in places if q != places[p] for x in [suffix(q)])
+        assert common[k] == most // 2 * 2
+
+
+def test_shards_are_in_suffix_order():
+    rng = random.Random(5)
+    segments = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 400))) for _ in range(20)]
+    symbols, to_first, order = b.transform(segments)
+    text = b"".join(s.translate(b._UP) + b"\0" for s in segments)
+    assert all(text[x : x + 100] <= text[y : y + 100] for x, y in zip(order, order[1:]))
+    for rank in range(len(text)):
+        if symbols[rank]:
+            assert order[to_first[rank]] == order[rank] - 2 and symbols[rank] == text[order[rank] - 2] << 8 | text[order[rank] - 1]
 
 
 def test_repeated_rows_of_one_id(spark):
@@ -73,3 +96,24 @@ def test_repeated_rows_of_one_id(spark):
     found = sorted((r.doc_id, r.n_removed) for r in b.spans(spark.createDataFrame(rows, SCHEMA)).collect())
     assert found in ([(5, 0), (5, 0), (5, 300), (6, 300)], [(5, 0), (5, 300), (5, 300), (6, 300)])
     assert b.spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_at_the_end_of_the_range(spark):
+    t = "".join(random.Random(2).choices("abcdefgh ", k=300))
+    rows = [(2**63 - 1, t, 0, "m"), (None, t + "x", 0, "m"), (2**53 + 1, t + "y", 0, "m"), (2**53 + 2, t, 0, "m"), (None, "other", 0, "m")]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in b.spans(docs).collect()), key=repr) == sorted([(2**63 - 1, 300, 300), (None, 301, 300), (2**53 + 1, 301, 0), (2**53 + 2, 300, 300), (None, 5, 0)], key=repr)
+
+
+def test_many_equal_rows_of_one_id(spark):
+    t = "".join(random.Random(3).choices("abcdefgh ", k=300))
+    docs = spark.createDataFrame([(5, t + t, 0, "m")] * 60, SCHEMA)
+    assert {(r.n_removed, r.n_spans) for r in b.spans(docs).collect()} == {(300, 1)}
+    assert b.spans(docs).count() == 60
+
+
+def test_cleaned_keeps_the_other_columns(spark):
+    t = "".join(random.Random(6).choices("abcdefgh ", k=300))
+    rows = [(None, t, 7, "m"), (None, None, 8, "m"), (3, t + "é tail", 9, None), (3, "  ", 1, "m"), (3, t, 2, "z")]
+    found = sorted(map(tuple, b.cleaned(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    assert found in (sorted([(3, t, 2, "z"), (3, "é tail", 9, None)], key=repr), [(3, t + "é tail", 9, None)])
