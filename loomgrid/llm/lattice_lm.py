@@ -1,22 +1,22 @@
 """Language-model scoring by subword lattice likelihood.
 
-The pieces of a public vocabulary, weighted by its own scores, span every segmentation of a word; its lattice
-probability is the sum over all of them, by a forward recursion in log space. Starting from the vocabulary's scores the
-weights are re-estimated by expectation and maximisation (forward and backward over the lattice of every distinct
-training word). Characters that no piece has are spelled in byte pieces. A word of the training documents has one arc
-more in its lattice, the word as a whole, with its count less the absolute discount d = n1 / (n1 + 2 n2); the mass so
-set aside weighs the pieces. A document's probability is that of its words and one end, for no piece crosses white
-space: the lattice of a document is the chain of those of its words. All of it is one distribution over texts.
+The pieces of a public vocabulary, weighted by its own scores, span every segmentation of a text; its probability is
+the sum over all of them, by a forward recursion in log space. A piece has the weight exp(score / temperature): the
+file's scores are negated ranks, so a temperature is needed to make weights of them. It is the only thing about the pieces
+that is learned, by the likelihood of all training words under each of ``TEMPERATURES`` and a parabola through the best.
+Pieces that are one character or longer share ``1 - BYTES`` of the weight, and the 256 bytes the rest; a character can
+always be spelled in bytes. A text is a stream of pieces with an end, whose share is that of the ends among
+the training tokens. No piece crosses white space, so the lattice of a document is the chain of those of its words.
 
 Jobs: one pass encodes documents in blocks, each with a dictionary of its own words, so a word is shuffled once per
-block and not once per token. Word counts, expected piece counts and word probabilities are aggregates over all
-training documents; word probabilities are computed once per distinct word and joined to the blocks' dictionaries.
-Documents meet their block's dictionary in a co-group, both bounded by ``BLOCK_WORDS``. Only the piece weights (the
-vocabulary's size) pass through the driver.
-
-Nulls: a null text is an empty one: its end alone. Without training documents the weights are those of the vocabulary,
-counts are 0 and base scores null, for there is no distribution. Null ids, repeated rows and other columns do no harm.
-An empty table gives an empty result.
+block and not once per token; lists and dictionaries are compressed. The temperature's likelihoods are sums over the
+blocks' dictionaries, without a shuffle. Word counts are an aggregate over all training documents, joined back to the
+dictionaries' words. Documents meet their block's dictionary in a co-group, both bounded by ``BLOCK_WORDS``, where each
+word's lattice is summed once. Only sums pass through the driver.
+
+Nulls: a null text is an empty one: its end alone. Without training documents the temperature is ``NEUTRAL``,
+counts are 0 and base scores null, for there is no distribution. Null ids, repeated rows and other columns do no harm; texts
+may be of any length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,16 +34,15 @@ from loomgrid.llm.common import written
 
 #: Distinct words and tokens after which a block of documents ends.
 BLOCK_WORDS, BLOCK_TOKENS = 150_000, 2_000_000
-ROUNDS = 2
-#: Total weight of the vocabulary's own scores in an estimate, in pieces.
-PRIOR = 200.0
+#: Temperatures whose likelihoods are compared, the one without training documents, the weight of all bytes together.
+TEMPERATURES, NEUTRAL, BYTES = (500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0), 4000.0, 0.01
 MARK = "▁"
 _P = np.uint64(0x100000001B3)
 _vocabularies: dict = {}
 
 
 class Vocabulary:
-    """Pieces by hash, and their prior weights from the file's scores (minus the score is a rank)."""
+    """Pieces by hash, with the file's scores."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -51,10 +50,7 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) and MARK not in sp.id_to_piece(i)[1:]]
         self.pieces = [sp.id_to_piece(i) for i in plain]
-        rank = np.array([-sp.get_score(i) for i in plain])
-        weight = 1 / (10 + rank)
-        #: one weight per piece, then all 256 bytes together
-        self.prior = np.append(0.99 * weight / weight.sum(), 0.01)
+        self.scores = np.array([sp.get_score(i) for i in plain])
         self.longest = max(map(len, self.pieces))
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
         order = np.argsort(hashes)
@@ -69,6 +65,11 @@ class Vocabulary:
             h = (h * int(_P) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    def weights(self, temperature: float, end: float) -> np.ndarray:
+        """Log weights of the pieces, then of all 256 bytes together; the end has the weight ``end``."""
+        scaled = self.scores / temperature
+        return np.append(scaled - _logsum(scaled) + math.log(1 - BYTES), math.log(BYTES)) + math.log(1 - end)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece of each hash, -1 where there is none."""
         at = np.searchsorted(self.hashes, h).clip(max=len(self.hashes) - 1)
@@ -117,29 +118,6 @@ def forward(weights: np.ndarray) -> np.ndarray:
     return a
 
 
-def expected(vocab: Vocabulary, words: list[str], counts: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, float]:
-    """Expected uses of every piece (and of bytes) in words of equal length, and their log probability."""
-    found, sizes = vocab.lattice(words)
-    weights = edges(found, sizes, logp)
-    a = forward(weights)
-    size, reach, n = weights.shape
-    b = np.zeros((size + 1, n))
-    for i in range(size - 1, -1, -1):
-        k = min(reach, size - i)
-        b[i] = _logsum(b[i + 1 : i + 1 + k] + weights[np.arange(i, i + k), np.arange(k)])
-    out = np.zeros(len(logp))
-    for k in range(reach):
-        post = np.exp(a[: size - k] + weights[k:, k] + b[k + 1 :] - a[size]) * counts
-        if k == 0:
-            spelled = np.exp(sizes * (logp[-1] - math.log(256)) - weights[:, 0]) * post
-            out[-1] += (spelled * sizes).sum()
-            post = post - spelled
-        ids = found[k:, k]
-        used = ids >= 0
-        out += np.bincount(ids[used], post[used], len(logp))
-    return out, float((a[size] * counts).sum())
-
-
 def by_length(words: list[str], cells: int = 300_000) -> Iterator[np.ndarray]:
     """Positions of words of equal length, in groups of bounded size."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -150,13 +128,27 @@ def by_length(words: list[str], cells: int = 300_000) -> Iterator[np.ndarray]:
             yield group[at : at + step]
 
 
+def pressed(numbers: np.ndarray) -> bytes:
+    """Integers below 2^31 as compressed bytes, the low bytes of all first."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpressed(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def encoded(docs: DataFrame, training: Column, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (block, doc_id, training, n_words, pairs) and of their blocks' dictionaries (block, words, counts).
+    """Rows of documents (block, doc_id, training, n_words, pairs) and of their blocks' dictionaries (block, pairs, words).
 
-    pairs: word numbers and counts of a document; counts: the block's training counts by word number.
+    pairs: word numbers and counts of a document, or the block's training counts by word number. Ids are decimal text.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 24
@@ -166,13 +158,14 @@ def encoded(docs: DataFrame, training: Column, id_col: str, text_col: str) -> Da
         tokens = 0
 
         def close() -> pd.DataFrame:
-            lead = (block, None, None, None, None, [w.decode("utf-8", "replace") for w in known], np.array(counts, "<i8").tobytes())
-            return pd.DataFrame([lead, *rows], columns=["block", "doc_id", "training", "n_words", "pairs", "words", "counts"]).astype({"doc_id": "Int64", "training": "boolean", "n_words": "Int64"})
+            words = zstandard.compress(b" ".join(known), 3)
+            lead = (block, None, None, None, pressed(np.minimum(np.array(counts, np.int64), (1 << 31) - 1)), words)
+            return pd.DataFrame([lead, *rows], columns=["block", "doc_id", "training", "n_words", "pairs", "words"]).astype({"training": "boolean", "n_words": "Int64"})
 
         for f in frames:
             for doc, text, train in zip(f["doc_id"], f["text"], f["training"]):
                 own = Counter((text or "").encode("utf-8", "replace").lower().split()) if isinstance(text, str) else Counter()
-                at = np.empty((2, len(own)), "<i4")
+                at = np.empty((2, len(own)), np.int64)
                 for i, (w, n) in enumerate(own.items()):
                     k = known.setdefault(w, len(known))
                     if k == len(counts):
@@ -180,8 +173,9 @@ def encoded(docs: DataFrame, training: Column, id_col: str, text_col: str) -> Da
                     if train:
                         counts[k] += n
                     at[0, i], at[1, i] = k, n
+                at = at[:, np.argsort(at[0])]
                 size = own.total()
-                rows.append((block, None if pd.isna(doc) else int(doc), bool(train), size, at.tobytes(), None, None))
+                rows.append((block, doc, bool(train), size, pressed(np.concatenate([np.diff(at[0], prepend=0), at[1]])), None))
                 tokens += size + 1
                 if len(known) > BLOCK_WORDS or tokens > BLOCK_TOKENS:
                     yield close()
@@ -190,8 +184,14 @@ def encoded(docs: DataFrame, training: Column, id_col: str, text_col: str) -> Da
         if rows:
             yield close()
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), training.alias("training"))
-    return own.mapInPandas(run, "block long, doc_id long, training boolean, n_words long, pairs binary, words array<string>, counts binary")
+    own = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"), training.alias("training"))
+    return own.mapInPandas(run, "block long, doc_id string, training boolean, n_words long, pairs binary, words binary")
+
+
+def dictionary(words: bytes) -> list[str]:
+    import zstandard
+
+    return [w.decode("utf-8", "replace") for w in zstandard.decompress(words).split(b" ") if w]
 
 
 def word_rows(blocks: DataFrame) -> DataFrame:
@@ -199,79 +199,79 @@ def word_rows(blocks: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for block, words, counts in zip(f["block"], f["words"], f["counts"]):
-                yield pd.DataFrame({"block": block, "k": np.arange(len(words), dtype=np.int32), "word": words, "n": np.frombuffer(counts, "<i8")})
-
-    return blocks.where("words is not null").select("block", "words", "counts").mapInPandas(run, "block long, k int, word string, n long")
-
-
-def estimate(vocab_path: str, words: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Log weights of pieces and bytes after ``rounds`` of expectation and maximisation over the words, each once."""
-    vocab = vocabulary(vocab_path)
-    prior = vocab.prior
-    logp = np.log(prior)
-    for _ in range(rounds):
-        own = logp
-
-        def run(frames: Iterator[pd.DataFrame], own: np.ndarray = own) -> Iterator[pd.DataFrame]:
-            pieces, total = vocabulary(vocab_path), np.zeros(len(own))
-            for f in frames:
-                words = f["word"].tolist()
-                for group in by_length(words):
-                    total += expected(pieces, [words[i] for i in group], np.ones(len(group)), own)[0]
-            used = np.nonzero(total)[0]
-            yield pd.DataFrame({"piece": used.astype(np.int32), "uses": total[used]})
-
-        uses = np.zeros(len(prior))
-        for r in words.select("word").mapInPandas(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-            uses[r["piece"]] = r["uses"]
-        uses += PRIOR * prior
-        logp = np.log(uses / uses.sum())
-    return logp
-
-
-def scored(docs: DataFrame, training: Column, vocab_path: str, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for block, words, counts in zip(f["block"], f["words"], f["pairs"]):
+                if not (own := dictionary(words)):
+                    continue
+                yield pd.DataFrame({"block": block, "k": np.arange(len(own), dtype=np.int32), "word": own, "n": unpressed(counts).astype(np.int64)})
+
+    return blocks.where("words is not null").select("block", "words", "pairs").mapInPandas(run, "block long, k int, word string, n long")
+
+
+def word_scores(vocab: Vocabulary, words: list[str], logps: list[np.ndarray]) -> np.ndarray:
+    """(len(logps), len(words)): log probability of every word under each set of weights."""
+    out = np.empty((len(logps), len(words)))
+    for group in by_length(words):
+        found, sizes = vocab.lattice([words[i] for i in group])
+        for t, logp in enumerate(logps):
+            out[t, group] = forward(edges(found, sizes, logp))[-1]
+    return out
+
+
+def best_temperature(blocks: DataFrame, vocab_path: str, end: float) -> float:
+    """The temperature with the greatest likelihood of all training words, between the compared ones by a parabola."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab, total = vocabulary(vocab_path), np.zeros(len(TEMPERATURES))
+        logps = [vocab.weights(t, end) for t in TEMPERATURES]
+        for f in frames:
+            for words, counts in zip(f["words"], f["pairs"]):
+                n = unpressed(counts)
+                own = [w for w, c in zip(dictionary(words), n) if c]
+                total += word_scores(vocab, own, logps) @ n[n > 0]
+        yield pd.DataFrame({"k": np.arange(len(total)), "likelihood": total})
+
+    sums = blocks.where("words is not null").select("words", "pairs").mapInPandas(run, "k int, likelihood double").groupBy("k").agg(F.array_sort(F.collect_list("likelihood")).alias("parts"))
+    # in the order of their size: the same sum in every run
+    y = np.array([math.fsum(r["parts"]) for r in sums.orderBy("k").collect()])
+    k = int(np.clip(y.argmax(), 1, len(y) - 2))
+    x = np.log(TEMPERATURES)
+    a, b, c = np.polyfit(x[k - 1 : k + 2] - x[k], y[k - 1 : k + 2] - y[k], 2)
+    return float(np.exp(x[k] + np.clip(-b / (2 * a), x[k - 1] - x[k], x[k + 1] - x[k]))) if a < 0 else TEMPERATURES[int(y.argmax())]
+
+
+def scored(docs: DataFrame, training: Column, vocab_path: str, temperature: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, training, n_tokens, n_known, train_tokens, base_score, score) of every whole text; scores are log10.
 
-    training: which rows of ``docs`` the counts and weights are learned from.
+    training: which rows of ``docs`` counts, temperature and the share of ends are learned from.
     """
     blocks = written(encoded(docs, training, id_col, text_col), "blocks")
-    rows = word_rows(blocks)
-    counts = written(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends, tokens = blocks.where("training").agg(F.count("*"), F.sum("n_words")).first()
-    seen = counts.where("n > 0")
-    types, once, twice = seen.agg(F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    kinds, total = types + (ends > 0), (tokens or 0) + ends
-    cut = once / (once + 2 * twice) if once and twice else 0.5
-    logp = estimate(vocab_path, seen, rounds)
-    # shares of the end and of the words that are spelled; with nothing learned, an end after 50 words
-    log_end, log_spelled = (math.log(ends / total), math.log(cut * types / total) if types else -math.inf) if total else (math.log(0.02), math.log(0.98))
-
-    def probabilities(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = vocabulary(vocab_path)
-        for f in frames:
-            words, out = f["word"].tolist(), np.empty(len(f))
-            for group in by_length(words):
-                out[group] = forward(edges(*pieces.lattice([words[i] for i in group]), logp))[-1]
-            whole = np.log(np.maximum((f["n"].to_numpy() - cut) / max(total, 1), 1e-300))
-            yield f.assign(logp=np.where(f["n"] > 0, np.logaddexp(whole, log_spelled + out), log_spelled + out))
-
-    known = counts.mapInPandas(probabilities, "word string, n long, logp double")
-    sizes = rows.select("block", "k", "word").join(known, "word").select("block", "k", "n", "logp")
+    total = (tokens or 0) + ends
+    # with nothing learned, an end after 50 words; a corpus of empty texts alone leaves pieces some weight
+    end = min(ends / total, 0.99) if total else 0.02
+    temperature = temperature or (best_temperature(blocks, vocab_path, end) if tokens else NEUTRAL)
+    rows = word_rows(blocks)
+    counts = rows.groupBy("word").agg(F.sum("n").alias("n"), F.min("block").alias("first"))
+    numbers = written(rows.select("block", "k", "word").join(counts, "word").select("block", "k", "n", (F.col("block") == F.col("first")).alias("first")), "numbers")
+    kinds = numbers.where("first and n > 0").count() + (ends > 0)
     base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
 
     def score(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        n, p = np.zeros(len(words), np.int64), np.zeros(len(words))
-        n[words["k"]], p[words["k"]] = words["n"], words["logp"]
+        vocab = vocabulary(vocab_path)
+        (text,) = own["words"].dropna()
+        p = word_scores(vocab, dictionary(text), [vocab.weights(temperature, end)])[0]
+        n = np.zeros(len(p), np.int64)
+        n[words["k"]] = words["n"]
         plain = base(n) if total else np.full(len(n), np.nan)
         out = []
+        own = own[own["words"].isna()]
         for pairs in own["pairs"]:
-            k, times = np.frombuffer(pairs, "<i4").reshape(2, -1)
-            out.append((int(times[n[k] > 0].sum()) + (ends > 0), float(plain[k] @ times) + (float(base(ends)) if total else np.nan), (float(p[k] @ times) + log_end) / math.log(10)))
+            k, times = unpressed(pairs).reshape(2, -1)
+            k = np.cumsum(k)
+            out.append((int(times[n[k] > 0].sum()) + (ends > 0), float(plain[k] @ times) + (float(base(ends)) if total else np.nan), (float(p[k] @ times) + math.log(end)) / math.log(10)))
         found = pd.DataFrame(out, columns=["n_known", "base_score", "score"])
-        made = pd.DataFrame({"doc_id": own["doc_id"].astype("Int64"), "training": own["training"].astype(bool), "n_tokens": own["n_words"].astype("int64") + 1})
-        return pd.concat([made.reset_index(drop=True), found], axis=1)
+        made = pd.DataFrame({"doc_id": own["doc_id"], "training": own["training"].astype(bool), "n_tokens": own["n_words"].astype("int64") + 1})
+        return pd.concat([made.astype({"doc_id": object}).reset_index(drop=True), found], axis=1)
 
-    texts = blocks.where("words is null").select("block", "doc_id", "training", "n_words", "pairs")
-    made = texts.groupBy("block").cogroup(sizes.groupBy("block")).applyInPandas(score, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double")
-    return made.select("doc_id", "training", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.nanvl("base_score", F.lit(None).cast("double")).alias("base_score"), "score")
+    made = blocks.groupBy("block").cogroup(numbers.select("block", "k", "n").groupBy("block")).applyInPandas(score, "doc_id string, training boolean, n_tokens long, n_known long, base_score double, score double")
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "training", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.nanvl("base_score", F.lit(None).cast("double")).alias("base_score"), "score")

@@ -31,20 +31,45 @@ def segmentations(vocab, word):
     return out
 
 
-def test_forward_and_expected_counts_equal_enumeration():
-    vocab = lattice_lm.vocabulary(PATH)
-    logp = np.log(vocab.prior)
+def text_log10(vocab, text, temperature, end):
+    """log10 probability of a whole text: the sum over all segmentations of all its words, then the end."""
+    logp = vocab.weights(temperature, end)
     weigh = lambda x: logp[x] if isinstance(x, int) else x[1] * (logp[-1] - math.log(256))
-    for word in ("the", "a", "été!", "日x", "zq&"):
-        ways = segmentations(vocab, word)
-        probs = [math.exp(sum(map(weigh, w))) for w in ways]
-        found, size = vocab.lattice([word])
-        assert np.isclose(lattice_lm.forward(lattice_lm.edges(found, size, logp))[-1][0], math.log(sum(probs)))
-        uses = np.zeros(len(logp))
-        for w, p in zip(ways, probs):
-            for x in w:
-                uses[x if isinstance(x, int) else -1] += p / sum(probs) * (1 if isinstance(x, int) else x[1])
-        assert np.allclose(lattice_lm.expected(vocab, [word], np.ones(1), logp)[0], uses, atol=1e-9)
+    words = [segmentations(vocab, w.decode()) for w in text.encode().lower().split()]
+    return sum(math.log10(math.fsum(math.exp(sum(map(weigh, way))) for way in ways)) for ways in words) + math.log10(end)
+
+
+def test_weights_are_a_distribution():
+    vocab = lattice_lm.vocabulary(PATH)
+    for temperature in (500.0, 16000.0):
+        logp = vocab.weights(temperature, 0.1)
+        assert math.isclose(np.exp(logp).sum(), 0.9)
+        assert np.allclose(np.diff(logp[:-1]), np.diff(vocab.scores) / temperature)
+
+
+def test_scores_equal_enumeration_of_whole_documents(spark):
+    vocab = lattice_lm.vocabulary(PATH)
+    texts = ["the cat sat", "A été! 日x zq&", "", "the the\tcat", "catmats on"]
+    docs = spark.createDataFrame([(k, t, k != 2) for k, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    made = {}
+    for temperature in (1000.0, 8000.0):
+        found = {r.doc_id: r.score for r in lattice_lm.scored(docs, F.col("train"), PATH, temperature).collect()}
+        end = 4 / (3 + 4 + 3 + 2 + 4)
+        for k, t in enumerate(texts):
+            assert math.isclose(found[k], text_log10(vocab, t, temperature, end), rel_tol=1e-9)
+        made[temperature] = found
+    assert made[1000.0][0] != made[8000.0][0]  # the scores of the vocabulary decide
+
+
+def test_temperature_is_the_likeliest(spark):
+    vocab = lattice_lm.vocabulary(PATH)
+    words = ["of", "the", "and", "to", "in", "hydrolysis", "quartz", "zebra"]
+    docs = spark.createDataFrame([(k, " ".join(words[: k % 9]), True) for k in range(40)], "doc_id long, text string, train boolean")
+    blocks = lattice_lm.encoded(docs, F.col("train"), "doc_id", "text").cache()
+    best = lattice_lm.best_temperature(blocks, PATH, 0.2)
+    counts = Counter(w for k in range(40) for w in words[: k % 9])
+    loss = lambda t: -(lattice_lm.word_scores(vocab, list(counts), [vocab.weights(t, 0.2)])[0] @ np.array(list(counts.values())))
+    assert 499 < best < 16001 and all(loss(best) <= loss(t) + 1e-9 * abs(loss(t)) or abs(math.log(best / t)) < 0.7 for t in lattice_lm.TEMPERATURES)
 
 
 def test_scores_and_base(spark):
