@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgrid.session import drop, shared_dir, written  # noqa: F401
 
@@ -29,3 +31,12 @@ def words(text: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's text, modulo ``parts``; null ids count as 0."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)), F.lit(0)).cast("int")
+
+
+@F.pandas_udf(T.BinaryType())
+def pressed(texts: pd.Series) -> pd.Series:
+    """Texts as zstandard-compressed UTF-8, for the shuffles that move whole texts; null for null."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
+    return pd.Series([None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import written
+from loomgrid.llm.common import drop, pressed, written
 
 RADIUS = 3
 #: Bits of the three segments of a fingerprint, lowest first.
@@ -83,7 +83,9 @@ def fingerprints(docs: DataFrame, width: int = 5, seed: int = 42, id_col: str =
             fps = np.fromiter((text_fingerprint(t, width, seed) for t in f["text"]), np.uint64, len(f))
             yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fps.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    # ids travel as decimal text: nulls among numbers would make them floating-point in Python
+    made = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id string, fp long")
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
 
 
 def _errors() -> np.ndarray:
@@ -187,7 +189,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        before = now
         now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        drop(before)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
             return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
@@ -242,13 +246,20 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, node, size, members): the band keys of ``classes`` (node, size, bands) that more than one node has."""
-    keyed = written(classes.select("node", "size", F.explode("bands").alias("key")).distinct(), "bands")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    return written(keyed.join(sizes, "key"), "shared")
+    """(key, node, size, members): the band keys of ``classes`` (node, size, bands) that more than one node has; written."""
+    keyed = classes.select("node", "size", F.explode("bands").alias("key")).distinct()
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "keys")
+    shared = written(keyed.join(sizes, "key"), "shared")
+    drop(sizes)
+    return shared
 
 
-def band_candidates(shared: DataFrame) -> DataFrame:
+def possible(u: str, v: str, similarity: float) -> Column:
+    """Whether sets of these sizes (columns) can have the similarity at all."""
+    return F.least(u, v) >= F.lit(similarity) * F.greatest(u, v)
+
+
+def band_candidates(shared: DataFrame, similarity: float) -> DataFrame:
     """(u, v): pairs of nodes of ``shared`` keys, in number proportional to the nodes.
 
     Of a key with many nodes, each is paired with those whose keys have most nodes in all: the common origin of near
@@ -257,8 +268,9 @@ def band_candidates(shared: DataFrame) -> DataFrame:
     score = shared.groupBy("node").agg(F.sum("members").alias("score"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))
     first = shared.join(score, "node").withColumn("rank", rank).where(F.col("rank") <= FEW)
-    first = first.where((F.col("members") <= FEW) | (F.col("rank") <= MOST_SHARED)).select("key", F.col("node").alias("v"))
-    return shared.select("key", F.col("node").alias("u")).join(first, "key").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    first = first.where((F.col("members") <= FEW) | (F.col("rank") <= MOST_SHARED)).select("key", F.col("node").alias("v"), F.col("size").alias("size_v"))
+    met = shared.select("key", F.col("node").alias("u"), F.col("size").alias("size_u")).join(first, "key").where((F.col("u") != F.col("v")) & possible("size_u", "size_v", similarity))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def common(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -323,6 +335,7 @@ def rest_links(shared: DataFrame, joined: DataFrame, sets: DataFrame, similarity
         "key", F.col("main.root").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("lefts"), blocks(F.col("n"), F.col("s")).alias("rights")
     )
     members = written(named.join(open_keys, "key"), "open")
+    drop(named)
     if members.isEmpty():
         return members.select(F.col("root").alias("u"), F.col("root").alias("v"))
     whole = members.join(sets, "node").withColumn("at", F.xxhash64("node", "key"))
@@ -351,49 +364,74 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id, row, root): one row per input row; links are similarities of ``similarity`` or more of shingle sets.
 
-    Equal sets are one node. All nodes that share a key are compared, but for those that other links join already; links
-    are exact. Texts without words are one group; ids as in ``near_duplicates``. ``row`` is the row's ``row_key``; ``root``
-    names the component where ids repeat or are null.
+    Equal sets are one node. All nodes that share a key are compared, but for those that other links join already; sets
+    are those of 64-bit hashes, and links are exact on them. Texts without words are one group; ids as in
+    ``near_duplicates``. ``row`` is the row's ``row_key``; ``root`` names the component where ids repeat or are null.
+
+    Only keys and sizes are kept of every text. The sets are made again, from the whole texts, of nodes that have a candidate.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def marks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 256):
                 part = f.iloc[at : at + 256]
                 sets = [shingles(t if isinstance(t, str) else None, width, seed) for t in part["text"]]
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].astype("Int64").to_numpy(object, na_value=None),
+                        "doc_id": part["doc_id"],
                         "row": part["row"],
                         "size": np.fromiter(map(len, sets), np.int32, len(part)),
                         "node": [xxhash.xxh64_intdigest(s.tobytes(), seed) - (1 << 63) for s in sets],
                         "fp": np.fromiter((text_fingerprint(t if isinstance(t, str) else None, width, seed) for t in part["text"]), np.uint64, len(part)).view(np.int64),
                         "bands": [band_keys(s) for s in sets],
-                        "hashes": [(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets],
                     }
                 )
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row"))
-    marked = written(own.mapInPandas(run, "doc_id long, row binary, size int, node long, fp long, bands array<long>, hashes array<int>"), "shingles")
-    least = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
-    nodes = least.withColumnRenamed("node", "n")
+    def again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for f in frames:
+            for at in range(0, len(f), 256):
+                part = f.iloc[at : at + 256]
+                yield pd.DataFrame({"node": part["node"], "hashes": [shingles(unpack.decompress(t).decode("utf-8", "surrogatepass"), width, seed).view(np.int64) for t in part["text"]]})
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text.alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row"))
+    marked = written(own.mapInPandas(marks, "doc_id string, row binary, size int, node long, fp long, bands array<long>").withColumn("doc_id", F.col("doc_id").cast("long")), "shingles")
     # rows of a node have equal sets, so that any of them will do
-    classes = marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "bands", "hashes")])
-    by_fp = nodes.groupBy("fp").agg(F.min("n").alias("first"))
-    named = by_fp.select(F.col("fp").alias("f"), "first")
-    fuzzy = links(by_fp).join(named.withColumnsRenamed({"f": "u", "first": "a"}), "u").join(named.withColumnsRenamed({"f": "v", "first": "b"}), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    equal = nodes.join(by_fp, "fp").where("n <> first").select(F.least("n", "first").alias("u"), F.greatest("n", "first").alias("v"))
-    keyed = shared_keys(classes.select("node", "size", "bands"))
-    pairs = written(band_candidates(keyed).unionByName(fuzzy).unionByName(equal).distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = written(classes.select("node", "hashes").join(wanted, "node", "left_semi"), "sets")
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("size", "bands")])
+    nodes = written(nodes, "nodes")
+    by_fp = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("n")).select("fp", F.col("n.node").alias("first"), F.col("n.size").alias("size")), "prints")
+    named = by_fp.select(F.col("fp").alias("f"), "first", F.col("size").alias("s"))
+    fuzzy = links(by_fp).join(named.withColumnsRenamed({"f": "u", "first": "a", "s": "size_a"}), "u").join(named.withColumnsRenamed({"f": "v", "first": "b", "s": "size_b"}), "v")
+    fuzzy = fuzzy.where(possible("size_a", "size_b", similarity)).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    equal = nodes.join(named, nodes["fp"] == named["f"]).where((F.col("node") != F.col("first")) & possible("size", "s", similarity)).select(F.least("node", "first").alias("u"), F.greatest("node", "first").alias("v"))
+    keyed = shared_keys(nodes.select("node", "size", "bands"))
+    pairs = written(band_candidates(keyed, similarity).unionByName(fuzzy).unionByName(equal).distinct(), "candidates")
+    drop(by_fp)
+    # the rest of a large key needs the sets of all its nodes
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(keyed.where(F.col("members") > FEW).select("node")).distinct()
+    wanted = written(nodes.select("node", "row").join(wanted, "node", "left_semi"), "wanted")
+    sets = own.select("row", pressed(F.col("text")).alias("text")).join(wanted, "row").select("node", "text").mapInPandas(again, "node long, hashes array<long>")
+    if marked.groupBy("row").count().where("count > 1").limit(1).count():
+        sets = sets.groupBy("node").agg(F.first("hashes").alias("hashes"))
+    sets = written(sets, "sets")
+    drop(wanted)
     both = pairs.join(sets.withColumnsRenamed({"node": "u", "hashes": "one"}), "u").join(sets.withColumnsRenamed({"node": "v", "hashes": "two"}), "v")
     shared = F.size(F.array_intersect("one", "two"))
-    joined = components(both.where(shared >= F.lit(similarity) * (F.size("one") + F.size("two") - shared)).select("u", "v"))
+    found = written(both.where(shared >= F.lit(similarity) * (F.size("one") + F.size("two") - shared)).select("u", "v"), "links")
+    drop(pairs)
+    joined = components(found)
     more = written(rest_links(keyed, joined, sets, similarity), "rest")
-    roots = least.join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    drop(found, keyed, sets)
+    roots = nodes.join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     if not more.isEmpty():
         further = components(more).withColumnsRenamed({"node": "n", "root": "r"})
         roots = roots.join(further, F.col("root") == F.col("n"), "left").select("node", "least", F.coalesce("r", "root").alias("root"))
+    roots = written(roots, "roots")
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "row", "node").join(roots.join(smallest, "root").select("node", "component_id", "root"), "node").select("doc_id", "component_id", "row", "root")
+    out = marked.select("doc_id", "row", "node").join(roots.join(smallest, "root").select("node", "component_id", "root"), "node").select("doc_id", "component_id", "row", "root")
+    out = written(out, "classes")
+    drop(marked, nodes, more, roots)
+    return out
