@@ -3,6 +3,8 @@
 import heapq
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.llm import ann
@@ -48,8 +50,33 @@ def test_few_rows(spark):
 def test_cells_are_visited_in_order():
     rng = np.random.default_rng(1)
     a, b, counts = rng.standard_normal(6), rng.standard_normal(5), rng.integers(0, 4, (6, 5))
-    sums = np.sort((a[:, None] + b[None, :]).reshape(-1))[::-1]
+    sums = (a[:, None] + b[None, :]).reshape(-1)
+    full = [c for c in np.argsort(-sums, kind="stable") if counts.reshape(-1)[c]]
     for wanted in (1, 10, counts.sum()):
-        mask = ann.visit(a, b, counts, wanted)
-        inside = (a[:, None] + b[None, :])[mask]
-        assert counts[mask].sum() >= wanted and np.allclose(np.sort(inside)[::-1], sums[: mask.sum()])
+        cells, held = ann.visit(a, b, counts, wanted)
+        assert cells.tolist() == full[: len(cells)] and held == counts.reshape(-1)[cells].sum() >= wanted
+        assert held - counts.reshape(-1)[cells[-1]] < wanted
+
+
+def test_bands_are_bounded():
+    counts = np.array([3, 3, 3, 25, 1, 0, 9, 10])
+    band, parts = ann.bands(counts, 10)
+    assert band.tolist() == [0, 0, 0, 1, 2, 2, 2, 3] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("kind,most", [("clustered", 0.2), ("structureless", 0.8)])
+def test_recall_and_visited_part_of_many(spark, kind, most):
+    rng, n = np.random.default_rng(7), 20_000
+    x = rng.standard_normal((n, 16))
+    if kind == "clustered":
+        x = rng.standard_normal((150, 16))[rng.integers(0, 150, n)] + 0.4 * x
+    docs = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    rows, visited = ann.searched(docs, F.col("id") % 100 == 0, 20)
+    found = rows.groupBy("query_id").agg(F.collect_list("id").alias("ids")).collect()
+    hits = 0
+    for r in found:
+        score = x @ x[r.query_id]
+        score[r.query_id] = -np.inf
+        hits += len(set(np.argpartition(-score, 19)[:20].tolist()) & set(r.ids))
+    assert len(found) == n // 100
+    assert hits / (20 * len(found)) >= 0.9 and visited < most
