@@ -6,8 +6,9 @@ hash. One part trains a dictionary for each label; the other calibrates. Every w
 not only for its beginning. The difference of the two sizes over the plain size is turned into a probability by
 logistic regression on the calibration part.
 
-Labels, language, source and id never enter a score. Only the sample and the two dictionaries (``DICTIONARY`` bytes
-each) pass through the driver; scoring is a map over partitions without a shuffle.
+Labels, language, source and id never enter a score. Only ``SAMPLE_BYTES`` of training texts for each label, the sizes of the
+calibration part and the two dictionaries (``DICTIONARY`` bytes each) pass through the driver; scoring is a map over
+partitions without a shuffle.
 
 Nulls: null and empty texts get the share of label 1 in the calibration part. Without texts of both labels every score
 is that share (0.5 if there are no labels). Labels that are null are ignored; a document with labels of both kinds
@@ -21,17 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents per label that are learned from, bytes of a dictionary, bytes of a block, compression level.
-SAMPLE, DICTIONARY, BLOCK, LEVEL = 1500, 112 * 1024, 4096, 3
-#: Blocks of one sampled document that are learned from, spread evenly over its whole text; scoring reads every block.
-SAMPLE_BLOCKS = 16
+from loomgrid.llm.common import written
 
+#: Documents per label that are learned from, bytes of their texts that train a dictionary, bytes of a dictionary, of a block, level.
+SAMPLE, SAMPLE_BYTES, DICTIONARY, BLOCK, LEVEL = 1500, 24 << 20, 112 * 1024, 4096, 3
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, bool, bytes]]:
-    """(label, whether it calibrates, text) of at most ``size`` documents per label, by the hash of their ids."""
+
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(labelled, label, h, calibrates, text) of at most ``size`` documents per label, by the hash of their ids; whole texts, written."""
     chosen = labels.select(F.col(id_col).cast("long").alias("labelled"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and labelled is not null").distinct()
     chosen = chosen.withColumn("h", F.xxhash64(F.lit("quality"), "labelled"))
     picked = None
@@ -39,16 +40,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, id_col: str =
         own = chosen.where(F.col("label") == label).join(docs.select(F.col(id_col).cast("long").alias("labelled")), "labelled", "left_semi").orderBy("h", "labelled").limit(size)
         picked = own if picked is None else picked.unionByName(own)
     rows = docs.select(F.col(id_col).cast("long").alias("labelled"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    # at most two times ``size`` ids are broadcast
     rows = rows.join(F.broadcast(picked), "labelled").groupBy("labelled", "label", "h").agg(F.min("text").alias("text"))
-
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cut = [blocks(t.encode("utf-8", "replace")) for t in f["text"]]
-            yield f[["labelled", "label", "h"]].assign(data=[b"".join(x[i * len(x) // SAMPLE_BLOCKS] for i in range(SAMPLE_BLOCKS)) if len(x) > SAMPLE_BLOCKS else b"".join(x) for x in cut])
-
-    found = rows.mapInPandas(spread, "labelled long, label int, h long, data binary").collect()
-    found.sort(key=lambda r: (r["label"], r["h"], r["labelled"], bytes(r["data"])))
-    return [(r["label"], r["h"] % 3 == 0, bytes(r["data"])) for r in found]
+    return written(rows.withColumn("calibrates", F.col("h") % 3 == 0), "sample")
 
 
 def blocks(data: bytes) -> list[bytes]:
@@ -98,17 +92,33 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def learn(rows: list[tuple[int, bool, bytes]]) -> dict:
-    """A model from the sample: dictionaries, slope and offset, and the share of label 1."""
-    train = {k: [t for label, c, t in rows if label == k and not c and t] for k in (0, 1)}
-    check = [(label, t) for label, c, t in rows if c and t] or [(label, t) for label, _, t in rows if t]
-    prior = float(np.mean([label for label, *_ in rows])) if rows else 0.5
-    if not train[0] or not train[1] or len({label for label, _ in check}) < 2:
-        return {"prior": prior}
-    model = {"prior": prior, "good": dictionary(train[1]), "bad": dictionary(train[0])}
-    gap = Gap(model["good"], model["bad"])
-    x, y = np.array([gap(t) for _, t in check]), np.array([float(label) for label, _ in check])
-    model["slope"], model["offset"] = logistic(x, y)
+def learn(rows: DataFrame) -> dict:
+    """A model from a sample: dictionaries, slope and offset, and the share of label 1.
+
+    Dictionaries are trained on whole texts in the order of their hash while their sum is within ``SAMPLE_BYTES`` for a label;
+    a label whose first text is longer than that trains on it alone. Calibration compresses whole texts in tasks.
+    """
+    n, good = rows.agg(F.count("*"), F.sum("label")).first()
+    model = {"prior": good / n if n else 0.5}
+    filled = rows.where("text <> ''")
+    line = Window.partitionBy("label").orderBy("h", "labelled").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = filled.where("not calibrates").select("labelled", "label", "h", F.octet_length("text").alias("bytes"))
+    within = sizes.withColumn("sum", F.sum("bytes").over(line)).where((F.col("sum") <= SAMPLE_BYTES) | (F.col("sum") == F.col("bytes"))).select("labelled", "label")
+    texts = {0: [], 1: []}
+    for r in sorted(filled.join(within, ["labelled", "label"]).collect(), key=lambda r: (r["h"], r["labelled"])):
+        texts[r["label"]].append(r["text"].encode("utf-8", "replace"))
+    check = filled.where("calibrates") if filled.where("calibrates").limit(1).count() else filled
+    if not texts[0] or not texts[1] or check.select("label").distinct().count() < 2:
+        return model
+    model["good"], model["bad"] = dictionary(texts[1]), dictionary(texts[0])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gap = Gap(model["good"], model["bad"])
+        for f in frames:
+            yield f[["labelled", "label"]].assign(gap=[gap(t.encode("utf-8", "replace")) for t in f["text"]])
+
+    made = sorted(map(tuple, check.select("labelled", "label", "text").mapInPandas(run, "labelled long, label int, gap double").collect()))
+    model["slope"], model["offset"] = logistic(np.array([g for *_, g in made]), np.array([float(label) for _, label, _ in made]))
     return model
 
 
@@ -124,6 +134,8 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, model["slope"] * gap(text.encode("utf-8", "replace")) + model["offset"]))))
 
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": [score(t) for t in f["text"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "score": [score(t) for t in f["text"]]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, score double")
+    # ids travel as decimal text: nulls among numbers would make them floating-point in Python
+    made = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id string, score double")
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "score")

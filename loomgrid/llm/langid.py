@@ -3,14 +3,15 @@
 Texts are lower-cased, runs of characters that are not letters become one blank, and the n-grams of 1 to ``LONGEST``
 characters are hashed to ``SLOTS`` features. Document frequencies are counted over all training documents, in every
 partition first (``SLOTS`` sums at most from each). The weights are learned by follow-the-regularised-leader with
-elastic-net penalties from at most ``SAMPLE`` documents per language, taken by the hash of their ids; a part of the
+elastic-net penalties from at most ``SAMPLE`` documents per language and ``SAMPLE_ALL`` in all, taken by the hash of their ids; a part of the
 sample is kept for the temperature that calibrates the probabilities. The sample's whole texts become features in
 tasks; only the features (``SLOTS`` at most of each document) reach the driver. Prediction is a map over partitions.
 
 Nulls: documents without text or language are not learned from. Of several texts of one id and language the smallest is
-learned from. A text that is null or has no letter is "und" with
+learned from. A text that is null or has no letter (a character of the Unicode category L) is "und" with
 score 0; so is every text when nothing was learned. One language alone is predicted with score 1. Repeated rows are
-predicted one by one; other columns are ignored. Empty tables give empty results.
+predicted one by one, texts of any length as a whole; of languages that are equally likely the first by name is predicted.
+Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,8 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS, LONGEST = 1 << 15, 3
-SAMPLE, EPOCHS, STEP, BETA, L1, L2 = 800, 4, 0.5, 1.0, 0.02, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+SAMPLE, SAMPLE_ALL, EPOCHS, STEP, BETA, L1, L2 = 800, 20_000, 4, 0.5, 1.0, 0.02, 0.02
 OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -114,17 +114,25 @@ def learn(docs: DataFrame, size: int = SAMPLE) -> dict:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen, rows = frequencies(known)
     marked = known.select("doc_id", "lang", F.xxhash64(F.lit("language"), "doc_id").alias("h"))
-    first = marked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= size)
+    languages = max(1, known.select("lang").distinct().count())
+    size = max(2, min(size, SAMPLE_ALL // languages))
+    # the first of every part of a language, then the first of those
+    for parts in (["lang", "part"], ["lang"]):
+        marked = marked.withColumn("part", F.pmod("h", F.lit(64))).withColumn("rank", F.row_number().over(Window.partitionBy(*parts).orderBy("h", "doc_id"))).where(F.col("rank") <= size)
+    first = marked
     idf = np.log((1 + rows) / (1 + seen)) + 1
-    picked = known.join(F.broadcast(first.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    chosen = first.select("doc_id", "lang").distinct()
+    # at most SAMPLE_ALL ids unless there are more languages than half of that
+    chosen = F.broadcast(chosen) if size * languages <= SAMPLE_ALL else chosen
+    picked = known.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             made = [features(t, idf) for t in f["text"]]
             yield f[["doc_id", "lang"]].assign(slots=[s.astype("<u2").tobytes() for s, _ in made], weights=[v.astype("<f4").tobytes() for _, v in made])
 
-    picked = picked.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInPandas(run, "doc_id long, lang string, slots binary, weights binary").collect()
-    picked.sort(key=lambda r: (r["doc_id"], r["lang"]))
+    picked = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text").mapInPandas(run, "doc_id string, lang string, slots binary, weights binary").collect()
+    picked.sort(key=lambda r: (int(r["doc_id"]), r["lang"]))
     names = sorted({r["lang"] for r in picked})
     model = {"names": names, "idf": idf}
     if len(names) < 2:
@@ -142,7 +150,7 @@ def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: st
     """(doc_id, lang_pred, score) of every whole text."""
 
     def one(text: str | None) -> tuple[str, float]:
-        if not isinstance(text, str) or not model["names"] or not LETTER.search(text):
+        if not isinstance(text, str) or not model["names"] or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         if "weights" not in model:
             return model["names"][0], 1.0
@@ -155,6 +163,8 @@ def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: st
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = [one(t) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "lang_pred": [n for n, _ in out], "score": [s for _, s in out]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "lang_pred": [n for n, _ in out], "score": [s for _, s in out]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    # ids travel as decimal text: nulls among numbers would make them floating-point in Python
+    made = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "doc_id string, lang_pred string, score double")
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "lang_pred", "score")

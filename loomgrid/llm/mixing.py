@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document is offered ``PASSES`` times, in an order of its source that is shuffled by the md5 of its id. Its
+Every document is offered ``PASSES`` times, in an order of its source that is shuffled by the md5 of its id and text. Its
 virtual finish time is the source's words up to and with it, divided by the source's target. The documents of all
 sources are sorted by that time, and the mix is the front of that order up to the total budget; the document that
 crosses the budget is cut there.
@@ -8,13 +8,14 @@ crosses the budget is cut there.
 Targets: the budget is shared by weight; where a share exceeds ``PASSES`` times its source's size it stops there and
 the excess is shared by weight among the others, until none exceeds it.
 
-The running sum of a source is the sum of the buckets before (md5 prefixes, summed first) and the sum within a
-bucket, so a source with a third of all rows is dealt over 4096 groups. The global order is cut the same way: words
-are summed by slices of virtual time, the slice in which the budget ends is sliced again until it holds ``LINE`` offers
-at most, and only those are sorted. Only sums by source and by slice of time meet in one task; neither grows with the
-documents.
+Rows that are equal in id and text are counted first, in ``SALTS`` parts. The running sum of a source is the sum of the
+buckets before (md5 prefixes), the sum of the rows before within a bucket, and the number among equals, so that neither a
+source nor an id with a third of all rows meets in one task. The global order is a range sort of all offers by virtual
+time; words are summed by range, and the range in which the budget ends is summed row by row. Only sums by source and by
+range meet in one task; neither grows with the documents of a source.
 
-Nulls: a null text has size 0; the null source is a source, last in order; a null id shuffles as the empty string.
+Nulls: a null text has size 0; the null source is a source, last in order; a null id shuffles as the empty
+string.
 Documents without words are returned with taken 0. Repeated rows are separate documents. Columns other than id, text
 and source are ignored here and kept by ``mixed_documents``. An empty table gives an empty result.
 """
@@ -24,16 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import SPACE, words, written
+from loomgrid.llm.common import SPACE, drop, words, written
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 PASSES = 2
-#: Slices of virtual time per unit, and the last slice, which holds all later times.
-SLICES, LAST_SLICE = 4096, 65535
-#: Offers that are put in line at once; a slice with more is sliced again.
-LINE = 50_000
+#: Parts over which rows that are equal in id and text are dealt.
+SALTS = 64
 #: Names of the columns that tell rows apart where ids repeat.
 KEYS = ("_text_key", "_row_key")
 
@@ -56,20 +55,28 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
     Columns named in ``keep`` are carried along after those.
     """
-    sized = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col).cast("string"))).cast("long").alias("size"))
-    sized = written(sized.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "sizes")
-    sized = sized.withColumn("bucket", F.substring("mark", 1, 3))
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    text = F.col(text_col).cast("string")
+    mark = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.md5(text.cast("binary")), F.lit(""))).cast("binary"))
+    sized = docs.select(*keep, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), mark.alias("mark"))
+    sized = written(sized.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "sizes")
+    # rows with one mark have one size, and which of them is which makes no difference
+    alike = sized.groupBy("source", "mark", "salt").agg(F.first("size").alias("each"), F.count("*").alias("n")).withColumn("words", F.col("each") * F.col("n")).withColumn("bucket", F.substring("mark", 1, 3))
+    alike = written(alike, "alike")
+    buckets = alike.groupBy("source", "bucket").agg(F.sum("words").alias("n"))
     goals = targets(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share)
     skip = F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")
     buckets = buckets.withColumn("skip", skip).drop("n").withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
     goals = goals.withColumnRenamed("source", "g")
     buckets = buckets.join(goals, buckets["s"].eqNullSafe(goals["g"])).drop("g")
-    within = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    served = sized.withColumn("within", within).join(buckets, sized["source"].eqNullSafe(buckets["s"]) & (sized["bucket"] == buckets["b"]))
-    ends = [F.col("skip") + F.col("within") + F.lit(k) * F.col("source_size") for k in range(PASSES)]
+    before = F.sum("words").over(Window.partitionBy("source", "bucket").orderBy("mark", "salt")) - F.col("words")
+    begun = alike.withColumn("before", before).join(buckets, alike["source"].eqNullSafe(buckets["s"]) & (alike["bucket"] == buckets["b"]))
+    begun = begun.select(F.col("source").alias("s"), F.col("mark").alias("m"), F.col("salt").alias("t"), (F.col("skip") + F.col("before")).alias("begin"), "source_size", "target")
+    number = F.row_number().over(Window.partitionBy("source", "mark", "salt").orderBy("doc_id"))
+    served = sized.withColumn("number", number).join(begun, sized["source"].eqNullSafe(begun["s"]) & (sized["mark"] == begun["m"]) & (sized["salt"] == begun["t"]))
+    ends = [F.col("begin") + F.col("number") * F.col("size") + F.lit(k) * F.col("source_size") for k in range(PASSES)]
     served = served.select(*keep, "doc_id", "size", "source", "source_size", "target", *[F.when(F.col("target") > 0, e / F.col("target")).otherwise(F.lit(0.0)).alias(f"finish_{k + 1}") for k, e in enumerate(ends)])
     served = written(served, "finish")
+    drop(sized, alike)
     budget = int(share * (served.agg(F.sum("size")).first()[0] or 0))
     time, source, taken = cut(served, budget)
     for k in range(1, PASSES + 1):
@@ -82,22 +89,22 @@ def queue(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
 
 
 def cut(served: DataFrame, budget: int) -> tuple[float | None, str | None, int]:
-    """Virtual time and source of the document in which the budget ends, and the words taken of it."""
-    part = served.where("size > 0").select("source", "size", F.explode(F.array(*[f"finish_{k + 1}" for k in range(PASSES)])).alias("at"))
-    low, per, before = 0.0, float(SLICES), 0
-    while True:
-        part = part.withColumn("slice", F.least(F.floor((F.col("at") - low) * per), F.lit(LAST_SLICE)))
-        sums = part.groupBy("slice").agg(F.sum("size").alias("n"), F.count("*").alias("offers"))
-        sums = sums.withColumn("end", F.sum("n").over(Window.orderBy("slice")) + F.lit(before))
-        last = sums.where(F.col("end") >= budget).orderBy("slice").select("slice", (F.col("end") - F.col("n")).alias("before"), "offers").first()
-        if last is None:
-            return None, None, 0
-        part, before = part.where(F.col("slice") == last["slice"]).drop("slice"), last["before"]
-        if last["offers"] <= LINE or per > 2.0**44:
-            break
-        low, per = low + last["slice"] / per, per * SLICES
-    end = F.sum("size").over(Window.orderBy("at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
-    row = part.withColumn("end", end).where(F.col("end") >= budget).orderBy("end").first()
+    """Virtual time and source of the document in which the budget ends, and the words taken of it.
+
+    All offers are sorted globally by range; the words of the ranges say in which the budget ends, and within that range
+    the running sum says where.
+    """
+    offers = served.where("size > 0").select("source", "size", F.explode(F.array(*[f"finish_{k + 1}" for k in range(PASSES)])).alias("at"))
+    order = (F.col("at"), F.col("source").asc_nulls_last())
+    line = written(offers.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "line")
+    sums = line.groupBy("range").agg(F.sum("size").alias("n")).withColumn("end", F.sum("n").over(Window.orderBy("range")))
+    last = sums.where(F.col("end") >= budget).orderBy("range").select("range", (F.col("end") - F.col("n")).alias("before")).first()
+    if last is None:
+        drop(line)
+        return None, None, 0
+    end = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(last["before"])
+    row = line.where(F.col("range") == last["range"]).withColumn("end", end).where(F.col("end") >= budget).orderBy("end").first()
+    drop(line)
     return row["at"], row["source"], row["size"] - (row["end"] - budget)
 
 
@@ -116,10 +123,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     The one document that the budget cuts keeps its first words, joined by spaces. Columns are those of ``docs``.
     """
     keyed = docs.withColumns(row_keys(docs, text_col))
-    took = queue(keyed, weights, share, id_col, text_col, source_col, KEYS).where("taken > 0")
+    took = written(queue(keyed, weights, share, id_col, text_col, source_col, KEYS).where("taken > 0"), "took")
     took = took.select(*KEYS, F.explode(F.array(*[f"taken_{k}" for k in range(1, PASSES + 1)])).alias("taken_words"), F.col("size").alias("taken_of")).where("taken_words > 0")
     # equal rows are one row here and as many in the queue, so that each of those finds one
-    once = keyed.groupBy(*KEYS).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("doc"))
+    once = keyed.select(*KEYS, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    if keyed.groupBy(*KEYS).count().where("count > 1").limit(1).count():
+        once = once.groupBy(*KEYS).agg(F.first("doc").alias("doc"))
     out = once.join(took, list(KEYS)).select("doc.*", "taken_words", "taken_of")
     text = F.when(F.col("taken_words") < F.col("taken_of"), F.array_join(F.slice(words(F.col(text_col)), 1, F.col("taken_words").cast("int")), " ")).otherwise(F.col(text_col))
     return out.select(*[text.alias(c) if c == text_col else c for c in docs.columns])
@@ -128,7 +137,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 ORACLE_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACE.replace("[", "[^", 1)}')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ' ', coalesce(md5(text), ''))) AS mark FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM sources),
 levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.common import written
 
-#: Sub-groups over which pieces of one length are numbered.
-BUCKETS = 256
+#: Sub-groups over which pieces of one length are numbered, at least, and pieces for each more.
+BUCKETS, PER_BUCKET = 256, 1_000_000
 #: Words whose ids a Python worker remembers; beyond it, it starts anew. Memory only, never results.
 REMEMBERED = 1_200_000
 
@@ -78,7 +78,7 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     end = np.array([end_id], "<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,10 +92,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[s : s + 4 * capacity]
                         out.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut), *[cut] * keep_ids))
-                made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
-                yield made.assign(doc_id=made["doc_id"].astype("Int64"))
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
+    # ids travel as decimal text: nulls among numbers would make them floating-point in Python
+    made = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -229,13 +230,16 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]
     return dict(zip(("length", "first", "sequence", "offset"), columns))
 
 
-def numbered(parts: DataFrame) -> DataFrame:
-    """``parts`` with ``number``: the place of each piece among those of its length, from 0."""
-    dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
+def numbered(parts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(length, number, row): the place of each piece among those of its length, from 0; ``row`` has all columns of ``parts``.
+
+    Pieces of one length are interchangeable, so they are dealt by where they stand and not by what they hold.
+    """
+    dealt = written(parts.select("length", F.struct(*parts.columns).alias("row"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).alias("bucket")), "dealt")
     before = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = before.withColumn("skip", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return dealt.withColumn("within", within).join(before, ["length", "bucket"]).withColumn("number", F.col("skip") + F.col("within")).drop("skip", "within", "bucket")
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row.doc_id", "row.piece", "row.ids_crc32")) - 1
+    return dealt.withColumn("within", within).join(before, ["length", "bucket"]).select("length", (F.col("skip") + F.col("within")).alias("number"), "row")
 
 
 def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -243,16 +247,16 @@ def pack(parts: DataFrame, capacity: int = 4096) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     where = places(plan(histogram, capacity))
     starts = (where["length"] << 44) + where["first"]
-    numbers = numbered(parts)
+    numbers = numbered(parts, max(BUCKETS, sum(histogram.values()) // PER_BUCKET))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            own = (f["length"].to_numpy(np.int64) << 44) + f["number"].to_numpy(np.int64)
-            run_of = np.searchsorted(starts, own, side="right") - 1
-            yield f.assign(sequence_id=where["sequence"][run_of] + own - starts[run_of], offset=where["offset"][run_of])
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
+        own = (length.to_numpy(np.int64) << 44) + number.to_numpy(np.int64)
+        run_of = np.searchsorted(starts, own, side="right") - 1
+        return pd.DataFrame({"sequence_id": where["sequence"][run_of] + own - starts[run_of], "offset": where["offset"][run_of]})
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in numbers.dtypes) + ", sequence_id long, offset long"
-    return numbers.mapInPandas(run, schema).drop("number").select(*parts.columns, "sequence_id", "offset")
+    placed = numbers.select("row.*", place("length", "number").alias("_place"))
+    return placed.select(*parts.columns, "_place.sequence_id", "_place.offset")
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

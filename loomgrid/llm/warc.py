@@ -47,8 +47,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def record_uri(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_uri(page_id: int | None, digest: str) -> str:
+    """The id of a page's record with a payload; a revisit has the digest of the record that it refers to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -63,11 +64,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, record_type: st
     """The bytes of one record; a revisit keeps the HTTP head of its payload but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if record_type == "response" else b"")
-    head = [("WARC-Type", record_type), ("WARC-Record-ID", record_uri(page_id)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}")]
+    digest = base32_sha1(payload)
+    head = [("WARC-Type", record_type), ("WARC-Record-ID", record_uri(page_id, digest)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest}")]
     head += [("X-Page-ID", str(page_id))] if page_id is not None else []
     head += [("WARC-Target-URI", _line(url))] if url is not None else []
     if record_type == "revisit":
-        head += [("WARC-Refers-To", record_uri(refers_to)), ("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", PROFILE)]
+        head += [("WARC-Refers-To", record_uri(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", PROFILE)]
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -187,10 +189,10 @@ class WarcReader(DataSourceReader):
             column = f.attribute[0] if len(f.attribute) == 1 else ""
             if column not in HEADERS or column == "payload":
                 yield f
-            elif isinstance(f, (EqualTo, EqualNullSafe)):
+            elif isinstance(f, EqualNullSafe):
                 self.tests.append((column, "in", {f.value}))
-            elif isinstance(f, In):
-                self.tests.append((column, "in", set(f.value)))
+            elif isinstance(f, (EqualTo, In)):  # a null among the values equals nothing
+                self.tests.append((column, "in", {v for v in (f.value if isinstance(f, In) else (f.value,)) if v is not None}))
             elif isinstance(f, StringStartsWith):
                 self.tests.append((column, "prefix", f.value))
             elif isinstance(f, IsNotNull):

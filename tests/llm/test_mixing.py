@@ -27,7 +27,7 @@ def plain(rows):
         open_ = [s for s in open_ if s not in over]
     line = []
     for s in names:
-        own = sorted(((hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), r[0] or 0, size(r[1]), k) for k, r in enumerate(rows) if r[2] == s), key=lambda x: x[:3])
+        own = sorted(((hashlib.md5(f"{'' if r[0] is None else r[0]} {'' if r[1] is None else hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest(), r[0] or 0, size(r[1]), k) for k, r in enumerate(rows) if r[2] == s), key=lambda x: x[:3])
         done = 0
         for _ in range(2):
             for _, _, n, k in own:
@@ -83,3 +83,19 @@ def test_mixed_documents_of_null_and_repeated_ids(spark):
     cut = [r for r in made if tuple(r) not in whole]
     assert len(cut) <= 1
     assert sum(abs(words.get(k, 0) - want.get(k, 0)) for k in words.keys() | want.keys()) <= 2 * 40
+
+
+def test_no_python_in_the_plans(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1, "x")], SCHEMA)
+    for made in (mixing.queue(docs), mixing.mixed_documents(docs)):
+        plan = made._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_third_of_all_rows_are_equal(spark):
+    rows = [(None, "a b c", "s", 1, "x")] * 200 + [(i, f"w{i} x y z", "s", 1, "x") for i in range(300)] + [(i, "one", "t", 1, "x") for i in range(100)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    found = mixing.queue(docs).collect()
+    assert len(found) == 600 and sum(r.taken for r in found) == int(1.5 * (600 + 1200 + 100))
+    assert all(r.taken <= 2 * r.size for r in found)
+    assert sorted(map(tuple, mixing.queue(docs.repartition(3)).collect()), key=repr) == sorted(map(tuple, found), key=repr)
