@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import bwt_dedup, mixing, packing, quality_rules, simhash
-from loomgrid.llm.common import table, written
+from loomgrid.llm.common import drop, table, written
 from loomgrid.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -40,9 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.similar_documents(docs, width=WIDTH, similarity=SIMILARITY)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"]
     first = found.groupBy("root").agg(least.alias("row")).select("row")
-    # equal ids with equal texts: one of them, before anything meets in one task
-    once = docs.withColumn("row", simhash.row_key(F.col("doc_id"), F.col("text"))).groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("doc"))
-    return once.join(first, "row", "left_semi").select(*[F.col("doc")[c].alias(c) for c in COLUMNS])
+    kept = docs.select(*COLUMNS, simhash.row_key(F.col("doc_id"), F.col("text")).alias("row")).join(first, "row", "left_semi")
+    if found.groupBy("row").count().where("count > 1").limit(1).count():
+        # equal ids with equal texts: one of them
+        kept = kept.groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("doc")).select("doc.*")
+    return kept.select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +68,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("simhash", near_duplicates), ("suffix_array", repeated_strings), ("mixing", mix), ("packing", pack)]
 
-#: SQL cannot express the fuzzy fingerprints and the removal of strings; tests hold the stages against plain Python.
+#: SQL cannot express the similar sets and the removal of strings; tests/llm holds every stage, and the run, against plain Python.
 ORACLE_SQL = None
 
 
@@ -74,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        read, docs = docs, written(stage(spark, docs, sf_dir), name)
+        drop(read)
     return STAGES[-1][1](spark, docs, sf_dir)
