@@ -152,7 +152,7 @@ def find_anchors(rows: DataFrame) -> DataFrame:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``text`` (bytes; 0 ends a segment) by ``WINDOW`` symbols at least, by doubling; equal ones in order of place.
+    """Order of the suffixes of ``text`` (bytes; 0 ends a segment) by ``WINDOW`` symbols at least, by doubling; equal ones in any order.
 
     What lies beyond the end of a segment may decide between suffixes that are shorter than a window.
     """
@@ -160,7 +160,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     wide = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)[:n]
     key, step = np.ascontiguousarray(wide).view(">u8").reshape(-1).astype(np.uint64), 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         own = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])]).astype(np.uint64)
@@ -186,23 +186,24 @@ def transform(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return symbols, rank[two], order
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(members, interval of each, common): the repeated intervals of ``window`` symbols (an even number) over all shards.
 
-    Members are places in the transforms laid end to end. The interleave of the transforms begins in their order; each
-    round sorts it stably by the transform's symbols and follows the map, so that after h rounds it is in order of 2 h
-    symbols. An interval that is down to one member is settled and leaves; ``common`` (for all places) has the symbols,
-    rounded down to even, that a suffix had in common with another when it left.
+    Members are places in the transforms laid end to end; ``lengths`` are those of the segments. The interleave of the
+    transforms begins in their order, with the suffixes that stand at the end of a window; each round sorts it stably by the
+    transform's symbols and follows the map, so that after h rounds it is in order of 2 h symbols. An interval that is down
+    to one member is settled and leaves; ``common`` has the symbols that a suffix had in common with another before that.
     """
     sizes = np.cumsum([0, *(len(s) for s, _, _ in shards)])
     symbols = np.concatenate([s for s, _, _ in shards])
     to_first = np.concatenate([f + np.int32(b) for (_, f, _), b in zip(shards, sizes)])
     common = np.zeros(len(symbols), np.int16)
-    now, group = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    place = np.concatenate([o + b for (_, _, o), b in zip(shards, sizes)])
+    at_end = np.concatenate([np.arange(n + 1) >= window for n in lengths]) if len(lengths) else np.zeros(0, bool)
+    now = np.nonzero(at_end[place])[0].astype(np.int32)
+    group = np.zeros(len(now), np.int32)
     for h in range(window // 2):
         c = symbols[now]
-        inside = np.nonzero(c)[0]
-        c, now, group = c[inside], now[inside], group[inside]
         order = np.argsort(c, kind="stable")
         c, now, group = c[order], to_first[now[order]], group[order]
         new = np.ones(len(now) + 1, bool)
@@ -225,7 +226,7 @@ def repeated(segments: pd.DataFrame) -> pd.DataFrame:
     lengths = np.fromiter(map(len, data), np.int64, len(data)) + 1
     cuts = np.nonzero(np.diff(np.cumsum(lengths) // SHARD, prepend=-1))[0]
     shards = [transform(data[a:b]) for a, b in zip(cuts, [*cuts[1:], len(data)])]
-    now, interval, _ = merge(shards)
+    now, interval, _ = merge(shards, lengths - 1)
     # suffix orders are within shards; all segments lie end to end
     begin = np.cumsum(lengths) - lengths
     place = np.concatenate([o + b for (_, _, o), b in zip(shards, begin[cuts])])[now]
@@ -266,22 +267,31 @@ def pressed(rows: DataFrame) -> DataFrame:
 
 def cut_out(rows: DataFrame, wanted: DataFrame, single: bool = False) -> DataFrame:
     """(a, s, id, mark, at, n, data): the bytes of ``wanted`` (a, s, id, mark, at, n), or each of their windows by itself."""
-    lists = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "s", "at", "n")).alias("wanted"))
+    names = ["a", "s", "at", "n"]
+    lists = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct(*names)).alias("wanted")).select("id", "mark", *[F.col("wanted")[c].alias(c) for c in names])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor()
+        unpack, held, data = zstandard.ZstdDecompressor(), [], []
+
+        def rest() -> pd.DataFrame:
+            columns = (np.concatenate(x) for x in zip(*held))
+            return pd.DataFrame(dict(zip(("id", "mark", *names), columns))).assign(data=data)[["a", "s", "id", "mark", "at", "n", "data"]]
+
         for f in frames:
-            for i, m, packed, wanted in zip(f["id"], f["mark"], f["text"], f["wanted"]):
-                text, out = unpack.decompress(packed), []
-                for w in wanted:
-                    first, count = w["at"] >> 7, w["at"] & 127
-                    if single:
-                        out += [(0, 0, i, m, k * 128 + 1, 1, text[k : k + WINDOW]) for k in range(first, first + count)]
-                    else:
-                        out.append((w["a"], w["s"], i, m, w["at"], w["n"], text[first : first + count + WINDOW - 1]))
-                yield pd.DataFrame(out, columns=["a", "s", "id", "mark", "at", "n", "data"])
+            for i, m, packed, a, s, at, n in zip(f["id"], f["mark"], f["text"], f["a"], f["s"], f["at"], f["n"]):
+                text, first, count = unpack.decompress(packed), at >> 7, at & 127
+                if single:
+                    first = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    a, s, at, n, count = np.zeros_like(first), np.zeros_like(first), first * 128 + 1, np.ones_like(first), np.ones_like(first)
+                data += [text[b:e] for b, e in zip(first.tolist(), (first + count + WINDOW - 1).tolist())]
+                held.append((np.full(len(at), i), np.full(len(at), m), a, s, at, n))
+                if len(data) > 20_000:
+                    yield rest()
+                    held, data = [], []
+        if held:
+            yield rest()
 
     cut = pressed(rows).join(lists, ["id", "mark"]).mapInPandas(run, "a long, s long, id long, mark long, at long, n long, data binary")
     return cut.withColumns({"a": F.xxhash64("data"), "s": F.xxhash64(F.lit("window"), "data")}) if single else cut
@@ -308,10 +318,10 @@ def owners(owned: DataFrame) -> DataFrame:
 
 def repeats(rows: DataFrame) -> DataFrame:
     """(id, mark, at): stretches of windows (at = 128 * first + windows) that have an earlier equal one; written."""
-    found = find_anchors(rows)
-    often = written(found.groupBy("a").count().where("count > 1").select("a"), "often")
-    kept = written(found.join(often, "a", "left_semi"), "anchors")
-    drop(often)
+    every = written(find_anchors(rows), "every")
+    often = written(every.groupBy("a").count().where("count > 1").select("a"), "often")
+    kept = written(every.join(often, "a", "left_semi"), "anchors")
+    drop(every, often)
     firsts = written(owners(kept), "stretches")
     hot = written(firsts.groupBy("a").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("a"), "hot")
     crowded = not hot.isEmpty()
