@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import lru_cache
 from itertools import combinations
 
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 from loomgrid.meta import Tensor, TensorError
 
+#: Operands whose orders are searched, and blurred paths that are tried.
+MOST_SEARCHED, TRIES = 10, 32
+
 
 def parse(equation: str, operands: int) -> tuple[list[str], str]:
     """(labels of each operand, labels of the output) of an explicit equation."""
@@ -41,7 +45,9 @@ def sizes(inputs: list[str], shapes: list[tuple[int, ...]]) -> dict[str, int]:
 def find_path(equation: str, *shapes: tuple[int, ...], strategy: str = "auto") -> tuple[list[tuple[int, int]], list[dict]]:
     """(pairs of positions, one record per step) for a contraction; new intermediates go to the end of the list.
 
-    "optimal" and "dp" search all orders, "greedy" takes the cheapest pair at a time, "auto" searches up to six operands.
+    "optimal", "dp" and "branch-all" search all orders of up to ``MOST_SEARCHED`` operands, "greedy" takes the cheapest pair at
+    a time, "random-greedy" the best of ``TRIES`` such paths whose costs are blurred by a fixed seed, and "auto" searches up to
+    six operands.
     """
     inputs, output = parse(equation, len(shapes))
     length = sizes(inputs, list(shapes))
@@ -67,14 +73,24 @@ def find_path(equation: str, *shapes: tuple[int, ...], strategy: str = "auto") -
 
     if strategy not in ("auto", "optimal", "dp", "branch-all", "greedy", "random-greedy"):
         raise TensorError(f"strategy {strategy}")
+    def greedy(blur) -> tuple[int, list]:
+        parts, total, taken = list(terms), 0, []
+        while len(parts) > 1:
+            pair = min(combinations(range(len(parts)), 2), key=lambda p: (joined(parts, *p)[1] * blur(), p))
+            _, flops, rest = joined(parts, *pair)
+            parts, total = rest, total + flops
+            taken.append(pair)
+        return total, taken
+
     if strategy in ("optimal", "dp", "branch-all") or strategy == "auto" and len(terms) <= 6:
+        if len(terms) > MOST_SEARCHED:
+            raise TensorError(f"a search of all orders takes at most {MOST_SEARCHED} operands; use greedy")
         path = list(search(tuple(terms))[1])
     else:
-        parts, path = list(terms), []
-        while len(parts) > 1:
-            i, j = min(combinations(range(len(parts)), 2), key=lambda p: (joined(parts, *p)[1], p))
-            path.append((i, j))
-            parts = joined(parts, i, j)[2]
+        path = greedy(lambda: 1.0)[1]
+        if strategy == "random-greedy":
+            rng = random.Random(17)
+            path = min([greedy(lambda: 1.0), *(greedy(lambda: rng.uniform(0.5, 2.0)) for _ in range(TRIES))], key=lambda x: x[0])[1]
     parts, steps = list(terms), []
     for n, (i, j) in enumerate(path):
         left, right = parts[i], parts[j]

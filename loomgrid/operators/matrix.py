@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,89 +10,101 @@ from pyspark.sql import functions as F
 from loomgrid.functions.numeric import half
 from loomgrid.meta import Tensor, TensorError
 from loomgrid.operators.contraction import einsum
-from loomgrid.plans.planner import Cluster, choose_matmul
-from loomgrid.sources.layouts import dense, sparse, to_blocks
+from loomgrid.session import written
+from loomgrid.sources.layouts import dense, sparse
+
+#: Bytes of a coordinate row in a broadcast, and products from which dense operands are multiplied in tiles.
+CELL, MANY = 40, 1 << 26
+#: Rows and columns of a tile of the result; the common axis is cut at twice as many.
+TILE = 512
+
 
-#: Bytes of a coordinate row in a broadcast.
-CELL = 40
+def small(t: Tensor) -> bool:
+    """Whether a tensor's shape bounds it below what the session lets be broadcast."""
+    limit = t.df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return t.size * CELL <= limit
 
 
-def _small(t: Tensor, cluster: Cluster) -> bool:
-    """Whether a tensor's shape bounds it below the broadcast limit."""
-    return t.size * CELL <= cluster.broadcast
+def strategy_of(a: Tensor, b: Tensor) -> str:
+    """"block" for many products of dense operands, else "row" or "column" where a side is small, else "shuffle"."""
+    if a.shape[0] * a.shape[1] * b.shape[1] >= MANY and not (a.sparse or b.sparse):
+        return "block"
+    sides = [(t.size, how) for t, how in ((b, "row"), (a, "column")) if small(t)]
+    return min(sides)[1] if sides else "shuffle"
 
 
-def matmul(a: Tensor, b: Tensor, strategy: str | None = None, cluster: Cluster = Cluster(), block: int = 256) -> Tensor:
-    """A[m, k] @ B[k, n]: "row" (B is broadcast), "column" (A is), "block" (blocks meet by k), or the planner's choice.
+def matmul(a: Tensor, b: Tensor, strategy: str | None = None, tile: int = TILE) -> Tensor:
+    """A[m, k] @ B[k, n]: "row" (B is broadcast), "column" (A is), "shuffle" (both by k), "block" (dense tiles), or ``strategy_of``.
 
-    A side is broadcast only where its shape bounds it below the cluster's limit; otherwise the sides are shuffled by k.
+    A side is broadcast only where its shape bounds it below the session's limit; otherwise the sides are shuffled by k.
     """
     if a.rank != 2 or b.rank != 2 or a.shape[1] != b.shape[0]:
         raise TensorError(f"matmul of {a.shape} and {b.shape}")
-    strategy = strategy or choose_matmul(a.shape[0], a.shape[1], b.shape[1], cluster)
-    if strategy == "row" and _small(b, cluster):
+    strategy = strategy or strategy_of(a, b)
+    if strategy == "row" and small(b):
         return einsum("ik,kj->ij", a, b.with_df(F.broadcast(b.df)))
-    if strategy == "column" and _small(a, cluster):
+    if strategy == "column" and small(a):
         return einsum("ik,kj->ij", a.with_df(F.broadcast(a.df)), b)
     if strategy in ("row", "column", "shuffle"):
         return einsum("ik,kj->ij", a, b)
     if strategy != "block":
         raise TensorError(f"strategy {strategy}")
-    return block_matmul(a, b, block)
-
-
-def block_matmul(a: Tensor, b: Tensor, size: int = 256) -> Tensor:
-    """Blocks of A and B meet by their common block index, are multiplied densely, and products are summed by place."""
-    left = to_blocks(a, size).select("bi", F.col("bj").alias("bk"), F.col("cells").alias("x"))
-    right = to_blocks(b, size).select(F.col("bi").alias("bk"), "bj", F.col("cells").alias("y"))
-
-    def full(cells) -> np.ndarray:
-        out = np.zeros((size, size))
-        part = np.array([(c["i"], c["j"], c["v"]) for c in cells])
-        out[part[:, 0].astype(int), part[:, 1].astype(int)] = part[:, 2]
-        return out
-
-    def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sums: dict[tuple[int, int], np.ndarray] = {}
-            for i, j, x, y in zip(f["bi"], f["bj"], f["x"], f["y"]):
-                own = full(x) @ full(y)
-                sums[i, j] = sums[i, j] + own if (i, j) in sums else own
-                if len(sums) >= 16:
-                    yield rows(sums)
-                    sums = {}
-            if sums:
-                yield rows(sums)
-
-    def rows(sums: dict) -> pd.DataFrame:
-        return pd.DataFrame({"bi": [k[0] for k in sums], "bj": [k[1] for k in sums], "c": [v.reshape(-1) for v in sums.values()]})
-
-    def total(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bi": f["bi"][:1], "bj": f["bj"][:1], "c": [np.sum(np.stack(f["c"].to_numpy()), axis=0)]})
-
-    schema = "bi long, bj long, c array<double>"
-    sums = left.join(right, "bk").mapInPandas(product, schema).groupBy("bi", "bj").applyInPandas(total, schema)
-    cells = sums.select("bi", "bj", F.posexplode("c").alias("p", "v"))
-    m, n = a.shape[0], b.shape[1]
-    out = cells.select((F.col("bi") * size + F.floor(F.col("p") / size)).cast("long").alias("i0"), (F.col("bj") * size + F.col("p") % size).cast("long").alias("i1"), "v")
-    out = out.where((F.col("i0") < m) & (F.col("i1") < n))
+    return block_matmul(a, b, tile)
+
+
+def block_matmul(a: Tensor, b: Tensor, tile: int = TILE) -> Tensor:
+    """Tiles of the result, each with a part of the common axis: (i tile, j tile, k part) is the key of a product.
+
+    A's cells are sent to every column of tiles and B's to every row of them, so no key holds more than a tile's rows or
+    columns of either, whatever the shapes. Parts of the common axis are summed by cell, before and after the shuffle.
+    """
+    (m, depth), n = a.shape, b.shape[1]
+    rows, columns, parts = (max(1, -(-x // t)) for x, t in ((m, tile), (n, tile), (depth, 2 * tile)))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    at = lambda c, t: F.floor(F.col(c) / t).cast("int")
+    left = a.df.select(at("i0", tile).alias("bi"), every(columns).alias("bj"), at("i1", 2 * tile).alias("bk"), (F.col("i0") % tile).cast("int").alias("r"), (F.col("i1") % (2 * tile)).cast("int").alias("c"), "v")
+    right = b.df.select(every(rows).alias("ti"), at("i1", tile).alias("tj"), at("i0", 2 * tile).alias("tk"), (F.col("i0") % (2 * tile)).cast("int").alias("r"), (F.col("i1") % tile).cast("int").alias("c"), F.col("v").alias("y"))
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"i0": [], "i1": [], "v": []}).astype({"i0": "int64", "i1": "int64", "v": float})
+        i, j = int(x["bi"].iloc[0]) * tile, int(y["tj"].iloc[0]) * tile
+        one, two = np.zeros((min(tile, m - i), 2 * tile)), np.zeros((2 * tile, min(tile, n - j)))
+        one[x["r"], x["c"]] = x["v"]
+        two[y["r"], y["c"]] = y["y"]
+        out = one @ two
+        return pd.DataFrame({"i0": np.repeat(np.arange(i, i + out.shape[0]), out.shape[1]), "i1": np.tile(np.arange(j, j + out.shape[1]), out.shape[0]), "v": out.reshape(-1)})
+
+    out = left.groupBy("bi", "bj", "bk").cogroup(right.groupBy("ti", "tj", "tk")).applyInPandas(product, "i0 long, i1 long, v double")
+    out = out.groupBy("i0", "i1").agg(F.sum("v").alias("v")) if parts > 1 else out
     return Tensor(out, (m, n), sparse=a.sparse or b.sparse)
 
 
 def gram(df: DataFrame, id_col: str, vector_col: str, block: int = 256) -> DataFrame:
-    """(i, j, v) inner products of all pairs of vectors: blocks of rows meet once and are multiplied densely."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).withColumn("b", F.floor(F.col("id") / block))
-    blocks = rows.groupBy("b").agg(F.collect_list("id").alias("ids"), F.collect_list("x").alias("xs"))
-    other = blocks.select(F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("xs").alias("xs2"))
-
-    def product(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i, x, j, y in zip(f["ids"], f["xs"], f["ids2"], f["xs2"]):
-                out = np.stack(list(x)) @ np.stack(list(y)).T
-                yield pd.DataFrame({"i": np.repeat(np.asarray(i), len(j)), "j": np.tile(np.asarray(j), len(i)), "v": out.reshape(-1)})
-
-    # every pair of blocks is asked for: that many products are the result
-    return blocks.crossJoin(other).mapInPandas(product, "i long, j long, v double")
+    """(i, j, v) inner products of all pairs of rows; a pair of blocks of rows meets once, and its products are given both ways.
+
+    Rows are dealt into blocks by where they stand, so that null or repeated ids fill none.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("at"))
+    rows = written(rows.select(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "x", F.xxhash64("at").alias("at")), "rows")
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.withColumn("b", F.pmod("at", F.lit(blocks)).cast("int"))
+    left = own.withColumn("b2", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))))
+    right = own.select(F.col("none").alias("none2"), F.col("id").alias("id2"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("b"))).alias("c"), F.col("b").alias("c2"))
+
+    def product(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"i": [], "j": [], "no_i": [], "no_j": [], "v": []}).astype({"i": "int64", "j": "int64", "no_i": bool, "no_j": bool, "v": float})
+        v = np.stack(one["x"].to_numpy()) @ np.stack(two["y"].to_numpy()).T
+        i, no_i = (np.repeat(one[c].to_numpy(), len(two)) for c in ("id", "none"))
+        j, no_j = (np.tile(two[c].to_numpy(), len(one)) for c in ("id2", "none2"))
+        out = pd.DataFrame({"i": i, "j": j, "no_i": no_i, "no_j": no_j, "v": v.reshape(-1)})
+        if one["b"].iloc[0] == two["c2"].iloc[0]:
+            return out
+        return pd.concat([out, out.rename(columns={"i": "j", "j": "i", "no_i": "no_j", "no_j": "no_i"})])[list(out.columns)]
+
+    made = left.groupBy("b", "b2").cogroup(right.groupBy("c", "c2")).applyInPandas(product, "i long, j long, no_i boolean, no_j boolean, v double")
+    return made.select(F.when(~F.col("no_i"), F.col("i")).alias("i"), F.when(~F.col("no_j"), F.col("j")).alias("j"), "v")
 
 
 def batch_matmul(a: Tensor, b: Tensor) -> Tensor:

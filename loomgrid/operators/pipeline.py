@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from loomgrid.meta import Tensor, TensorError
 from loomgrid.operators.matrix import matmul
-from loomgrid.plans.planner import split_sizes
 
 
 def pipelined_matmul(a: Tensor, b: Tensor, num_chunks: int = 4, **how) -> Tensor:
     """The product in row ranges of A; Spark runs the ranges' tasks as they become free."""
     chunks = max(1, min(num_chunks, a.shape[0]))
-    out, begin = None, 0
-    for n in split_sizes(a.shape[0], chunks):
-        part = matmul(a.with_df(a.df.where(F.col("i0").between(begin, begin + n - 1))), b, **how).df
-        out, begin = part if out is None else out.unionByName(part), begin + n
+    out, ends = None, [a.shape[0] * k // chunks for k in range(chunks + 1)]
+    for begin, end in zip(ends, ends[1:]):
+        part = matmul(a.with_df(a.df.where(F.col("i0").between(begin, end - 1))), b, **how).df
+        out = part if out is None else out.unionByName(part)
     return Tensor(out, (a.shape[0], b.shape[1]), sparse=a.sparse or b.sparse)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgrid.meta import Tensor, TensorError
 from loomgrid.session import written
 
+# fixed values: the two kernels of the discrete Laplacian
 LAPLACIAN_5 = ((0.0, 1.0, 0.0), (1.0, -4.0, 1.0), (0.0, 1.0, 0.0))
 LAPLACIAN_9 = tuple(tuple(x / 6 for x in row) for row in ((1.0, 4.0, 1.0), (4.0, -20.0, 4.0), (1.0, 4.0, 1.0)))
 BOUNDARIES = ("zero", "periodic")

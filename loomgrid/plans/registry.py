@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from loomgrid.meta import Tensor
 from loomgrid.operators import contraction, convolution, fourier, matrix, pipeline, reduction, stencil
-from loomgrid.plans import planner
 from loomgrid.session import ship
 from loomgrid.sources import fixtures as fx
 from loomgrid.sources.layouts import coo, sparse
@@ -72,6 +71,16 @@ def matmul_int(spark, sf_dir):
     return shown(matrix.matmul(*both(spark, sf_dir)), "ij")
 
 
+@query(
+    "matmul_1024",
+    "WITH a AS (SELECT CAST(l_orderkey % 1024 AS BIGINT) AS i, CAST(l_partkey % 1024 AS BIGINT) AS k, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY ALL) "
+    "SELECT g.i, h.j, CAST(coalesce(p.v, 0) AS DOUBLE) AS v FROM range(1024) g(i) CROSS JOIN range(1024) h(j) LEFT JOIN (SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM a x JOIN a y USING (k) GROUP BY ALL) p ON p.i = g.i AND p.j = h.j",
+)
+def matmul_1024(spark, sf_dir):
+    a = fx.square(spark, sf_dir, 1024)
+    return shown(matrix.matmul(a, matrix.transpose(a)), "ij")
+
+
 @query("batch_matmul", fx.with_tensors("t", "SELECT x.b, x.i, y.j, sum(x.v * y.v) AS v FROM t x JOIN t y ON x.b = y.b AND x.j = y.i GROUP BY ALL"))
 def batch_matmul(spark, sf_dir):
     t = fx.cube(spark, sf_dir)
@@ -133,65 +142,61 @@ def matmul_batch(spark, sf_dir):
 
 # convolutions
 
-def _conv_sql(x: tuple, w: tuple, stride: tuple, padding: tuple, dilation: tuple, groups: int, bias: bool) -> str:
-    axes, per, outs = len(x) - 2, w[1], w[0]
+def _conv_sql(image: tuple, w: tuple, stride: tuple, padding: tuple, dilation: tuple, groups: int, bias: bool) -> str:
+    axes, per, outs = len(image) - 1, w[1], w[0]
     s, k, o = "pqr"[:axes], "def"[:axes], "xyz"[:axes]
-    size = [(n + 2 * p - d * (m - 1) - 1) // t + 1 for n, m, t, p, d in zip(x[2:], w[2:], stride, padding, dilation)]
-    ranges = ", ".join(f"range({n}) {c}_({c})" for n, c in zip((x[0], outs, *size), "no" + o))
+    size = [(n + 2 * p - d * (m - 1) - 1) // t + 1 for n, m, t, p, d in zip(image[1:], w[2:], stride, padding, dilation)]
+    ranges = ", ".join(["(SELECT DISTINCT vec_id AS n FROM embeddings)", *(f"range({n}) {c}_({c})" for n, c in zip((outs, *size), "o" + o))])
     meet = " AND ".join(f"xs.{a} = g.{c} * {t} - {p} + ws.{b} * {d}" for a, b, c, t, p, d in zip(s, k, o, stride, padding, dilation))
     return (
         f"SELECT g.n, g.o, {', '.join(f'g.{c}' for c in o)}, coalesce(sum(xs.v * ws.v), 0) + {'any_value(g.o)' if bias else '0'} AS v FROM (SELECT * FROM {ranges}) g "
-        f"LEFT JOIN ({fx.polynomial_sql(w, 2, 'uc' + k)} ws JOIN {fx.polynomial_sql(x, 1, 'mh' + s)} xs ON xs.h = ws.c + (ws.u // {outs // groups}) * {per}) ON ws.u = g.o AND xs.m = g.n AND {meet} GROUP BY ALL"
+        f"LEFT JOIN ({fx.polynomial_sql(w, 2, 'uc' + k)} ws JOIN {fx.images_sql(image, 'mh' + s)} xs ON xs.h = ws.c + (ws.u // {outs // groups}) * {per}) ON ws.u = g.o AND xs.m = g.n AND {meet} GROUP BY ALL"
     )
 
 
-def _conv(name: str, x: tuple, w: tuple, stride: tuple, padding: tuple, dilation: tuple, groups: int = 1, bias: bool = False) -> None:
-    @query(name, _conv_sql(x, w, stride, padding, dilation, groups, bias))
+def _conv(name: str, image: tuple, w: tuple, stride: tuple, padding: tuple, dilation: tuple, groups: int = 1, bias: bool = False) -> None:
+    @query(name, _conv_sql(image, w, stride, padding, dilation, groups, bias))
     def run(spark, sf_dir):
         shift = coo(spark.range(w[0]).withColumn("v", F.col("id").cast("double")), (w[0],), ["id"]) if bias else None
-        out = convolution.convolve(fx.polynomial(spark, x, 1), fx.polynomial(spark, w, 2), shift, stride, padding, dilation, groups)
-        return shown(out, "no" + "xyz"[: len(x) - 2])
+        out = convolution.convolve(fx.images(spark, sf_dir, image), fx.polynomial(spark, w, 2), shift, stride, padding, dilation, groups)
+        return shown(out, "no" + "xyz"[: len(image) - 1])
 
 
-_conv("conv2d_pad", (2, 4, 8, 8), (4, 4, 3, 3), (1, 1), (1, 1), (1, 1))
-_conv("conv2d_stride_dil", (2, 4, 8, 8), (4, 4, 3, 3), (2, 1), (2, 3), (1, 2))
-_conv("conv2d_groups_bias", (2, 4, 8, 8), (4, 2, 3, 3), (1, 1), (0, 1), (1, 1), 2, True)
-_conv("conv3d", (2, 2, 4, 6, 6), (2, 2, 2, 3, 3), (1, 1, 1), (0, 1, 1), (1, 1, 1))
-_conv("conv3d_stride_bias", (2, 2, 4, 6, 6), (2, 2, 2, 3, 3), (1, 2, 2), (1, 1, 0), (2, 1, 1), 1, True)
+_conv("conv2d_pad", (4, 4, 4), (4, 4, 3, 3), (1, 1), (1, 1), (1, 1))
+_conv("conv2d_stride_dil", (1, 8, 8), (4, 1, 3, 3), (2, 1), (2, 3), (1, 2))
+_conv("conv2d_groups_bias", (4, 4, 4), (4, 2, 3, 3), (1, 1), (0, 1), (1, 1), 2, True)
+_conv("conv3d", (1, 4, 4, 4), (2, 1, 2, 3, 3), (1, 1, 1), (0, 1, 1), (1, 1, 1))
+_conv("conv3d_stride_bias", (2, 2, 4, 4), (2, 2, 2, 3, 3), (1, 2, 2), (1, 1, 0), (2, 1, 1), 1, True)
 
 
 # Fourier transforms: the SQL is the plain sum
 
-def _rows8(spark, sf_dir) -> Tensor:
-    return fx.vectors(spark, sf_dir, 8)
-
-
 def _dft(source: str, n: int, length: int, bins: int, sign: int, scale: str, value: str = "v") -> str:
     angle = f"2 * pi() * ((f.k * x.k) % {n}) / {n}"
     re, im = (f"x.{value} * cos({angle})", f"{sign} * x.{value} * sin({angle})") if value == "v" else (f"x.re * cos({angle}) - {sign} * x.im * sin({angle})", f"x.im * cos({angle}) + {sign} * x.re * sin({angle})")
-    return f"SELECT x.i, CAST(f.k AS BIGINT) AS k, round(sum({re}) * {scale}, 4) + 0.0 AS re, round(sum({im}) * {scale}, 4) + 0.0 AS im FROM {source} x, range({bins}) f(k) WHERE x.i < 8 AND x.k < {length} GROUP BY ALL"
+    return f"SELECT x.i, CAST(f.k AS BIGINT) AS k, round(sum({re}) * {scale}, 4) + 0.0 AS re, round(sum({im}) * {scale}, 4) + 0.0 AS im FROM {source} x, range({bins}) f(k) WHERE x.k < {length} GROUP BY ALL"
 
 
 @query("fft", fx.with_tensors("e", _dft("e", 64, 64, 64, -1, "1")))
 def fft(spark, sf_dir):
-    return shown(fourier.fft(_rows8(spark, sf_dir)), "ik", 4)
+    return shown(fourier.fft(fx.vectors(spark, sf_dir)), "ik", 4)
 
 
 @query("rfft", fx.with_tensors("e", _dft("e", 64, 64, 33, -1, "1")))
 def rfft(spark, sf_dir):
-    return shown(fourier.rfft(_rows8(spark, sf_dir)), "ik", 4)
+    return shown(fourier.rfft(fx.vectors(spark, sf_dir)), "ik", 4)
 
 
 @query("ifft", fx.with_tensors("e", _dft("(SELECT i, k, v AS re, v * 0.5 AS im FROM e)", 64, 64, 64, 1, "(1 / 64.0)", "z").replace("x.z", "x.v")))
 def ifft(spark, sf_dir):
-    e = _rows8(spark, sf_dir)
+    e = fx.vectors(spark, sf_dir)
     z = e.with_df(e.df.select("i0", "i1", F.col("v").alias("re"), (F.col("v") * 0.5).alias("im")), complex=True)
     return shown(fourier.ifft(z), "ik", 4)
 
 
 @query("fft_norms", fx.with_tensors("e", " UNION ALL ".join(f"SELECT '{norm}' AS norm, * FROM ({_dft('e', n, min(n, 64), n, -1, scale)})" for norm, n, scale in (("ortho", 48, "(1 / sqrt(48.0))"), ("forward", 80, "(1 / 80.0)")))))
 def fft_norms(spark, sf_dir):
-    parts = [shown(fourier.fft(_rows8(spark, sf_dir), n, norm=norm), "ik", 4).select(F.lit(norm).alias("norm"), "i", "k", "re", "im") for norm, n in (("ortho", 48), ("forward", 80))]
+    parts = [shown(fourier.fft(fx.vectors(spark, sf_dir), n, norm=norm), "ik", 4).select(F.lit(norm).alias("norm"), "i", "k", "re", "im") for norm, n in (("ortho", 48), ("forward", 80))]
     return parts[0].unionByName(parts[1])
 
 
@@ -337,6 +342,20 @@ for _name, _boundary in (("jacobi_5", "zero"), ("jacobi_periodic", "periodic")):
     query(_name, _jacobi_sql(_boundary, 5))(lambda spark, sf_dir, boundary=_boundary: shown(stencil.jacobi_2d(fx.matrix_a(spark, sf_dir), matrix.transpose(fx.matrix_a(spark, sf_dir)), boundary=boundary, iterations=5, tol=None)[0], "ij", 4))
 
 
+def jacobi_tol(spark, sf_dir):
+    """Steps until the change is below a tolerance: no SQL, as the number of steps depends on the data."""
+    t = fx.cube(ship(spark), sf_dir)
+    slab = lambda k: coo(t.df.where(F.col("i0") == k), (8, 8), ["i1", "i2"])
+    tol = JACOBI_TOL * slab(0).df.agg(F.max("v")).first()[0]
+    u, steps = stencil.jacobi_2d(slab(0), slab(1), dx=0.1, iterations=200, tol=tol)
+    return shown(u, "ij", 4).withColumn("steps", F.lit(steps).cast("long"))
+
+
+#: Step change at which the query stops, as a part of the largest value of the grid.
+JACOBI_TOL = 0.6
+QUERIES["jacobi_tol"] = jacobi_tol
+
+
 # pipelines and plans
 
 @query("pipelined_matmul", _MATMUL)
@@ -351,27 +370,6 @@ def pipelined_allreduce(spark, sf_dir):
     return shown(pipeline.pipelined_allreduce(parts, (16,)), "i")
 
 
-@query("split_sizes", "SELECT n, p, CAST(part AS BIGINT) AS part, CAST(n // p + CASE WHEN part < n % p THEN 1 ELSE 0 END AS BIGINT) AS size FROM (VALUES (CAST(10 AS BIGINT), CAST(3 AS BIGINT)), (3, 8), (1000, 7)) t(n, p), range(8) r(part) WHERE part < p")
-def split_sizes(spark, sf_dir):
-    rows = [(n, p, k, s) for n, p in ((10, 3), (3, 8), (1000, 7)) for k, s in enumerate(planner.split_sizes(n, p))]
-    return spark.createDataFrame(rows, "n long, p long, part long, size long")
-
-
-@query("plan_batches", "SELECT CAST(a AS BIGINT) AS first, least(1000, a + 300) AS last FROM range(0, 1000, 300) t(a)")
-def plan_batches(spark, sf_dir):
-    return spark.createDataFrame(planner.plan_batches(1000, 100, 10_000, 50_000), "first long, last long")
-
-
-@query(
-    "cost_model_table",
-    "SELECT m, k, n, CASE WHEN 40 * least(m * k, k * n) > 67108864 THEN 'block' WHEN m >= n THEN 'row' ELSE 'column' END AS strategy "
-    "FROM (VALUES (CAST(1000 AS BIGINT), CAST(100 AS BIGINT), CAST(100 AS BIGINT)), (100, 100, 1000), (100000, 100000, 100000)) t(m, k, n)",
-)
-def cost_model_table(spark, sf_dir):
-    rows = [(m, k, n, planner.choose_matmul(m, k, n)) for m, k, n in ((1000, 100, 100), (100, 100, 1000), (100_000, 100_000, 100_000))]
-    return spark.createDataFrame(rows, "m long, k long, n long, strategy string")
-
-
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -13,12 +13,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vectors(spark: SparkSession, sf_dir: str, rows: int = 64) -> Tensor:
-    """E[rows, 64]: the first embeddings."""
-    df = _table(spark, sf_dir, "embeddings").where(F.col("vec_id") < rows)
+def vectors(spark: SparkSession, sf_dir: str) -> Tensor:
+    """E[rows, 64]: all embeddings, by id from 0."""
+    df = _table(spark, sf_dir, "embeddings")
+    rows = (df.agg(F.max("vec_id")).first()[0] or 0) + 1
     return from_rows(df, (rows, 64), ["vec_id"], "embedding")
 
 
+def images(spark: SparkSession, sf_dir: str, shape: tuple[int, ...]) -> Tensor:
+    """All embeddings as images of ``shape`` (64 cells), rounded to halves so that sums are exact."""
+    e = vectors(spark, sf_dir)
+    step, index = 64, []
+    for n in shape:
+        step //= n
+        index.append(F.pmod(F.floor(F.col("i1") / step), F.lit(n)).cast("long"))
+    cells = e.df.select("i0", *[c.alias(f"i{k + 1}") for k, c in enumerate(index)], (F.floor(F.col("v") * 8) / 2).alias("v"))
+    return Tensor(cells, (e.shape[0], *shape))
+
+
+def images_sql(shape: tuple[int, ...], names: str) -> str:
+    step, index = 64, []
+    for n, c in zip(shape, names[1:], strict=True):
+        step //= n
+        index.append(f"(k // {step}) % {n} AS {c}")
+    return f"(SELECT i AS {names[0]}, {', '.join(index)}, floor(v * 8) / 2 AS v FROM ({SQL['e']}))"
+
+
 def _counted(spark: SparkSession, sf_dir: str, shape: tuple[int, ...], **columns) -> Tensor:
     df = _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("q"), *[c.cast("long").alias(k) for k, c in columns.items()])
     sums = df.groupBy(*columns).agg(F.sum("q").cast("double").alias("v"))
@@ -33,6 +53,11 @@ def matrix_b(spark: SparkSession, sf_dir: str) -> Tensor:
     return _counted(spark, sf_dir, (16, 16), i=F.col("l_orderkey") % 16, j=F.col("l_suppkey") % 16)
 
 
+def square(spark: SparkSession, sf_dir: str, n: int) -> Tensor:
+    """Order and part numbers modulo n against summed quantities: n by n, most cells 0 in small tables."""
+    return _counted(spark, sf_dir, (n, n), i=F.col("l_orderkey") % n, j=F.col("l_partkey") % n)
+
+
 def cube(spark: SparkSession, sf_dir: str) -> Tensor:
     return _counted(spark, sf_dir, (7, 8, 8), b=F.col("l_linenumber") - 1, i=F.col("l_orderkey") % 8, j=F.col("l_partkey") % 8)
 
@@ -66,7 +91,7 @@ def _counted_sql(shape: tuple[int, ...], **columns: str) -> str:
 
 
 SQL = {
-    "e": "SELECT vec_id AS i, CAST(unnest(range(64)) AS BIGINT) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 64",
+    "e": "SELECT vec_id AS i, CAST(unnest(range(64)) AS BIGINT) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
     "a": _counted_sql((16, 16), i="l_orderkey % 16", j="l_partkey % 16"),
     "b": _counted_sql((16, 16), i="l_orderkey % 16", j="l_suppkey % 16"),
     "t": _counted_sql((7, 8, 8), b="l_linenumber - 1", i="l_orderkey % 8", j="l_partkey % 8"),

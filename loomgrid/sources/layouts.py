@@ -72,11 +72,3 @@ def to_lines(t: Tensor, dim: int = -1) -> tuple[DataFrame, list[str]]:
         return to_lines(dense(t), dim)
     lines = t.df.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(F.col(f"i{axis}").alias("at"), *t.values))).alias("cells"))
     return lines.select(*others, *[F.col("cells")[c].alias(c) for c in t.values]), others
-
-
-def to_blocks(t: Tensor, size: int) -> DataFrame:
-    """(bi, bj, cells) of a matrix: blocks of ``size`` by ``size`` as arrays of (row in block, column in block, value)."""
-    if t.rank != 2:
-        raise TensorError("blocks are of matrices")
-    i, j = F.col("i0"), F.col("i1")
-    return t.df.groupBy(F.floor(i / size).alias("bi"), F.floor(j / size).alias("bj")).agg(F.collect_list(F.struct((i % size).cast("int").alias("i"), (j % size).cast("int").alias("j"), "v")).alias("cells"))

@@ -1,11 +1,12 @@
 """Array operations against numpy, on random arrays and at the edges."""
 
+import math
+
 import numpy as np
 import pytest
 
 from loomgrid.meta import Tensor, TensorError
 from loomgrid.operators import contraction, convolution, fourier, matrix, pipeline, reduction, stencil
-from loomgrid.plans import planner
 from loomgrid.plans.api import OPERATIONS, compute
 from loomgrid.sources.layouts import dense, from_numpy, sparse, to_numpy
 
@@ -19,7 +20,7 @@ def rand(*shape):
 @pytest.mark.parametrize("strategy", [None, "row", "column", "shuffle", "block"])
 def test_matmul(spark, strategy):
     a, b = rand(9, 7), rand(7, 5)
-    how = {"block": 4} if strategy == "block" else {}
+    how = {"tile": 4} if strategy == "block" else {}
     assert np.allclose(to_numpy(matrix.matmul(from_numpy(spark, a), from_numpy(spark, b), strategy, **how)), a @ b)
 
 
@@ -141,12 +142,64 @@ def test_jacobi(spark):
     assert np.allclose(to_numpy(got), want) and taken == steps
 
 
-def test_planner():
-    assert planner.split_sizes(10, 3) == [4, 3, 3] and planner.local_range(10, 3, 2) == (7, 10)
-    assert [planner.process_grid(p) for p in (1, 4, 6, 7, 12)] == [(1, 1), (2, 2), (2, 3), (1, 7), (3, 4)]
-    assert planner.plan_batches(10, 10, 0, 50) == [(0, 4), (4, 8), (8, 10)]
-    assert 2 <= planner.chunk_count(4, 1.0, 1.0, 1e-9) <= 32
-    assert planner.overlap_benefit(8, 1.0, 1.0) > 1.5
+def test_block_products_in_tiles(spark):
+    a, b = rand(23, 37), rand(37, 11)
+    for tile in (4, 16, 64):
+        assert np.allclose(to_numpy(matrix.block_matmul(from_numpy(spark, a), from_numpy(spark, b), tile)), a @ b)
+    gone = sparse(from_numpy(spark, np.where(a > 0, a, 0)))
+    assert np.allclose(to_numpy(matrix.block_matmul(gone, from_numpy(spark, b), 8)), np.where(a > 0, a, 0) @ b)
+
+
+def test_strategies_follow_the_session(spark):
+    a, b = from_numpy(spark, rand(6, 4)), from_numpy(spark, rand(4, 3))
+    assert matrix.strategy_of(a, b) == "row" and matrix.strategy_of(b.with_df(b.df, shape=(4, 3)), a.with_df(a.df, shape=(3, 60))) == "column"
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert matrix.strategy_of(a, b) == "shuffle"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    big = a.with_df(a.df, shape=(4096, 4096))
+    assert matrix.strategy_of(big, big) == "block"
+
+
+def test_gram_of_null_and_repeated_ids(spark):
+    x = rand(30, 4)
+    ids = [None, None, 7, 7, *range(10, 36)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, v array<double>")
+    found = sorted(((r.i, r.j, round(r.v, 9)) for r in matrix.gram(df, "id", "v", block=4).collect()), key=repr)
+    assert found == sorted(((i, j, round(float(p @ q), 9)) for i, p in zip(ids, x) for j, q in zip(ids, x)), key=repr)
+
+
+def test_compensated_sums_over_many_parts(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([[1e16], rng.integers(0, 1000, 30_000) / 8, [-1e16]])
+    t = from_numpy(spark, x)
+    t = t.with_df(t.df.repartition(90))
+    assert to_numpy(reduction.sum_kahan(t)) == math.fsum(x)
+
+
+def test_jacobi_until_the_tolerance(spark):
+    u, f = rand(5, 5), rand(5, 5)
+    found, steps = stencil.jacobi_2d(from_numpy(spark, u), from_numpy(spark, f), dx=0.5, iterations=40, tol=0.3)
+    want = u
+    for n in range(1, 41):
+        p = np.pad(want, 1)
+        new = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 0.25 * f) / 4
+        gap, want = np.sqrt(((new - want) ** 2).sum()), new
+        if gap < 0.3:
+            break
+    assert steps == n < 40 and np.allclose(to_numpy(found), want)
+
+
+def test_path_strategies():
+    shapes = [(10, 30), (30, 60), (60, 20), (20, 10)]
+    cost = lambda how: sum(s["flops"] for s in contraction.find_path("ij,jk,kl,lm->im", *shapes, strategy=how)[1])
+    assert cost("optimal") == cost("dp") == cost("branch-all") == 32000
+    assert cost("optimal") <= cost("random-greedy") <= cost("greedy")
+    names = "abcdefghijklmnop"
+    with pytest.raises(TensorError):
+        contraction.find_path(",".join(f"{x}{y}" for x, y in zip(names, names[1:])) + "->ap", *[(2, 2)] * 15, strategy="optimal")
 
 
 def test_errors_and_layouts(spark):
