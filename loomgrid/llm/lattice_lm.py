@@ -10,9 +10,9 @@ the training tokens. No piece crosses white space, so the lattice of a document
 
 Jobs: one pass encodes documents in blocks, each with a dictionary of its own words, so a word is shuffled once per
 block and not once per token; lists and dictionaries are compressed. The temperature's likelihoods are sums over the
-blocks' dictionaries, without a shuffle. Word counts are an aggregate over all training documents, joined back to the
-dictionaries' words. Documents meet their block's dictionary in a co-group, both bounded by ``BLOCK_WORDS``, where each
-word's lattice is summed once. Only sums pass through the driver.
+distinct words. Word counts are an aggregate over all training documents; lattices are summed once per distinct word and
+joined back to the dictionaries' words. Documents meet their block's dictionary in a co-group, both bounded by
+``BLOCK_WORDS``. Only sums pass through the driver.
 
 Nulls: a null text is an empty one: its end alone. Without training documents the temperature is ``NEUTRAL``,
 counts are 0 and base scores null, for there is no distribution. Null ids, repeated rows and other columns do no harm; texts
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import written
 
 #: Distinct words and tokens after which a block of documents ends.
-BLOCK_WORDS, BLOCK_TOKENS = 150_000, 2_000_000
+BLOCK_WORDS, BLOCK_TOKENS = 300_000, 4_000_000
 #: Temperatures whose likelihoods are compared, the one without training documents, the weight of all bytes together.
 TEMPERATURES, NEUTRAL, BYTES = (500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0), 4000.0, 0.01
 MARK = "▁"
@@ -55,6 +55,9 @@ class Vocabulary:
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order.astype(np.int32)
+        #: which slots of the hashes have a piece; most strings that are none fall into empty ones
+        self.slots = np.zeros(1 << 20, bool)
+        self.slots[self._slot(self.hashes)] = True
         if len(np.unique(self.hashes)) != len(self.hashes):
             raise ValueError("two pieces have one hash")
 
@@ -72,8 +75,16 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece of each hash, -1 where there is none."""
-        at = np.searchsorted(self.hashes, h).clip(max=len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ids[at], -1)
+        out = np.full(h.shape, -1, np.int32)
+        maybe = np.nonzero(self.slots[self._slot(h)])
+        own = h[maybe]
+        at = np.searchsorted(self.hashes, own).clip(max=len(self.hashes) - 1)
+        out[maybe] = np.where(self.hashes[at] == own, self.ids[at], -1)
+        return out
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces that end at each place, by length; bytes of each character) for words of equal length.
@@ -217,20 +228,17 @@ def word_scores(vocab: Vocabulary, words: list[str], logps: list[np.ndarray]) ->
     return out
 
 
-def best_temperature(blocks: DataFrame, vocab_path: str, end: float) -> float:
-    """The temperature with the greatest likelihood of all training words, between the compared ones by a parabola."""
+def best_temperature(counts: DataFrame, vocab_path: str, end: float) -> float:
+    """The temperature with the greatest likelihood of all training words (word, n), between the compared ones by a parabola."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, total = vocabulary(vocab_path), np.zeros(len(TEMPERATURES))
         logps = [vocab.weights(t, end) for t in TEMPERATURES]
         for f in frames:
-            for words, counts in zip(f["words"], f["pairs"]):
-                n = unpressed(counts)
-                own = [w for w, c in zip(dictionary(words), n) if c]
-                total += word_scores(vocab, own, logps) @ n[n > 0]
+            total += word_scores(vocab, f["word"].tolist(), logps) @ f["n"].to_numpy()
         yield pd.DataFrame({"k": np.arange(len(total)), "likelihood": total})
 
-    sums = blocks.where("words is not null").select("words", "pairs").mapInPandas(run, "k int, likelihood double").groupBy("k").agg(F.array_sort(F.collect_list("likelihood")).alias("parts"))
+    sums = counts.where("n > 0").select("word", "n").mapInPandas(run, "k int, likelihood double").groupBy("k").agg(F.array_sort(F.collect_list("likelihood")).alias("parts"))
     # in the order of their size: the same sum in every run
     y = np.array([math.fsum(r["parts"]) for r in sums.orderBy("k").collect()])
     k = int(np.clip(y.argmax(), 1, len(y) - 2))
@@ -249,22 +257,26 @@ def scored(docs: DataFrame, training: Column, vocab_path: str, temperature: floa
     total = (tokens or 0) + ends
     # with nothing learned, an end after 50 words; a corpus of empty texts alone leaves pieces some weight
     end = min(ends / total, 0.99) if total else 0.02
-    temperature = temperature or (best_temperature(blocks, vocab_path, end) if tokens else NEUTRAL)
     rows = word_rows(blocks)
-    counts = rows.groupBy("word").agg(F.sum("n").alias("n"), F.min("block").alias("first"))
-    numbers = written(rows.select("block", "k", "word").join(counts, "word").select("block", "k", "n", (F.col("block") == F.col("first")).alias("first")), "numbers")
-    kinds = numbers.where("first and n > 0").count() + (ends > 0)
+    counts = written(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    kinds = counts.where("n > 0").count() + (ends > 0)
+    temperature = temperature or (best_temperature(counts, vocab_path, end) if tokens else NEUTRAL)
     base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
 
-    def score(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def lattices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = vocabulary(vocab_path)
-        (text,) = own["words"].dropna()
-        p = word_scores(vocab, dictionary(text), [vocab.weights(temperature, end)])[0]
-        n = np.zeros(len(p), np.int64)
-        n[words["k"]] = words["n"]
+        logp = vocab.weights(temperature, end)
+        for f in frames:
+            yield f.assign(logp=word_scores(vocab, f["word"].tolist(), [logp])[0])
+
+    known = counts.mapInPandas(lattices, "word string, n long, logp double")
+    numbers = rows.select("block", "k", "word").join(known, "word").select("block", "k", "n", "logp")
+
+    def score(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        n, p = np.zeros(len(words), np.int64), np.zeros(len(words))
+        n[words["k"]], p[words["k"]] = words["n"], words["logp"]
         plain = base(n) if total else np.full(len(n), np.nan)
         out = []
-        own = own[own["words"].isna()]
         for pairs in own["pairs"]:
             k, times = unpressed(pairs).reshape(2, -1)
             k = np.cumsum(k)
@@ -273,5 +285,6 @@ def scored(docs: DataFrame, training: Column, vocab_path: str, temperature: floa
         made = pd.DataFrame({"doc_id": own["doc_id"], "training": own["training"].astype(bool), "n_tokens": own["n_words"].astype("int64") + 1})
         return pd.concat([made.astype({"doc_id": object}).reset_index(drop=True), found], axis=1)
 
-    made = blocks.groupBy("block").cogroup(numbers.select("block", "k", "n").groupBy("block")).applyInPandas(score, "doc_id string, training boolean, n_tokens long, n_known long, base_score double, score double")
+    texts = blocks.where("words is null").select("block", "doc_id", "training", "n_words", "pairs")
+    made = texts.groupBy("block").cogroup(numbers.groupBy("block")).applyInPandas(score, "doc_id string, training boolean, n_tokens long, n_known long, base_score double, score double")
     return made.select(F.col("doc_id").cast("long").alias("doc_id"), "training", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.nanvl("base_score", F.lit(None).cast("double")).alias("base_score"), "score")

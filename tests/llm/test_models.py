@@ -64,10 +64,8 @@ def test_scores_equal_enumeration_of_whole_documents(spark):
 def test_temperature_is_the_likeliest(spark):
     vocab = lattice_lm.vocabulary(PATH)
     words = ["of", "the", "and", "to", "in", "hydrolysis", "quartz", "zebra"]
-    docs = spark.createDataFrame([(k, " ".join(words[: k % 9]), True) for k in range(40)], "doc_id long, text string, train boolean")
-    blocks = lattice_lm.encoded(docs, F.col("train"), "doc_id", "text").cache()
-    best = lattice_lm.best_temperature(blocks, PATH, 0.2)
     counts = Counter(w for k in range(40) for w in words[: k % 9])
+    best = lattice_lm.best_temperature(spark.createDataFrame([*counts.items(), ("unseen", 0)], "word string, n long"), PATH, 0.2)
     loss = lambda t: -(lattice_lm.word_scores(vocab, list(counts), [vocab.weights(t, 0.2)])[0] @ np.array(list(counts.values())))
     assert 499 < best < 16001 and all(loss(best) <= loss(t) + 1e-9 * abs(loss(t)) or abs(math.log(best / t)) < 0.7 for t in lattice_lm.TEMPERATURES)
 
@@ -129,3 +127,73 @@ def test_quality_edges(spark, labels):
     found = compress_quality.scored(docs, model).collect()
     assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
     assert compress_quality.scored(docs.limit(0), model).count() == 0
+
+
+def test_ftrl_equals_the_plain_rule():
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(50, 4, replace=False)), rng.random(4), int(rng.integers(0, 3))) for _ in range(30)]
+    order = rng.permutation(30)
+    weights, offset = langid.ftrl(rows, 3, order)
+    z, n = {}, {}
+
+    def weight(k, c):
+        a, b = z.get((k, c), 0.0), n.get((k, c), 0.0)
+        return 0.0 if abs(a) <= langid.L1 else -(a - math.copysign(langid.L1, a)) / ((langid.BETA + math.sqrt(b)) / langid.STEP + langid.L2)
+
+    for i in order:
+        slots, values, label = rows[i]
+        x = [*zip(slots.tolist(), values.tolist()), (langid.SLOTS, 1.0)]
+        logit = [sum(v * weight(k, c) for k, v in x) for c in range(3)]
+        total = sum(math.exp(v) for v in logit)
+        gradients = {(k, c): v * (math.exp(logit[c]) / total - (c == label)) for k, v in x for c in range(3)}
+        own = {key: weight(*key) for key in gradients}
+        for key, g in gradients.items():
+            z[key] = z.get(key, 0.0) + g - (math.sqrt(n.get(key, 0.0) + g * g) - math.sqrt(n.get(key, 0.0))) / langid.STEP * own[key]
+            n[key] = n.get(key, 0.0) + g * g
+    for c in range(3):
+        assert math.isclose(offset[c], weight(langid.SLOTS, c), abs_tol=1e-12)
+        assert all(math.isclose(weights[k, c], weight(k, c), abs_tol=1e-12) for k in range(50))
+    assert (weights == 0).any()
+
+
+def test_temperature_minimises_the_loss():
+    rng = np.random.default_rng(5)
+    logits, labels = 6 * rng.standard_normal((200, 3)), rng.integers(0, 3, 200)
+    labels[:150] = logits[:150].argmax(1)
+    found = langid.temperature(logits, labels)
+
+    def loss(t):
+        return -np.mean([x[k] / t - math.log(np.exp(x / t).sum()) for x, k in zip(logits, labels)])
+
+    assert all(loss(found) <= loss(found * f) + 1e-12 for f in (0.9, 0.99, 1.01, 1.1))
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat sat", "en"), (2, "der hund lief", "de")], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(["²", "½ ¾", "①", "Ⅷ", "_ 12", "é", "日"])], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in langid.predicted(asked, model).collect()}
+    assert [found[k] == "und" for k in range(7)] == [True] * 5 + [False] * 2
+
+
+def test_gap_is_the_difference_of_compressed_sizes():
+    import zstandard
+
+    good, bad = [b"the quick brown fox jumps over the lazy dog. " * 200], [b"### buy now !!! $$$ click here " * 300]
+    one, two = compress_quality.dictionary(good), compress_quality.dictionary(bad)
+    for text in (b"", b"x", b"the lazy fox " * 900, b"click now $$$ " * 20):
+        sizes = []
+        for d in (one, two):
+            pack = zstandard.ZstdCompressor(level=compress_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(pack.compress(text[k : k + compress_quality.BLOCK])) for k in range(0, len(text), compress_quality.BLOCK)))
+        assert abs(compress_quality.Gap(one, two)(text) - (sizes[1] - sizes[0]) / max(1, len(text))) < 0.02
+    assert compress_quality.Gap(one, two)(good[0]) > 0 > compress_quality.Gap(one, two)(bad[0])
+
+
+def test_logistic_is_the_likeliest():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * x - 0.5)))).astype(float)
+    slope, offset = compress_quality.logistic(x, y)
+    loss = lambda a, b: -np.mean(y * -np.logaddexp(0, -(a * x + b)) + (1 - y) * -np.logaddexp(0, a * x + b))
+    assert all(loss(slope, offset) <= loss(slope + a, offset + b) + 1e-5 for a, b in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)))
