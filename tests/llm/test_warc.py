@@ -67,3 +67,14 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/e"
     warc.write_pages(spark.createDataFrame([], SCHEMA), path)
     assert warc.read(spark, path).count() == 0
+
+
+def test_nulls_in_pushed_values_equal_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    warc.write_pages(spark.createDataFrame(ROWS, SCHEMA), path)
+    read = warc.read(spark, path, "skip")
+    assert [r.page_id for r in read.where("page_id in (1, null)").collect()] == [1]
+    assert read.where("page_id = cast(null as long)").count() == 0
+    assert read.where("page_id <=> cast(null as long)").count() == 2
+    ids = [r.record_id for r in read.collect()]
+    assert len(set(ids)) == len(ids)
