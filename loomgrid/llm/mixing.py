@@ -16,7 +16,7 @@ range meet in one task; neither grows with the documents of a source.
 
 Nulls: a null text has size 0; the null source is a source, last in order; a null id shuffles as the empty
 string.
-Documents without words are returned with taken 0. Repeated rows are separate documents. Columns other than id, text
+Documents without words are returned with taken 0; texts may be of any length. Repeated rows are separate documents. Columns other than id, text
 and source are ignored here and kept by ``mixed_documents``. An empty table gives an empty result.
 """
 
@@ -31,8 +31,8 @@ from loomgrid.llm.common import SPACE, drop, words, written
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 PASSES = 2
-#: Parts over which rows that are equal in id and text are dealt.
-SALTS = 64
+#: Parts over which rows that are equal in id and text are dealt, and offers of a range of the global order.
+SALTS, RANGE = 64, 200_000
 #: Names of the columns that tell rows apart where ids repeat.
 KEYS = ("_text_key", "_row_key")
 
@@ -96,7 +96,8 @@ def cut(served: DataFrame, budget: int) -> tuple[float | None, str | None, int]:
     """
     offers = served.where("size > 0").select("source", "size", F.explode(F.array(*[f"finish_{k + 1}" for k in range(PASSES)])).alias("at"))
     order = (F.col("at"), F.col("source").asc_nulls_last())
-    line = written(offers.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "line")
+    ranges = max(int(served.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-offers.count() // RANGE))
+    line = written(offers.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "line")
     sums = line.groupBy("range").agg(F.sum("size").alias("n")).withColumn("end", F.sum("n").over(Window.orderBy("range")))
     last = sums.where(F.col("end") >= budget).orderBy("range").select("range", (F.col("end") - F.col("n")).alias("before")).first()
     if last is None:

@@ -12,7 +12,7 @@ where the row is, without a shuffle. The base counts come from the arrays of the
 
 Nulls: a null text has no words: its counts are 0, its score null, and it is rejected by the base rules. A text
 without n-grams (n_words = 0) likewise. Without trusted rows the score is null and the base rules decide. Repeated
-rows are scored one by one; null ids are kept; other columns are ignored. An empty table gives an empty result.
+rows are scored one by one, texts of any length as a whole; null ids are kept; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loomgrid.llm.common import words, written
 
 SLOTS = 1 << 17
-#: Mean log-likelihood ratio per n-gram from which a document is kept.
+#: Mean log-likelihood ratio per n-gram from which a document is kept; how it was found is in the README.
 THRESHOLD = -0.18
 #: Expected count below which a slot says little: the mass of a prior centred on the raw multinomial.
 SMOOTHING = 5.0

@@ -25,7 +25,8 @@ and every candidate is verified by the exact similarity of the sets.
 
 Nulls: a null text has no words, so its fingerprint is zero, as for empty texts; rows with equal ids are kept as
 they are; a null id is kept, never the smallest of its component unless all ids of it are null. Columns other than
-the id and the text are ignored, whatever their names. An empty table gives an empty result.
+the id and the text are ignored, whatever their names. Texts of any length are read as a whole. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
