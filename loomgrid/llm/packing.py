@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ from loomgrid.llm.common import written
 BUCKETS, PER_BUCKET = 256, 1_000_000
 #: Words whose ids a Python worker remembers; beyond it, it starts anew. Memory only, never results.
 REMEMBERED = 1_200_000
+#: The first of them, which it keeps between tasks: words that are met early are frequent.
+KEPT = 200_000
 
 _tokenizers: dict = {}
 
@@ -66,6 +69,10 @@ class WordIds:
                 known[w] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
+    def rest(self) -> None:
+        """Forget all but the first words, at the end of a task: the worker may idle beside others for long."""
+        self.known = dict(islice(self.known.items(), KEPT))
+
 
 def word_ids(path: str) -> WordIds:
     if path not in _tokenizers:
@@ -93,6 +100,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                         cut = ids[s : s + 4 * capacity]
                         out.append((doc, k, s // 4, len(cut) // 4, zlib.crc32(cut), *[cut] * keep_ids))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+        encode.rest()
 
     # ids travel as decimal text: nulls among numbers would make them floating-point in Python
     made = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema)
