@@ -49,7 +49,7 @@ BANDS, ROWS = 18, 6
 #: Members of a key that all others are held against first: all of them up to FEW, else the MOST_SHARED that share most.
 FEW, MOST_SHARED = 8, 3
 #: Nodes and shingles of a block of a key whose nodes are compared block against block, and shingles at a time.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 20, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 4096
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1. A fixed value.
 GENERATOR = 0b101011100011
 
