@@ -400,5 +400,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out.append(t if t.strip() else None)
         return pd.Series(out, dtype=object)
 
+    # the filter below would else be pushed through, and cut every text twice
+    without = without.asNondeterministic()
     made = rows.join(found, ["id", "mark"], "left").select("_rest", without("text", "ats").alias("left")).where(F.col("left").isNotNull())
     return made.select(*[F.col("left").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in docs.columns])
