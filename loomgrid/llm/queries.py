@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import ann, bwt_dedup, compress_quality, langid, lattice_lm, mixing, packing, quality_rules, simhash, warc
+from loomgrid.llm import ann, bwt_dedup, compress_quality, importance, langid, lattice_lm, mixing, packing, quality_rules, simhash, warc, whitening
 from loomgrid.llm.common import fold, table
 from loomgrid.session import ship
 
@@ -71,12 +71,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 OPERATORS = (
-    op1_quality_rules, op2_compression, op3_packing, op4_multi_index, op5_bwt_dedup, op6_lattice_lm, op7_language, op8_mixing, op9_simhash, op10_warc, pipeline,
+    op1_quality_rules, op2_compression, op3_packing, op4_multi_index, op5_bwt_dedup, op6_lattice_lm, op7_language, op8_mixing, op9_simhash, op10_warc,
+    op11_importance, op13_whitening, pipeline,
 )
 
 
@@ -93,4 +102,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op8_mixing": mixing.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
