@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm import ann, bwt_dedup, compress_quality, importance, langid, lattice_lm, mixing, packing, quality_rules, simhash, warc, whitening
+from loomgrid.llm import ann, boilerplate, bwt_dedup, compress_quality, importance, langid, lattice_lm, mixing, packing, quality_rules, simhash, warc, whitening
 from loomgrid.llm.common import fold, table
 from loomgrid.session import ship
 
@@ -75,6 +75,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extracted(table(spark, sf_dir, "pages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -85,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_quality_rules, op2_compression, op3_packing, op4_multi_index, op5_bwt_dedup, op6_lattice_lm, op7_language, op8_mixing, op9_simhash, op10_warc,
-    op11_importance, op13_whitening, pipeline,
+    op11_importance, op12_main_text, op13_whitening, pipeline,
 )
 
 
