@@ -12,11 +12,10 @@ from loomgrid.meta import Tensor, TensorError
 from loomgrid.operators.contraction import einsum
 from loomgrid.session import written
 from loomgrid.sources.layouts import dense, sparse
+from loomgrid.sources.tiles import from_cells, product, tile_for, to_cells
 
 #: Bytes of a coordinate row in a broadcast, and products from which dense operands are multiplied in tiles.
 CELL, MANY = 40, 1 << 26
-#: Rows and columns of a tile of the result; the common axis is cut at twice as many.
-TILE = 512
 
 
 def small(t: Tensor) -> bool:
@@ -33,7 +32,7 @@ def strategy_of(a: Tensor, b: Tensor) -> str:
     return min(sides)[1] if sides else "shuffle"
 
 
-def matmul(a: Tensor, b: Tensor, strategy: str | None = None, tile: int = TILE) -> Tensor:
+def matmul(a: Tensor, b: Tensor, strategy: str | None = None, tile: int | None = None) -> Tensor:
     """A[m, k] @ B[k, n]: "row" (B is broadcast), "column" (A is), "shuffle" (both by k), "block" (dense tiles), or ``strategy_of``.
 
     A side is broadcast only where its shape bounds it below the session's limit; otherwise the sides are shuffled by k.
@@ -52,32 +51,13 @@ def matmul(a: Tensor, b: Tensor, strategy: str | None = None, tile: int = TILE)
     return block_matmul(a, b, tile)
 
 
-def block_matmul(a: Tensor, b: Tensor, tile: int = TILE) -> Tensor:
-    """Tiles of the result, each with a part of the common axis: (i tile, j tile, k part) is the key of a product.
+def block_matmul(a: Tensor, b: Tensor, tile: int | None = None, kind: str = "f8") -> Tensor:
+    """The product in dense tiles (``sources.tiles``), made once of the cells of either side and moved as they are.
 
-    A's cells are sent to every column of tiles and B's to every row of them, so no key holds more than a tile's rows or
-    columns of either, whatever the shapes. Parts of the common axis are summed by cell, before and after the shuffle.
+    ``kind`` "f2" makes, moves and multiplies the values of half precision, in a quarter of the bytes.
     """
-    (m, depth), n = a.shape, b.shape[1]
-    rows, columns, parts = (max(1, -(-x // t)) for x, t in ((m, tile), (n, tile), (depth, 2 * tile)))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    at = lambda c, t: F.floor(F.col(c) / t).cast("int")
-    left = a.df.select(at("i0", tile).alias("bi"), every(columns).alias("bj"), at("i1", 2 * tile).alias("bk"), (F.col("i0") % tile).cast("int").alias("r"), (F.col("i1") % (2 * tile)).cast("int").alias("c"), "v")
-    right = b.df.select(every(rows).alias("ti"), at("i1", tile).alias("tj"), at("i0", 2 * tile).alias("tk"), (F.col("i0") % (2 * tile)).cast("int").alias("r"), (F.col("i1") % tile).cast("int").alias("c"), F.col("v").alias("y"))
-
-    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"i0": [], "i1": [], "v": []}).astype({"i0": "int64", "i1": "int64", "v": float})
-        i, j = int(x["bi"].iloc[0]) * tile, int(y["tj"].iloc[0]) * tile
-        one, two = np.zeros((min(tile, m - i), 2 * tile)), np.zeros((2 * tile, min(tile, n - j)))
-        one[x["r"], x["c"]] = x["v"]
-        two[y["r"], y["c"]] = y["y"]
-        out = one @ two
-        return pd.DataFrame({"i0": np.repeat(np.arange(i, i + out.shape[0]), out.shape[1]), "i1": np.tile(np.arange(j, j + out.shape[1]), out.shape[0]), "v": out.reshape(-1)})
-
-    out = left.groupBy("bi", "bj", "bk").cogroup(right.groupBy("ti", "tj", "tk")).applyInPandas(product, "i0 long, i1 long, v double")
-    out = out.groupBy("i0", "i1").agg(F.sum("v").alias("v")) if parts > 1 else out
-    return Tensor(out, (m, n), sparse=a.sparse or b.sparse)
+    tile = tile or tile_for(a.shape[0], b.shape[1])
+    return to_cells(product(from_cells(a, tile, kind), from_cells(b, tile, kind)), sparse=a.sparse or b.sparse)
 
 
 def gram(df: DataFrame, id_col: str, vector_col: str, block: int = 256) -> DataFrame:
@@ -146,8 +126,11 @@ def add(a: Tensor, b: Tensor) -> Tensor:
     return a.with_df(both, sparse=a.sparse and b.sparse)
 
 
-def matmul_mixed_precision(a: Tensor, b: Tensor, **how) -> Tensor:
-    """The product of the operands rounded to half precision, computed in double."""
+def matmul_mixed_precision(a: Tensor, b: Tensor, strategy: str | None = None, tile: int | None = None) -> Tensor:
+    """The product of the operands rounded to half precision, computed in double; tiles are moved in half precision."""
+    how = {"strategy": strategy, "tile": tile}
+    if (strategy or strategy_of(a, b)) == "block" and a.rank == b.rank == 2 and a.shape[1] == b.shape[0]:
+        return block_matmul(a, b, tile, "f2")
     return matmul(*[t.with_df(t.df.withColumn("v", half(F.col("v")))) for t in (a, b)], **how)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from loomgrid.meta import Tensor
 from loomgrid.operators import contraction, convolution, fourier, matrix, pipeline, reduction, stencil
 from loomgrid.session import ship
 from loomgrid.sources import fixtures as fx
+from loomgrid.sources import tiles
 from loomgrid.sources.layouts import coo, sparse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +84,62 @@ def matmul_1024(spark, sf_dir):
     return shown(matrix.matmul(a, matrix.transpose(a)), "ij")
 
 
+#: Cells of the dense operands by the profiles and places of row and column: integers, and fractions that half precision rounds.
+_WHOLE = (lambda q, p, i, k: (q * 7 + p * 3 + i * k) % 19 - 9, lambda q, p, i, k: (q * 5 + p * 11 + i * k * 2) % 17 - 8)
+_PARTS = (lambda q, p, i, k: 1 + ((q * 31 + p * 17 + i * k) % 4999) / 997.0, lambda q, p, i, k: 1 + ((q * 13 + p * 29 + i + k) % 4999) / 997.0)
+
+
+def _dense(n: int, how, kind: str = "f8"):
+    """Both projections of the product of two dense n x n matrices: rows against 1 to 5, columns against 1 to 3."""
+
+    def run(spark, sf_dir):
+        orders, parts = (fx.profile(spark, sf_dir, n, key) for key in ("l_orderkey", "l_partkey"))
+        tile = tiles.tile_for(n, n)
+        a = tiles.from_lines(fx.dense_lines(orders, parts, how[0]), (n, n), "i", "x", tile, kind)
+        b = tiles.from_lines(fx.dense_lines(parts, orders, how[1]), (n, n), "i", "x", tile, kind)
+        return projections(tiles.product(a, b))
+
+    return run
+
+
+def projections(t: tiles.Tiled) -> DataFrame:
+    """(side, i, v): sums of the cells of each row by j % 5 + 1 and of each column by i % 3 + 1."""
+    of = t.handle()
+
+    def project(batches):
+        for bi, bj, data in tiles.rows_of(batches, "bi", "bj", "data"):
+            x = of.array(bi, bj, data)
+            i, j = np.arange(len(x)) + bi * of.tile, np.arange(x.shape[1]) + bj * of.tile
+            for side, at, v in (("row", i, x @ (j % 5 + 1.0)), ("column", j, (i % 3 + 1.0) @ x)):
+                yield pa.RecordBatch.from_pydict({"side": [side] * len(at), "i": at, "v": v})
+
+    return t.df.mapInArrow(project, "side string, i long, v double").groupBy("side", "i").agg(F.sum("v").alias("v"))
+
+
+def _dense_sql(n: int, how, half: bool = False) -> str:
+    cells = [f"SELECT r.i, c.i AS k, CAST({f} AS DOUBLE) AS v FROM {r} r, {c} c" for f, r, c in ((how[0]("r.q", "c.q", "r.i", "c.i"), "o", "p"), (how[1]("r.q", "c.q", "r.i", "c.i"), "p", "o"))]
+    cells = [f"SELECT i, k, {_HALF} AS v FROM ({c})" if half else c for c in cells]
+    return (
+        f"WITH o AS ({fx.profile_sql(n, 'l_orderkey')}), p AS ({fx.profile_sql(n, 'l_partkey')}), x AS ({cells[0]}), y AS ({cells[1]}) "
+        "SELECT 'row' AS side, x.i, sum(x.v * s.v) AS v FROM x JOIN (SELECT i, sum(v * (k % 5 + 1)) AS v FROM y GROUP BY i) s ON x.k = s.i GROUP BY ALL "
+        "UNION ALL SELECT 'column', y.k, sum(y.v * s.v) FROM y JOIN (SELECT k, sum(v * (i % 3 + 1)) AS v FROM x GROUP BY k) s ON y.i = s.k GROUP BY ALL"
+    )
+
+
+class _Sql(str):
+    """Arithmetic on SQL text, so that the formulas of cells are stated once."""
+
+    __mul__, __add__, __sub__, __mod__, __truediv__ = ((lambda self, x, op=op: _Sql(f"({self} {op} {x})")) for op in "*+-%/")
+    __radd__ = lambda self, x: _Sql(f"({x} + {self})")
+
+
+_names = lambda f: lambda *c: f(*map(_Sql, c))
+_HALF = "CASE WHEN v = 0 THEN v WHEN abs(v) >= 65520 THEN sign(v) * 'Infinity'::DOUBLE ELSE round_even(v / greatest(pow(2, floor(log2(abs(v))) - 10), pow(2, -24)), 0) * greatest(pow(2, floor(log2(abs(v))) - 10), pow(2, -24)) + 0.0 END"
+for _n in (2048, 4096):
+    query(f"matmul_{_n}", _dense_sql(_n, [_names(f) for f in _WHOLE]))(_dense(_n, _WHOLE))
+query("matmul_mixed_2048", _dense_sql(2048, [_names(f) for f in _PARTS], half=True))(_dense(2048, _PARTS, "f2"))
+
+
 @query("batch_matmul", fx.with_tensors("t", "SELECT x.b, x.i, y.j, sum(x.v * y.v) AS v FROM t x JOIN t y ON x.b = y.b AND x.j = y.i GROUP BY ALL"))
 def batch_matmul(spark, sf_dir):
     t = fx.cube(spark, sf_dir)
@@ -114,9 +173,6 @@ def add_sparse(spark, sf_dir):
     return shown(matrix.add(s, s), "ij")
 
 
-_HALF = "CASE WHEN v = 0 THEN v WHEN abs(v) >= 65520 THEN sign(v) * 'Infinity'::DOUBLE ELSE round_even(v / greatest(pow(2, floor(log2(abs(v))) - 10), pow(2, -24)), 0) * greatest(pow(2, floor(log2(abs(v))) - 10), pow(2, -24)) + 0.0 END"
-
-
 @query("matmul_mixed", fx.with_tensors("e", f", h AS (SELECT i, k, {_HALF} AS v FROM e) SELECT x.i, y.i AS j, round(sum(x.v * y.v), 6) + 0.0 AS v FROM h x JOIN h y USING (k) GROUP BY ALL"))
 def matmul_mixed(spark, sf_dir):
     e = fx.vectors(spark, sf_dir)

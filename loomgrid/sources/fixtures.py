@@ -58,6 +58,26 @@ def square(spark: SparkSession, sf_dir: str, n: int) -> Tensor:
     return _counted(spark, sf_dir, (n, n), i=F.col("l_orderkey") % n, j=F.col("l_partkey") % n)
 
 
+def profile(spark: SparkSession, sf_dir: str, n: int, key: str) -> DataFrame:
+    """(i, q): the summed quantities of line items by a key modulo n, for every i below n."""
+    sums = _counted(spark, sf_dir, (n,), i=F.col(key) % n)
+    return sums.df.select(F.col("i0").alias("i"), F.col("v").cast("long").alias("q"))
+
+
+def profile_sql(n: int, key: str) -> str:
+    return f"SELECT i, CAST(v AS BIGINT) AS q FROM ({_counted_sql((n,), i=f'{key} % {n}')})"
+
+
+def dense_lines(rows: DataFrame, columns: DataFrame, value) -> DataFrame:
+    """(i, x) of a dense matrix: ``value`` of the profiles and places of its row and column, a column expression of (q, p, i, k).
+
+    The columns' profile is one array, which every row reads.
+    """
+    across = columns.agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("across"))
+    both = rows.crossJoin(F.broadcast(across))
+    return both.select("i", F.transform("across", lambda c: value(F.col("q"), c["q"], F.col("i"), c["i"]).cast("double")).alias("x"))
+
+
 def cube(spark: SparkSession, sf_dir: str) -> Tensor:
     return _counted(spark, sf_dir, (7, 8, 8), b=F.col("l_linenumber") - 1, i=F.col("l_orderkey") % 8, j=F.col("l_partkey") % 8)
 
