@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgrid.functions.exact import exact_sums
 from loomgrid.functions.numeric import least, most
 from loomgrid.meta import Tensor
 
-#: Parts in which the tasks' sums meet first, and groups that a task holds.
-BUCKETS, HELD = 64, 50_000
-
 
 def _reduced(t: Tensor, how: Column, dim: int | None, keepdim: bool) -> Tensor:
     axis = None if dim is None else t.axis(dim)
@@ -61,46 +55,13 @@ def min(t: Tensor, dim: int | None = None, keepdim: bool = False) -> Tensor:  #
 
 
 def sum_kahan(t: Tensor, dim: int | None = None, keepdim: bool = False) -> Tensor:
-    """Compensated: each task sums exactly over all its rows and passes on the sum with two remainders for each group.
-
-    These are summed exactly again, first in ``BUCKETS`` parts of a group and then once, so that what meets in one place is
-    bounded by the number of tasks. A task with more than ``HELD`` groups passes on what it has.
-    """
+    """The exact sum, rounded once (``functions.exact``): better than compensated, and the same in any order of the rows."""
     axis = None if dim is None else t.axis(dim)
     others = [] if axis is None else [c for c in t.index if c != f"i{axis}"]
-
-    def parts(values: list[float]) -> tuple[float, float, float]:
-        a = math.fsum(values)
-        if not math.isfinite(a):
-            return a, 0.0, 0.0
-        b = math.fsum([*values, -a])
-        return a, b, math.fsum([*values, -a, -b])
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        held: dict[tuple, tuple] = {}
-        bucket = TaskContext.get().partitionId() % BUCKETS
-        rows = lambda: pd.DataFrame([(*k, bucket, *v) for k, v in held.items()], columns=[*others, "bucket", "a", "b", "c"])
-        for f in frames:
-            for k, g in f.groupby(others, sort=False) if others else [((), f)]:
-                k = k if isinstance(k, tuple) else (k,)
-                held[k] = parts([*g["v"].tolist(), *held.get(k, ())])
-            if len(held) > HELD:
-                yield rows()
-                held.clear()
-        if held:
-            yield rows()
-
-    keys = "".join(f"{c} long, " for c in others)
-    some = t.df.select(*others, "v").mapInPandas(partial, keys + "bucket int, a double, b double, c double")
-
-    def again(f: pd.DataFrame) -> pd.DataFrame:
-        a, b, c = parts([x for n in "abc" for x in f[n].tolist()])
-        return f[[*others, "bucket"]][:1].assign(a=a, b=b, c=c)
-
-    some = some.groupBy(*others, "bucket").applyInPandas(again, keys + "bucket int, a double, b double, c double")
-    df = some.groupBy(*others).applyInPandas(lambda f: again(f)[[*others, "a"]].rename(columns={"a": "v"}), keys + "v double")
+    df = exact_sums(t.df.select(*others, "v"), others, rows=_count(t, dim))
+    if not others:
+        # no rows at all sum to 0
+        df = df.agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))
     return _shaped(t, df, axis, others, keepdim)
 
 
