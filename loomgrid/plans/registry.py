@@ -15,7 +15,7 @@ from loomgrid.operators import contraction, convolution, fourier, matrix, pipeli
 from loomgrid.session import ship
 from loomgrid.sources import fixtures as fx
 from loomgrid.sources import tiles
-from loomgrid.sources.layouts import coo, sparse
+from loomgrid.sources.layouts import coo, from_rows, sparse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -360,6 +360,19 @@ def sum_kahan_dim(spark, sf_dir):
     return shown(reduction.sum_kahan(fx.cube(spark, sf_dir), 0), "ij")
 
 
+_PARTS_EXACT = "SELECT l_partkey AS i, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(38, 2))) AS DOUBLE), 2) + 0.0 AS v FROM lineitem GROUP BY l_partkey"
+
+
+@query("sum_kahan_parts", _PARTS_EXACT)
+def sum_kahan_parts(spark, sf_dir):
+    """Prices by part, among values of 1e16 that cancel within each part."""
+    lines = fx._table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("i0"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i1"), F.col("l_extendedprice").alias("v"))
+    parts = lines.select("i0").distinct()
+    huge = [parts.select("i0", F.lit(-k).cast("long").alias("i1"), F.lit(v).alias("v")) for k, v in ((1, 1e16), (2, -1e16))]
+    shape = (1 << 31, 1 << 31)
+    return shown(reduction.sum_kahan(Tensor(huge[0].unionByName(lines).unionByName(huge[1]), shape, sparse=True), 1), "i", 2)
+
+
 # stencils
 
 def _step_sql(source: str, kernel, boundary: str) -> str:
@@ -398,18 +411,61 @@ for _name, _boundary in (("jacobi_5", "zero"), ("jacobi_periodic", "periodic")):
     query(_name, _jacobi_sql(_boundary, 5))(lambda spark, sf_dir, boundary=_boundary: shown(stencil.jacobi_2d(fx.matrix_a(spark, sf_dir), matrix.transpose(fx.matrix_a(spark, sf_dir)), boundary=boundary, iterations=5, tol=None)[0], "ij", 4))
 
 
+#: Step change at which jacobi_tol stops, as a part of the largest value of the grid.
+JACOBI_TOL = 0.6
+
+_JACOBI_TOL = fx.with_tensors("t", f"""
+, start AS (SELECT list(v ORDER BY i, j) AS u FROM t WHERE b = 0), source AS (SELECT list(v ORDER BY i, j) AS f FROM t WHERE b = 1),
+""".strip() + f" goal AS (SELECT {JACOBI_TOL}::DOUBLE * list_max(u) AS tol FROM start), " + """
+steps(n, u, gap) AS (SELECT 0, u, 'Infinity'::DOUBLE FROM start UNION ALL
+  SELECT n, w, sqrt(list_sum(list_transform(range(1, 65), lambda k: (w[k] - u[k]) * (w[k] - u[k])))) FROM (
+    SELECT n + 1 AS n, u, list_transform(range(64), lambda k: (CASE WHEN k >= 8 THEN u[k - 7] ELSE 0 END + CASE WHEN k < 56 THEN u[k + 9] ELSE 0 END
+      + CASE WHEN k % 8 > 0 THEN u[k] ELSE 0 END + CASE WHEN k % 8 < 7 THEN u[k + 2] ELSE 0 END - 0.1::DOUBLE * 0.1::DOUBLE * f[k + 1]) / 4) AS w
+    FROM steps, source, goal WHERE gap >= tol AND n < 200))
+SELECT CAST(k // 8 AS BIGINT) AS i, CAST(k % 8 AS BIGINT) AS j, round(u[k + 1], 4) + 0.0 AS v, CAST(n AS BIGINT) AS steps FROM (SELECT * FROM steps ORDER BY n DESC LIMIT 1), range(64) r(k)""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("jacobi_tol", _JACOBI_TOL)
 def jacobi_tol(spark, sf_dir):
-    """Steps until the change is below a tolerance: no SQL, as the number of steps depends on the data."""
-    t = fx.cube(ship(spark), sf_dir)
+    """Steps until the change is below a tolerance."""
+    t = fx.cube(spark, sf_dir)
     slab = lambda k: coo(t.df.where(F.col("i0") == k), (8, 8), ["i1", "i2"])
     tol = JACOBI_TOL * slab(0).df.agg(F.max("v")).first()[0]
     u, steps = stencil.jacobi_2d(slab(0), slab(1), dx=0.1, iterations=200, tol=tol)
     return shown(u, "ij", 4).withColumn("steps", F.lit(steps).cast("long"))
 
 
-#: Step change at which the query stops, as a part of the largest value of the grid.
-JACOBI_TOL = 0.6
-QUERIES["jacobi_tol"] = jacobi_tol
+def _plane(spark, sf_dir, n: int, value) -> Tensor:
+    """A dense n x n grid by the profiles of orders and parts."""
+    rows = fx.dense_lines(*(fx.profile(spark, sf_dir, n, key) for key in ("l_orderkey", "l_partkey")), value)
+    return from_rows(rows, (n, n), ["i"], "x")
+
+
+_HEAT = ((0.0, 0.125, 0.0), (0.125, 0.5, 0.125), (0.0, 0.125, 0.0))
+_GRID = (lambda q, p, i, k: (q * 3 + p * 5 + i * k) % 101, lambda q, p, i, k: (q + p * 7 + i + k) % 11)
+
+
+def _lines_sql(n: int, steps: int, cell: str, periodic: bool, extra: str = "") -> str:
+    """``steps`` steps over the rows of a grid as lists: ``cell`` is the new value from the rows a (above), u, b (below), f and the place k from 1."""
+    grid = [f"SELECT r.i, list(CAST({_names(f)('r.q', 'c.q', 'r.i', 'c.i')} AS DOUBLE) ORDER BY c.i) AS u FROM o r, p c GROUP BY r.i" for f in _GRID]
+    zero = "list_transform(u, lambda x: 0.0::DOUBLE)"
+    side = (lambda f, end: f"coalesce({f}(u) OVER (ORDER BY i), {end}(u) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))") if periodic else (lambda f, end: f"coalesce({f}(u) OVER (ORDER BY i), {zero})")
+    sql = f"WITH o AS ({fx.profile_sql(n, 'l_orderkey')}), p AS ({fx.profile_sql(n, 'l_partkey')}), s0 AS MATERIALIZED ({grid[0]}), f AS MATERIALIZED (SELECT i, u AS f FROM ({grid[1]}))"
+    for s in range(steps):
+        sql += f", s{s + 1} AS MATERIALIZED (SELECT i, list_transform(range(1, {n + 1}), lambda k: {cell}) AS u FROM (SELECT i, u, {side('lag', 'last')} AS a, {side('lead', 'first')} AS b FROM s{s}) JOIN f USING (i))"
+    return sql + f" SELECT CAST(i AS BIGINT) AS i, CAST(unnest(range({n})) AS BIGINT) AS j, round(unnest(u), 4) + 0.0 AS v FROM s{steps}"
+
+
+@query("stencil_1024", _lines_sql(1024, 50, "a[k] * 0.125 + u[(k + 1022) % 1024 + 1] * 0.125 + u[k] * 0.5 + u[k % 1024 + 1] * 0.125 + b[k] * 0.125", True))
+def stencil_1024(spark, sf_dir):
+    """50 steps of diffusion on a periodic 1024 x 1024 grid."""
+    return shown(stencil.stencil_2d(_plane(spark, sf_dir, 1024, _GRID[0]), _HEAT, "periodic", 50), "ij", 4)
+
+
+@query("jacobi_1024", _lines_sql(1024, 50, "(a[k] + b[k] + CASE WHEN k > 1 THEN u[k - 1] ELSE 0 END + CASE WHEN k < 1024 THEN u[k + 1] ELSE 0 END - f[k]) / 4", False))
+def jacobi_1024(spark, sf_dir):
+    grid, rhs = (_plane(spark, sf_dir, 1024, f) for f in _GRID)
+    return shown(stencil.jacobi_2d(grid, rhs, iterations=50, tol=None)[0], "ij", 4)
 
 
 # pipelines and plans
