@@ -39,6 +39,8 @@ BUCKETS, PER_BUCKET = 256, 1_000_000
 REMEMBERED = 1_200_000
 #: The first of them, which it keeps between tasks: words that are met early are frequent.
 KEPT = 200_000
+#: Words that are encoded as one line.
+TOGETHER = 64
 
 _tokenizers: dict = {}
 
@@ -58,17 +60,26 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.encode("utf-8", "replace").split() for t in texts]
         known = self.known
-        new = {w for s in split for w in s if w not in known}
+        every = set().union(*split)
+        new = every.difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = {w for s in split for w in s}
+            new = every
         ordered = list(new)
         for at in range(0, len(ordered), 20_000):
             part = ordered[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            known.update(zip(part, self.of_words([w.decode() for w in part])))
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
+    def of_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word; words are encoded many at a time, and a token belongs to the word in which it begins."""
+        lines = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(line) for line in lines], add_special_tokens=False)):
+            begins = np.cumsum([0] + [len(w) + 1 for w in line])
+            cuts = np.searchsorted([b for b, _ in e.offsets], begins).tolist()
+            ids = np.array(e.ids, "<u4").tobytes()
+            yield from (ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:]))
+
     def rest(self) -> None:
         """Forget all but the first words, at the end of a task: the worker may idle beside others for long."""
         self.known = dict(islice(self.known.items(), KEPT))
