@@ -36,16 +36,13 @@ _ARROW = pa.schema({"bi": pa.int32(), "bj": pa.int32(), "dy": pa.int32(), "dx":
 
 @dataclass(frozen=True)
 class Cut:
-    """How a grid is cut: its shape, tiles per axis, reach of a step per axis, boundary, and planes of values."""
+    """How a grid is cut: its shape, reach of a step per axis, boundary, planes of values, and tiles per axis."""
 
     shape: tuple[int, int]
     reach: tuple[int, int]
     periodic: bool
     planes: int
-
-    @property
-    def tiles(self) -> tuple[int, int]:
-        return tuple(max(1, n // max(TILE, r)) for n, r in zip(self.shape, self.reach))
+    tiles: tuple[int, int]
 
     @property
     def deep(self) -> int | None:
@@ -77,6 +74,11 @@ class Cut:
         return tuple(out)
 
 
+def cut_of(shape: tuple[int, int], reach: tuple[int, int], boundary: str, planes: int) -> Cut:
+    tiles = tuple(max(1, n // max(TILE, r)) for n, r in zip(shape, reach))
+    return Cut(shape, reach, boundary == "periodic", planes, tiles)
+
+
 def _given(cut: Cut, bi: int, bj: int, x: np.ndarray, steps: int, gaps: list[float] | None = None) -> pa.RecordBatch:
     """A tile and, if there are more steps, the strips that its neighbours need for them."""
     rows = [(bi, bj, 0, 0, x.tobytes(), gaps)]
@@ -201,7 +203,7 @@ def stencil_2d(grid: Tensor, kernel=LAPLACIAN_5, boundary: str = "zero", iterati
         inner = sum((_tap(x[0], a, b, reach) * w for a, b, w in taps), np.zeros_like(_tap(x[0], 0, 0, reach)))
         return _placed(inner, x[0], reach)
 
-    cut = Cut(grid.shape, reach, boundary == "periodic", 1)
+    cut = cut_of(grid.shape, reach, boundary, 1)
     return grid.with_df(repeated(cut, [grid.df], step, iterations), sparse=False)
 
 
@@ -214,7 +216,7 @@ def jacobi_2d(grid: Tensor, rhs: Tensor, dx: float = 1.0, boundary: str = "zero"
     _checked(grid, boundary)
     if grid.shape != rhs.shape:
         raise TensorError("grid and right-hand side have different shapes")
-    cut, around = Cut(grid.shape, (1, 1), boundary == "periodic", 2), ((-1, 0), (1, 0), (0, -1), (0, 1))
+    cut, around = cut_of(grid.shape, (1, 1), boundary, 2), ((-1, 0), (1, 0), (0, -1), (0, 1))
 
     def step(x: np.ndarray) -> np.ndarray:
         u, f = x

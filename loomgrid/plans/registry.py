@@ -225,6 +225,16 @@ _conv("conv3d", (1, 4, 4, 4), (2, 1, 2, 3, 3), (1, 1, 1), (0, 1, 1), (1, 1, 1))
 _conv("conv3d_stride_bias", (2, 2, 4, 4), (2, 2, 2, 3, 3), (1, 2, 2), (1, 1, 0), (2, 1, 1), 1, True)
 
 
+#: Cells of a grid and of a right-hand side by the profiles and places of row and column.
+_GRID = (lambda q, p, i, k: (q * 3 + p * 5 + i * k) % 101, lambda q, p, i, k: (q + p * 7 + i + k) % 11)
+
+
+def _plane(spark, sf_dir, n: int, value) -> Tensor:
+    """A dense n x n grid by the profiles of orders and parts."""
+    rows = fx.dense_lines(*(fx.profile(spark, sf_dir, n, key) for key in ("l_orderkey", "l_partkey")), value)
+    return from_rows(rows, (n, n), ["i"], "x")
+
+
 # Fourier transforms: the SQL is the plain sum
 
 def _dft(source: str, n: int, length: int, bins: int, sign: int, scale: str, value: str = "v") -> str:
@@ -279,6 +289,45 @@ def fft2d_pencil(spark, sf_dir):
     return shown(fourier.fft2d_pencil(fx.matrix_a(spark, sf_dir)), "ij", 4)
 
 
+def _butterflies(source: str, bits: int, high: int) -> str:
+    """The transform of (i, v) by halves: one stage per bit of i, those below and those from bit ``high`` on being axes of their own."""
+    sql = f"WITH {source}, b0 AS MATERIALIZED (SELECT i, v AS re, 0.0::DOUBLE AS im FROM source)"
+    for s in range(bits):
+        bit = bits - 1 - s
+        low = high if bit >= high else 0
+        half, angle = 1 << bit, f"(-pi() * (((x.i % {1 << bit}) >> {low})::DOUBLE / {1 << (bit - low)}))"
+        upper = f"(x.i & {half}) <> 0"
+        re, im = (f"CASE WHEN {upper} THEN y.{c} - x.{c} ELSE x.{c} + y.{c} END" for c in ("re", "im"))
+        sql += (
+            f", m{s} AS (SELECT x.i, {upper} AS turns, {re} AS re, {im} AS im, cos({angle}) AS c, sin({angle}) AS s FROM b{s} x JOIN b{s} y ON y.i = xor(x.i, {half}))"
+            f", b{s + 1} AS MATERIALIZED (SELECT i, CASE WHEN turns THEN re * c - im * s ELSE re END AS re, CASE WHEN turns THEN re * s + im * c ELSE im END AS im FROM m{s})"
+        )
+    place = " + ".join(f"((i >> {b}) & 1) * {1 << ((bits - 1 + high - b) if b >= high else high - 1 - b)}" for b in range(bits))
+    return sql + f", done AS (SELECT {place} AS k, re, im FROM b{bits})"
+
+
+#: Length of the long axis.
+_LONG = 1 << 20
+_PRICES = f"source AS (SELECT r.i, coalesce(s.v, 0.0::DOUBLE) AS v FROM range({_LONG}) r(i) LEFT JOIN (SELECT (l_orderkey * 7 + l_linenumber) % {_LONG} AS i, CAST(sum(CAST(l_extendedprice AS DECIMAL(38, 2))) AS DOUBLE) AS v FROM lineitem GROUP BY ALL) s USING (i))"
+
+
+@query("fft_long", _butterflies(_PRICES, 20, 0) + f" SELECT CAST(k AS BIGINT) AS k, round(re / {_LONG}, 3) + 0.0 AS re, round(im / {_LONG}, 3) + 0.0 AS im FROM done")
+def fft_long(spark, sf_dir):
+    """One line of 2^20 cells: the prices of line items by the place that their order and line number give."""
+    at = ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % _LONG).cast("long").alias("i0")
+    sums = fx._table(spark, sf_dir, "lineitem").groupBy(at).agg(F.sum(F.col("l_extendedprice").cast("decimal(38,2)")).cast("double").alias("v"))
+    return shown(fourier.fft(Tensor(sums, (_LONG,), sparse=True), norm="forward"), "k", 3)
+
+
+def _square_sql(n: int, value) -> str:
+    return f"o AS ({fx.profile_sql(n, 'l_orderkey')}), p AS ({fx.profile_sql(n, 'l_partkey')}), source AS (SELECT r.i * {n} + c.i AS i, CAST({_names(value)('r.q', 'c.q', 'r.i', 'c.i')} AS DOUBLE) AS v FROM o r, p c)"
+
+
+@query("fft2d_1024", _butterflies(_square_sql(1024, _GRID[0]), 20, 10) + " SELECT CAST(k // 1024 AS BIGINT) AS i, CAST(k % 1024 AS BIGINT) AS j, round(re / 1024, 3) + 0.0 AS re, round(im / 1024, 3) + 0.0 AS im FROM done")
+def fft2d_1024(spark, sf_dir):
+    return shown(fourier.fft2d_pencil(_plane(spark, sf_dir, 1024, _GRID[0]), norm="ortho"), "ij", 3)
+
+
 # Einstein sums
 
 @query("einsum_chain", fx.with_tensors("ab", "SELECT x.i, z.j AS l, sum(x.v * y.v * z.v) AS v FROM a x JOIN b y ON x.j = y.i JOIN a z ON y.j = z.i GROUP BY ALL"))
@@ -435,14 +484,7 @@ def jacobi_tol(spark, sf_dir):
     return shown(u, "ij", 4).withColumn("steps", F.lit(steps).cast("long"))
 
 
-def _plane(spark, sf_dir, n: int, value) -> Tensor:
-    """A dense n x n grid by the profiles of orders and parts."""
-    rows = fx.dense_lines(*(fx.profile(spark, sf_dir, n, key) for key in ("l_orderkey", "l_partkey")), value)
-    return from_rows(rows, (n, n), ["i"], "x")
-
-
 _HEAT = ((0.0, 0.125, 0.0), (0.125, 0.5, 0.125), (0.0, 0.125, 0.0))
-_GRID = (lambda q, p, i, k: (q * 3 + p * 5 + i * k) % 101, lambda q, p, i, k: (q + p * 7 + i + k) % 11)
 
 
 def _lines_sql(n: int, steps: int, cell: str, periodic: bool, extra: str = "") -> str:

@@ -1,6 +1,7 @@
 """Array operations against numpy, on random arrays and at the edges."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from loomgrid.meta import Tensor, TensorError
 from loomgrid.operators import contraction, convolution, fourier, matrix, pipeline, reduction, stencil
 from loomgrid.plans.api import OPERATIONS, compute
+from loomgrid.session import shared_dir
 from loomgrid.sources.layouts import dense, from_numpy, sparse, to_numpy
 
 RNG = np.random.default_rng(0)
@@ -210,3 +212,102 @@ def test_errors_and_layouts(spark):
     x = np.array([[0.0, 1.0], [2.0, 0.0]])
     assert sparse(from_numpy(spark, x)).df.count() == 2 and np.array_equal(to_numpy(dense(sparse(from_numpy(spark, x)))), x)
     assert len(OPERATIONS) == 27 and isinstance(a, Tensor)
+
+
+@pytest.mark.parametrize("shape,tile,panel", [((9, 7, 5), 4, 1), ((9, 7, 5), 2, 2), ((8, 8, 8), 4, 4), ((1, 6, 1), 4, 4)])
+def test_tiles(spark, shape, tile, panel):
+    from loomgrid.sources import tiles
+
+    a, b = rand(*shape[:2]), rand(*shape[1:])
+    one, two = tiles.from_cells(from_numpy(spark, a), tile), tiles.from_cells(from_numpy(spark, b), tile)
+    assert np.array_equal(to_numpy(tiles.to_cells(one)), a) and np.array_equal(to_numpy(tiles.to_cells(tiles.transposed(one))), a.T)
+    assert np.allclose(to_numpy(tiles.to_cells(tiles.product(one, two, panel))), a @ b)
+    lines = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(a)], "i long, x array<double>").repartition(3)
+    same = tiles.from_lines(lines, a.shape, "i", "x", tile)
+    assert np.array_equal(to_numpy(tiles.to_cells(same)), a)
+    back = np.zeros_like(a)
+    for r in tiles.to_lines(same).collect():
+        back[r["i0"], r["j0"] : r["j0"] + len(r["x"])] = r["x"]
+    assert np.array_equal(back, a)
+    halves = [tiles.from_cells(from_numpy(spark, x), tile, "f2") for x in (a, b)]
+    half = lambda x: x.astype(np.float16).astype(float)
+    assert np.allclose(to_numpy(tiles.to_cells(tiles.product(*halves, panel))), half(a) @ half(b), atol=1e-12)
+
+
+def test_tiles_of_sparse_and_refused(spark):
+    from loomgrid.sources import tiles
+
+    a = np.zeros((10, 10))
+    a[7, 1] = 2.0
+    t = tiles.from_cells(sparse(from_numpy(spark, a)), 4)
+    assert t.df.count() == 1 and to_numpy(tiles.to_cells(tiles.product(t, tiles.from_cells(from_numpy(spark, np.ones((10, 10))), 4)), sparse=True)).sum() == 20
+    with pytest.raises(TensorError):
+        tiles.product(t, t.with_df(t.df, tile=5))
+    a, b = rand(30, 20), rand(20, 10)
+    assert np.allclose(to_numpy(pipeline.pipelined_matmul(from_numpy(spark, a), from_numpy(spark, b), 3, strategy="block", tile=8)), a @ b)
+
+
+@pytest.mark.parametrize("boundary", ["zero", "periodic"])
+@pytest.mark.parametrize("shape,kernel", [((23, 17), stencil.LAPLACIAN_9), ((6, 31), ((0.2, 0.0, 0.1, 0.0, -0.1),)), ((12, 5), ((0.5, 0.1), (0.25, 0.3), (0.1, 0.0))), ((3, 2), tuple((0.1,) * 5 for _ in range(5)))])
+def test_stencil_over_many_tiles(spark, monkeypatch, boundary, shape, kernel):
+    monkeypatch.setattr(stencil, "TILE", 4)
+    monkeypatch.setattr(stencil, "DEEP", 2)
+    monkeypatch.setattr(stencil, "CUT", 2)
+    grid, k = rand(*shape), np.array(kernel)
+    want = grid
+    for _ in range(7):
+        ph, pw = k.shape[0] // 2, k.shape[1] // 2
+        padded = np.pad(want, ((ph, ph), (pw, pw)), mode="wrap" if boundary == "periodic" else "constant") if boundary == "zero" or max(ph, pw) else want
+        want = sum(k[a, b] * padded[a : a + shape[0], b : b + shape[1]] for a in range(k.shape[0]) for b in range(k.shape[1]))
+    got = to_numpy(stencil.stencil_2d(from_numpy(spark, grid), kernel, boundary, 7))
+    assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("boundary", ["zero", "periodic"])
+def test_jacobi_over_many_tiles(spark, monkeypatch, boundary):
+    monkeypatch.setattr(stencil, "TILE", 6)
+    monkeypatch.setattr(stencil, "DEEP", 2)
+    grid, rhs = rand(20, 13), rand(20, 13)
+    rhs -= rhs.mean()
+    u, steps = grid, 0
+    while steps < 60:
+        p = np.pad(u, 1, mode="wrap" if boundary == "periodic" else "constant")
+        new = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 0.25 * rhs) / 4
+        gap, u, steps = np.sqrt(((new - u) ** 2).sum()), new, steps + 1
+        if gap < 0.9:
+            break
+    tables = lambda: set(Path(shared_dir(spark).removeprefix("file://")).iterdir())
+    before = tables()
+    got, taken = stencil.jacobi_2d(from_numpy(spark, grid), from_numpy(spark, rhs), 0.5, boundary, 60, 0.9)
+    assert tables() == before
+    assert taken == steps < 60 and np.allclose(to_numpy(got), u)
+
+
+def test_exchanges_of_a_stencil():
+    cut = stencil.cut_of((1024, 1024), (1, 1), "periodic", 1)
+    assert cut.tiles == (4, 4) and stencil.exchanges(cut, 50) == [16, 16, 16, 2]
+
+
+@pytest.mark.parametrize("n", [36, 64, 97, 30, 7 * 83])
+@pytest.mark.parametrize("kind", ["fft", "ifft", "rfft"])
+def test_long_axis(spark, monkeypatch, n, kind):
+    monkeypatch.setattr(fourier, "LONG", 16)
+    monkeypatch.setattr(fourier, "BAND", 24)
+    monkeypatch.setattr(fourier, "ASKEW", 4)
+    x = rand(3, n) if kind == "rfft" else rand(3, n) + 1j * rand(3, n)
+    for norm in fourier.NORMS if n == 36 else ("ortho",):
+        got = to_numpy(getattr(fourier, kind)(from_numpy(spark, x), norm=norm))
+        assert np.allclose(got, getattr(np.fft, kind)(x, norm=norm), atol=1e-9)
+    if n == 64:
+        assert np.allclose(to_numpy(getattr(fourier, kind)(from_numpy(spark, x), 40)), getattr(np.fft, kind)(x, 40), atol=1e-9)
+        assert np.allclose(to_numpy(getattr(fourier, kind)(from_numpy(spark, x.T), 100, 0)), getattr(np.fft, kind)(x.T, 100, 0), atol=1e-9)
+
+
+def test_large_planes(spark, monkeypatch):
+    monkeypatch.setattr(fourier, "PLANE", 32)
+    monkeypatch.setattr(fourier, "BAND", 40)
+    x = rand(2, 9, 14)
+    assert np.allclose(to_numpy(fourier.fft2d(from_numpy(spark, x))), np.fft.fft2(x))
+    assert np.allclose(to_numpy(fourier.fft2d(from_numpy(spark, x), (12, 10), (2, 0), "ortho")), np.fft.fft2(x, (12, 10), (2, 0), "ortho"))
+    z = x[0] + 1j * rand(9, 14)
+    assert np.allclose(to_numpy(fourier.fft2d_pencil(from_numpy(spark, z))), np.fft.fft2(z))
