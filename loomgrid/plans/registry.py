@@ -235,6 +235,30 @@ def _plane(spark, sf_dir, n: int, value) -> Tensor:
     return from_rows(rows, (n, n), ["i"], "x")
 
 
+#: Cells of the images of a network's layer, by the profiles of 512 planes and of 3136 pixels.
+_LAYER, _PLANES, _SIDE, _OUTS = (lambda q, p, i, k: (q * 3 + p * 7 + i * k) % 23 - 11), 64, 56, 128
+
+
+@query(
+    "conv2d_64_128",
+    f"WITH o AS ({fx.profile_sql(512, 'l_orderkey')}), p AS ({fx.profile_sql(3136, 'l_partkey')}), "
+    f"layer AS MATERIALIZED (SELECT r.i // 64 AS n, r.i % 64 AS c, c.i // 56 AS y, c.i % 56 AS x, CAST({_names(_LAYER)('r.q', 'c.q', 'r.i', 'c.i')} AS DOUBLE) AS v FROM o r, p c), w AS {fx.polynomial_sql((_OUTS, _PLANES, 3, 3), 2, 'ocab')}, "
+    "tapped AS (SELECT x.n, x.c, x.v, r.a, s.b, x.y + 1 - r.a AS y, x.x + 1 - s.b AS x FROM layer x, range(3) r(a), range(3) s(b) WHERE x.y + 1 - r.a BETWEEN 0 AND 55 AND x.x + 1 - s.b BETWEEN 0 AND 55) "
+    "SELECT 'pixel' AS side, CAST(t.n * 3136 + t.y * 56 + t.x AS BIGINT) AS at, sum(t.v * k.v) AS v FROM tapped t JOIN (SELECT c, a, b, sum(v * (o % 7 + 1)) AS v FROM w GROUP BY ALL) k USING (c, a, b) GROUP BY t.n, t.y, t.x "
+    "UNION ALL SELECT 'channel', CAST(w.o AS BIGINT), sum(w.v * k.v) FROM w JOIN (SELECT c, a, b, sum(v * ((n + y + x) % 5 + 1)) AS v FROM tapped GROUP BY ALL) k USING (c, a, b) GROUP BY w.o",
+)
+def conv2d_64_128(spark, sf_dir):
+    """A network's layer: 8 images of 64 channels of 56 x 56, 128 kernels of 3 x 3; both projections of all 3.2 million cells."""
+    rows = fx.dense_lines(fx.profile(spark, sf_dir, 512, "l_orderkey"), fx.profile(spark, sf_dir, 3136, "l_partkey"), _LAYER)
+    cells = rows.select("i", F.posexplode("x").alias("at", "v"))
+    split = lambda c, n: (F.floor(F.col(c) / n).cast("long"), (F.col(c) % n).cast("long"))
+    x = Tensor(cells.select(*[c.alias(f"i{k}") for k, c in enumerate((*split("i", _PLANES), *split("at", _SIDE)))], "v"), (8, _PLANES, _SIDE, _SIDE))
+    out = convolution.conv2d(x, fx.polynomial(spark, (_OUTS, _PLANES, 3, 3), 2), padding=(1, 1)).df
+    pixels = out.groupBy((F.col("i0") * 3136 + F.col("i2") * 56 + F.col("i3")).alias("at")).agg(F.sum(F.col("v") * (F.col("i1") % 7 + 1)).alias("v"))
+    channels = out.groupBy(F.col("i1").alias("at")).agg(F.sum(F.col("v") * ((F.col("i0") + F.col("i2") + F.col("i3")) % 5 + 1)).alias("v"))
+    return pixels.select(F.lit("pixel").alias("side"), "at", "v").unionByName(channels.select(F.lit("channel").alias("side"), "at", "v"))
+
+
 # Fourier transforms: the SQL is the plain sum
 
 def _dft(source: str, n: int, length: int, bins: int, sign: int, scale: str, value: str = "v") -> str:

@@ -72,6 +72,38 @@ def test_conv2d(spark, how):
     assert np.allclose(to_numpy(convolution.conv2d(from_numpy(spark, x), from_numpy(spark, w), from_numpy(spark, bias), **how)), want)
 
 
+def plain_convolution(x, w, bias, stride, padding, dilation, groups):
+    axes, outs, per = x.ndim - 2, w.shape[0], w.shape[1]
+    padded = np.pad(x, ((0, 0), (0, 0), *((p, p) for p in padding)))
+    size = [(n - d * (k - 1) - 1) // t + 1 for n, k, t, d in zip(padded.shape[2:], w.shape[2:], stride, dilation)]
+    out = np.zeros((len(x), outs, *size))
+    for place in np.ndindex(*w.shape[2:]):
+        cut = tuple(slice(k * d, k * d + t * (n - 1) + 1, t) for k, d, t, n in zip(place, dilation, stride, size))
+        for o in range(outs):
+            g = o // (outs // groups)
+            out[:, o] += np.tensordot(w[(o, slice(None), *place)], padded[(slice(None), slice(g * per, (g + 1) * per), *cut)], (0, 1))
+    return out + bias.reshape(1, -1, *[1] * axes)
+
+
+@pytest.mark.parametrize("tile,block", [(16, 8), (60, 30), (200, 1000)])
+@pytest.mark.parametrize(
+    "x,w,stride,padding,dilation,groups",
+    [
+        ((3, 2, 11, 4), (4, 2, 3, 2), (1, 1), (1, 0), (1, 1), 1),
+        ((2, 6, 9, 5), (6, 2, 2, 3), (2, 1), (2, 1), (2, 1), 3),
+        ((2, 4, 7, 3), (8, 1, 3, 1), (3, 2), (0, 0), (1, 1), 4),
+        ((2, 2, 8, 3, 4), (2, 2, 2, 1, 3), (2, 1, 1), (1, 0, 1), (3, 1, 1), 1),
+    ],
+)
+def test_convolutions_in_tiles(spark, monkeypatch, x, w, stride, padding, dilation, groups, tile, block):
+    monkeypatch.setattr(convolution, "TILE", tile)
+    monkeypatch.setattr(convolution, "BLOCK", block)
+    a, b, bias = rand(*x), rand(*w), rand(w[0])
+    b[0] = 0
+    got = to_numpy(convolution.convolve(from_numpy(spark, a), sparse(from_numpy(spark, b)), from_numpy(spark, bias), stride, padding, dilation, groups))
+    assert np.allclose(got, plain_convolution(a, b, bias, stride, padding, dilation, groups))
+
+
 def test_fourier(spark):
     x = rand(3, 4, 6)
     t = from_numpy(spark, x)
