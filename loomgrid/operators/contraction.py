@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from loomgrid.meta import Tensor, TensorError
 
-#: Operands whose orders are searched, and blurred paths that are tried.
-MOST_SEARCHED, TRIES = 10, 32
+#: Operands whose orders are searched, those whose subsets are, and blurred paths that are tried.
+MOST_SEARCHED, MOST_SUBSETS, TRIES = 10, 20, 32
 
 
 def parse(equation: str, operands: int) -> tuple[list[str], str]:
@@ -42,63 +42,199 @@ def sizes(inputs: list[str], shapes: list[tuple[int, ...]]) -> dict[str, int]:
     return out
 
 
-def find_path(equation: str, *shapes: tuple[int, ...], strategy: str = "auto") -> tuple[list[tuple[int, int]], list[dict]]:
-    """(pairs of positions, one record per step) for a contraction; new intermediates go to the end of the list.
+class _Network:
+    """The operands of an equation as sets of labels, and what contracting some of them leaves and costs."""
 
-    "optimal", "dp" and "branch-all" search all orders of up to ``MOST_SEARCHED`` operands, "greedy" takes the cheapest pair at
-    a time, "random-greedy" the best of ``TRIES`` such paths whose costs are blurred by a fixed seed, and "auto" searches up to
-    six operands.
-    """
-    inputs, output = parse(equation, len(shapes))
-    length = sizes(inputs, list(shapes))
-    terms = [frozenset(x) for x in inputs]
-    cost = lambda labels: _product(length[c] for c in labels)
+    def __init__(self, inputs: list[str], output: str, length: dict[str, int]):
+        self.terms, self.output, self.length = [frozenset(x) for x in inputs], frozenset(output), length
+
+    def size(self, labels) -> int:
+        return _product(self.length[c] for c in labels)
 
-    def joined(parts: list[frozenset], i: int, j: int) -> tuple[frozenset, int, list[frozenset]]:
+    def joined(self, parts: list[frozenset], i: int, j: int) -> tuple[frozenset, int, list[frozenset]]:
+        """(labels left, products, the parts afterwards) of contracting two parts."""
         rest = [x for k, x in enumerate(parts) if k not in (i, j)]
-        keep = frozenset(output).union(*rest)
         both = parts[i] | parts[j]
-        return both & keep, cost(both), [*rest, both & keep]
-
-    @lru_cache(None)
-    def search(parts: tuple[frozenset, ...]) -> tuple[int, tuple]:
-        if len(parts) < 2:
-            return 0, ()
-        options = []
-        for i, j in combinations(range(len(parts)), 2):
-            _, flops, rest = joined(list(parts), i, j)
-            more, path = search(tuple(rest))
-            options.append((flops + more, ((i, j), *path)))
-        return min(options)
-
-    if strategy not in ("auto", "optimal", "dp", "branch-all", "greedy", "random-greedy"):
-        raise TensorError(f"strategy {strategy}")
-    def greedy(blur) -> tuple[int, list]:
-        parts, total, taken = list(terms), 0, []
+        left = both & self.output.union(*rest)
+        return left, self.size(both), [*rest, left]
+
+    def by_subsets(self) -> list[tuple[int, int]]:
+        """The cheapest order without products of parts that share no label: best costs of connected subsets, as bits, by the number of operands.
+
+        Groups of operands without a common label are contracted each, and multiplied in the end, smallest first.
+        """
+        n = len(self.terms)
+        groups, left = [], set(range(n))
+        while left:
+            group, edge = set(), {min(left)}
+            while edge:
+                group |= edge
+                seen = frozenset().union(*(self.terms[k] for k in group))
+                edge = {k for k in left - group if self.terms[k] & seen}
+            groups.append(sorted(group))
+            left -= group
+        trees = [self._best_tree(group) for group in groups]
+        trees.sort(key=lambda t: self.size(t[1]))
+        tree = trees[0][0]
+        for other, _ in trees[1:]:
+            tree = (tree, other)
+        return _pairs(tree, n)
+
+    def _best_tree(self, group: list[int]):
+        bits = {k: 1 << p for p, k in enumerate(group)}
+        whole = (1 << len(group)) - 1
+        outside = self.output.union(*(t for k, t in enumerate(self.terms) if k not in bits))
+        holds: dict[str, int] = {}
+        for k in group:
+            for c in self.terms[k]:
+                holds[c] = holds.get(c, 0) | bits[k]
+
+        @lru_cache(None)
+        def labels(mask: int) -> frozenset:
+            return frozenset(c for c, m in holds.items() if m & mask and (m & ~mask or c in outside))
+
+        best: dict[int, tuple[int, object]] = {b: (0, k) for k, b in bits.items()}
+        by_count: list[list[int]] = [[], list(best)]
+        for count in range(2, len(group) + 1):
+            made: dict[int, tuple[int, object]] = {}
+            for few in range(1, count // 2 + 1):
+                for x in by_count[few]:
+                    for y in by_count[count - few]:
+                        if x & y or (few * 2 == count and x > y):
+                            continue
+                        one, two = labels(x) if few > 1 else self.terms[best[x][1]], labels(y) if count - few > 1 else self.terms[best[y][1]]
+                        if not one & two:
+                            continue
+                        cost = best[x][0] + best[y][0] + self.size(one | two)
+                        if x | y not in made or cost < made[x | y][0]:
+                            made[x | y] = cost, (best[x][1], best[y][1])
+            best.update(made)
+            by_count.append(list(made))
+        return best[whole][1], labels(whole)
+
+    def by_branches(self, most: int | None = None) -> list[tuple[int, int]]:
+        """Depth first over all pairs, cheapest first; a branch is left where it cannot beat the best path so far, or makes a part of over ``most`` cells."""
+        best: list = [None, ()]
+        reached: dict[tuple, int] = {}
+
+        def go(parts: list[frozenset], cost: int, path: tuple) -> None:
+            if len(parts) < 2:
+                if best[0] is None or cost < best[0]:
+                    best[:] = cost, path
+                return
+            state = tuple(sorted("".join(sorted(p)) for p in parts))
+            if reached.get(state, cost + 1) <= cost:
+                return
+            reached[state] = cost
+            options = sorted(((*self.joined(parts, i, j), (i, j)) for i, j in combinations(range(len(parts)), 2)), key=lambda o: (o[1], o[3]))
+            for left, flops, rest, pair in options:
+                if best[0] is not None and cost + flops >= best[0]:
+                    break
+                if most is None or self.size(left) <= most:
+                    go(rest, cost + flops, (*path, pair))
+
+        go(list(self.terms), 0, ())
+        if best[0] is None:
+            raise TensorError("no order keeps every part within the size")
+        return list(best[1])
+
+    def by_search(self) -> list[tuple[int, int]]:
+        """All orders of pairs, with the best of each set of parts remembered."""
+
+        @lru_cache(None)
+        def search(parts: tuple[frozenset, ...]) -> tuple[int, tuple]:
+            if len(parts) < 2:
+                return 0, ()
+            options = []
+            for i, j in combinations(range(len(parts)), 2):
+                _, flops, rest = self.joined(list(parts), i, j)
+                more, path = search(tuple(rest))
+                options.append((flops + more, ((i, j), *path)))
+            return min(options)
+
+        return list(search(tuple(self.terms))[1])
+
+    def by_greed(self, blur=lambda: 1.0) -> tuple[int, list[tuple[int, int]]]:
+        """(products, path) of taking the cheapest pair at a time, by costs that ``blur`` multiplies."""
+        parts, total, taken = list(self.terms), 0, []
         while len(parts) > 1:
-            pair = min(combinations(range(len(parts)), 2), key=lambda p: (joined(parts, *p)[1] * blur(), p))
-            _, flops, rest = joined(parts, *pair)
-            parts, total = rest, total + flops
+            pair = min(combinations(range(len(parts)), 2), key=lambda p: (self.joined(parts, *p)[1] * blur(), p))
+            _, flops, parts = self.joined(parts, *pair)
+            total += flops
             taken.append(pair)
         return total, taken
 
-    if strategy in ("optimal", "dp", "branch-all") or strategy == "auto" and len(terms) <= 6:
-        if len(terms) > MOST_SEARCHED:
-            raise TensorError(f"a search of all orders takes at most {MOST_SEARCHED} operands; use greedy")
-        path = list(search(tuple(terms))[1])
+
+def _pairs(tree, n: int) -> list[tuple[int, int]]:
+    """Positions of a tree of operands as pairs, where each result goes to the end of the list."""
+    alive, out = list(range(n)), []
+
+    def walk(node) -> object:
+        if isinstance(node, int):
+            return node
+        one, two = walk(node[0]), walk(node[1])
+        at = sorted((alive.index(one), alive.index(two)))
+        out.append(tuple(at))
+        alive.pop(at[1])
+        alive.pop(at[0])
+        alive.append(node)
+        return node
+
+    walk(tree)
+    return out
+
+
+def find_path(equation: str, *shapes: tuple[int, ...], strategy: str = "auto", most_cells: int | None = None) -> tuple[list[tuple[int, int]], list[dict]]:
+    """(pairs of positions, one record per step) for a contraction; new intermediates go to the end of the list.
+
+    "optimal" searches all orders of up to ``MOST_SEARCHED`` operands; "branch-all" does so depth first with bounds, and with ``most_cells`` keeps every
+    part within a size; "dp" finds the best order of connected subsets of up to ``MOST_SUBSETS`` operands; "greedy" takes the cheapest pair at
+    a time, "random-greedy" the best of ``TRIES`` such paths whose costs are blurred by a fixed seed, "left" the operands in turn; "auto" searches up to
+    six operands, takes subsets up to ``MOST_SUBSETS``, and greed beyond.
+    """
+    inputs, output = parse(equation, len(shapes))
+    net = _Network(inputs, output, sizes(inputs, list(shapes)))
+    n = len(net.terms)
+    if strategy == "auto":
+        strategy = "optimal" if n <= 6 else "dp" if n <= MOST_SUBSETS else "greedy"
+    limit = {"optimal": MOST_SEARCHED, "branch-all": MOST_SEARCHED, "dp": MOST_SUBSETS}.get(strategy, n)
+    if n > limit:
+        raise TensorError(f"strategy {strategy} takes at most {limit} operands; use greedy")
+    if strategy == "optimal":
+        path = net.by_search()
+    elif strategy == "branch-all":
+        path = net.by_branches(most_cells)
+    elif strategy == "dp":
+        path = net.by_subsets()
+    elif strategy == "greedy":
+        path = net.by_greed()[1]
+    elif strategy == "random-greedy":
+        rng = random.Random(17)
+        path = min([net.by_greed(), *(net.by_greed(lambda: rng.uniform(0.5, 2.0)) for _ in range(TRIES))], key=lambda x: x[0])[1]
+    elif strategy == "left":
+        path = [(0, 1)] * (n > 1) + [(0, k) for k in range(n - 2, 0, -1)]
     else:
-        path = greedy(lambda: 1.0)[1]
-        if strategy == "random-greedy":
-            rng = random.Random(17)
-            path = min([greedy(lambda: 1.0), *(greedy(lambda: rng.uniform(0.5, 2.0)) for _ in range(TRIES))], key=lambda x: x[0])[1]
-    parts, steps = list(terms), []
-    for n, (i, j) in enumerate(path):
+        raise TensorError(f"strategy {strategy}")
+    parts, steps = list(net.terms), []
+    for k, (i, j) in enumerate(path):
         left, right = parts[i], parts[j]
-        result, flops, parts = joined(parts, i, j)
-        steps.append({"step": n, "left": "".join(sorted(left)), "right": "".join(sorted(right)), "result": "".join(sorted(result)), "flops": flops})
+        result, flops, parts = net.joined(parts, i, j)
+        steps.append({"step": k, "left": "".join(sorted(left)), "right": "".join(sorted(right)), "result": "".join(sorted(result)), "flops": flops, "cells": net.size(result)})
     return path, steps
 
 
+STRATEGIES = ("left", "greedy", "random-greedy", "dp", "branch-all", "optimal")
+
+
+def compare_strategies(spark, equation: str, *shapes: tuple[int, ...], strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """(strategy, steps, flops, largest): products and largest part of the path of each strategy."""
+    rows = []
+    for name in strategies:
+        steps = find_path(equation, *shapes, strategy=name)[1]
+        rows.append((name, len(steps), sum(s["flops"] for s in steps), max((s["cells"] for s in steps), default=0)))
+    return spark.createDataFrame(rows, "strategy string, steps long, flops long, largest long")
+
+
 def _product(numbers) -> int:
     out = 1
     for n in numbers:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrid.meta import Tensor, TensorError
-from loomgrid.sources.tiles import CELLS, rows_of
+from loomgrid.sources.tiles import CELLS, filled, packed, rows_of
 
 #: Cells of a tile of images and of a block of kernels.
 TILE, BLOCK = 1 << 17, 1 << 19
@@ -120,15 +120,6 @@ def _height(s: Shapes) -> int:
     return s.space[0] + 2 * s.padding[0] if s.bands == 1 else (s.rows - 1) * s.stride[0] + s.dilation[0] * (s.kernel[0] - 1) + 1
 
 
-def _packed(cells: DataFrame, key: str) -> DataFrame:
-    """(key, at, v) as one row for each key: places and values as binary."""
-
-    def pack(group: pa.Table) -> pa.Table:
-        return pa.table({key: group[key][:1], "at": pa.array([group["at"].to_numpy().tobytes()], pa.binary()), "v": pa.array([group["v"].to_numpy().astype("f8").tobytes()], pa.binary())})
-
-    return cells.groupBy(key).applyInArrow(pack, f"{key} long, at binary, v binary")
-
-
 def patches(x: np.ndarray, s: Shapes, rows: int) -> np.ndarray:
     """(images, channels, output places..., kernel places...): a view of a padded array."""
     size = (rows, *s.size[1:])
@@ -153,20 +144,13 @@ def convolve(x: Tensor, w: Tensor, bias: Tensor | None, stride: tuple, padding:
     if bias is not None:
         taps = taps.unionByName(bias.df.select(F.floor(F.col("i0") / s.out_block).cast("long").alias("block"), ((F.col("i0") % s.out_block) * (s.taps + 1) + s.taps).cast("long").alias("at"), "v"))
     count = -(-s.images // s.at_once) * s.bands
-    tiles, blocks = _packed(_tiles(x, s), "tile"), _packed(taps, "block")
+    tiles, blocks = packed(_tiles(x, s), "tile"), packed(taps, "block")
     # tiles and blocks without a cell are there, with zeros
     none = lambda n, name: spark.range(n).select(F.col("id").alias(name), *[F.lit(None).cast("binary").alias(c) for c in ("at", "v")])
     tiles, blocks = tiles.unionByName(none(count, "tile")), blocks.unionByName(none(s.blocks, "block"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left, right = tiles.withColumn("block", every(s.blocks)), blocks.withColumn("tile", every(count))
 
-    def filled(group: pa.Table, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for at, v in rows_of([group], "at", "v"):
-            if at is not None:
-                out[np.frombuffer(at, np.int64)] = np.frombuffer(v)
-        return out
-
     def multiply(tile: pa.Table, block: pa.Table) -> pa.Table:
         number, o = tile["tile"][0].as_py(), tile["block"][0].as_py()
         first, band = number // s.bands * s.at_once, number % s.bands

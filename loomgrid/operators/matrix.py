@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +13,12 @@ from loomgrid.meta import Tensor, TensorError
 from loomgrid.operators.contraction import einsum
 from loomgrid.session import written
 from loomgrid.sources.layouts import dense, sparse
-from loomgrid.sources.tiles import from_cells, product, tile_for, to_cells
+from loomgrid.sources.tiles import filled, from_cells, packed, product, tile_for, to_cells
 
 #: Bytes of a coordinate row in a broadcast, and products from which dense operands are multiplied in tiles.
 CELL, MANY = 40, 1 << 26
+#: Cells of a bucket of small matrices.
+BUCKET = 1 << 18
 
 
 def small(t: Tensor) -> bool:
@@ -88,14 +91,63 @@ def gram(df: DataFrame, id_col: str, vector_col: str, block: int = 256) -> DataF
 
 
 def batch_matmul(a: Tensor, b: Tensor) -> Tensor:
-    """A[b, m, k] @ B[b, k, n], or one B[k, n] for all."""
-    return einsum("bik,kj->bij" if b.rank == 2 else "bik,bkj->bij", a, b)
+    """A[b, m, k] @ B[b, k, n], or one B[k, n] for all.
+
+    Dense matrices are dealt into buckets of about ``BUCKET`` cells by their number; a bucket's matrices are multiplied at once, as arrays.
+    A shared B is packed once and sent to every bucket. Sparse operands, and matrices above the size of a bucket, are joined cell by cell.
+    """
+    shared = b.rank == 2
+    if a.rank != 3 or b.rank not in (2, 3) or a.shape[2] != b.shape[-2] or not shared and a.shape[0] != b.shape[0]:
+        raise TensorError(f"batch_matmul of {a.shape} and {b.shape}")
+    (count, m, k), n = a.shape, b.shape[-1]
+    largest = max(m * k, k * n, m * n)
+    if a.sparse or b.sparse or largest > BUCKET:
+        return einsum("bik,kj->bij" if shared else "bik,bkj->bij", a, b)
+    each = max(1, BUCKET // largest)
+    bucket = F.floor(F.col("i0") / each).cast("long").alias("bucket")
+    left = a.df.select(bucket, (((F.col("i0") % each) * m + F.col("i1")) * k + F.col("i2")).alias("at"), "v")
+    if shared:
+        right = packed(b.df.select(F.lit(0).cast("long").alias("one"), (F.col("i0") * n + F.col("i1")).alias("at"), "v"), "one")
+        right = right.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-count // each) - 1).cast("long"))).alias("bucket"), "at", "v")
+    else:
+        right = b.df.select(bucket, (((F.col("i0") % each) * k + F.col("i1")) * n + F.col("i2")).alias("at"), F.col("v").alias("v"))
+
+    def multiply(x: pa.Table, y: pa.Table) -> pa.Table:
+        number = x["bucket"][0].as_py()
+        some = min(each, count - number * each)
+        one = filled(x, each * m * k).reshape(each, m, k)[:some]
+        two = filled(y, k * n).reshape(k, n) if shared else filled(y, each * k * n).reshape(each, k, n)[:some]
+        out = one @ two
+        i, r, c = np.unravel_index(np.arange(out.size), out.shape)
+        return pa.table({"i0": i + number * each, "i1": r, "i2": c, "v": out.reshape(-1)})
+
+    made = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(multiply, "i0 long, i1 long, i2 long, v double")
+    return Tensor(made, (count, m, n))
 
 
 def matmul_pairs(pairs: list[tuple[Tensor, Tensor]]) -> DataFrame:
-    """(pair, i0, i1, v): the products of a list of pairs in one join by (pair, k)."""
-    side = lambda n: [p[n].df.select(F.lit(k).cast("long").alias("pair"), "i0", "i1", "v") for k, p in enumerate(pairs)]
-    left, right = (_union(side(n)) for n in (0, 1))
+    """(pair, i0, i1, v): the products of a list of pairs.
+
+    Dense pairs up to ``BUCKET`` cells a side are multiplied as arrays, one group for each pair; if one is sparse or larger, all are joined by (pair, k).
+    """
+    for a, b in pairs:
+        if a.rank != 2 or b.rank != 2 or a.shape[1] != b.shape[0]:
+            raise TensorError(f"matmul of {a.shape} and {b.shape}")
+    side = lambda n: _union([p[n].df.select(F.lit(k).cast("long").alias("pair"), *[F.col(c).alias(c) for c in ("i0", "i1", "v")]) for k, p in enumerate(pairs)])
+    if all(not (a.sparse or b.sparse) and max(a.size, b.size, a.shape[0] * b.shape[1]) <= BUCKET for a, b in pairs):
+        shapes = [(a.shape, b.shape) for a, b in pairs]
+
+        def multiply(x: pa.Table, y: pa.Table) -> pa.Table:
+            pair = x["pair"][0].as_py()
+            one, two = (np.zeros(s) for s in shapes[pair])
+            for whole, part in ((one, x), (two, y)):
+                whole[part["i0"].to_numpy(), part["i1"].to_numpy()] = part["v"].to_numpy()
+            out = one @ two
+            i, j = np.unravel_index(np.arange(out.size), out.shape)
+            return pa.table({"pair": np.full(out.size, pair), "i0": i, "i1": j, "v": out.reshape(-1)})
+
+        return side(0).groupBy("pair").cogroup(side(1).groupBy("pair")).applyInArrow(multiply, "pair long, i0 long, i1 long, v double")
+    left, right = (side(n) for n in (0, 1))
     left, right = left.select("pair", "i0", F.col("i1").alias("k"), F.col("v").alias("x")), right.select("pair", F.col("i0").alias("k"), "i1", F.col("v").alias("y"))
     return left.join(right, ["pair", "k"]).groupBy("pair", "i0", "i1").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 

@@ -152,6 +152,23 @@ def batch_matmul_shared_b(spark, sf_dir):
     return shown(matrix.batch_matmul(t, coo(t.df.where("i0 = 0"), (8, 8), ["i1", "i2"])), "bij")
 
 
+_ORDERS = ("(o_orderkey * (i + 1) + o_custkey * (j + 2)) % 17 - 8", "(o_orderkey * (j + 3) + o_custkey * (i + 1)) % 13 - 6")
+
+
+@query(
+    "batch_matmul_orders",
+    "WITH " + ", ".join(f"{n} AS (SELECT o_orderkey AS b, i, j, CAST({v} AS DOUBLE) AS v FROM orders, range(8) r(i), range(8) s(j))" for n, v in zip("xy", _ORDERS))
+    + " SELECT x.b, x.i, y.j, sum(x.v * y.v) AS v FROM x JOIN y ON x.b = y.b AND x.j = y.i GROUP BY ALL",
+)
+def batch_matmul_orders(spark, sf_dir):
+    """Two 8 x 8 matrices for each order."""
+    orders = fx._table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("at"))
+    orders = orders.select("o_orderkey", "o_custkey", F.floor(F.col("at") / 8).alias("i"), (F.col("at") % 8).cast("long").alias("j"))
+    shape = (orders.agg(F.max("o_orderkey")).first()[0] + 1, 8, 8)
+    a, b = (coo(orders.withColumn("v", F.expr(v)), shape, ["o_orderkey", "i", "j"]) for v in _ORDERS)
+    return shown(matrix.batch_matmul(a, b), "bij")
+
+
 @query("transpose_2d", fx.with_tensors("a", "SELECT j AS i, i AS j, v FROM a"))
 def transpose_2d(spark, sf_dir):
     return shown(matrix.transpose(fx.matrix_a(spark, sf_dir)), "ij")
@@ -389,9 +406,31 @@ def tensordot(spark, sf_dir):
     return shown(contraction.tensordot(t, Tensor(t.df.select(F.col("i1").alias("i0"), F.col("i2").alias("i1"), F.col("i0").alias("i2"), "v"), (8, 8, 7)), 2), "bc")
 
 
-@query("contraction_path", "SELECT * FROM (VALUES ('optimal', CAST(0 AS BIGINT), 'ij,jk', 'ik', CAST(18000 AS BIGINT)), ('optimal', 1, 'kl,ik', 'il', 12000), ('optimal', 2, 'lm,il', 'im', 2000)) t(strategy, step, operands, result, flops)")
+#: Operands of the chain whose orders are compared.
+_CHAIN = 16
+
+
+def _chain_sql(n: int) -> str:
+    """The cheapest order of a chain by dynamic programming over its parts, and the cost of taking the operands in turn."""
+    sql = f"WITH d AS MATERIALIZED (SELECT CAST(l_quantity AS BIGINT) % {n + 1} AS k, 1 + count(*) % 50 AS n FROM lineitem GROUP BY ALL), m1 AS (SELECT k AS i, k AS j, CAST(0 AS BIGINT) AS cost FROM range({n}) r(k))"
+    for size in range(2, n + 1):
+        parts = " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, size))
+        sql += (
+            f", m{size} AS MATERIALIZED (WITH p AS ({parts}) SELECT a.i, b.j, CAST(min(a.cost + b.cost + x.n * y.n * z.n) AS BIGINT) AS cost "
+            f"FROM p a JOIN p b ON b.i = a.j + 1 AND b.j - a.i = {size - 1} JOIN d x ON x.k = a.i JOIN d y ON y.k = b.i JOIN d z ON z.k = b.j + 1 GROUP BY ALL)"
+        )
+    turn = f"SELECT CAST(sum(x.n * y.n * z.n) AS BIGINT) FROM d x, d y, d z WHERE x.k = 0 AND z.k = y.k + 1 AND y.k BETWEEN 1 AND {n - 1}"
+    return sql + f" SELECT 'dp' AS strategy, CAST({n - 1} AS BIGINT) AS steps, (SELECT cost FROM m{n}) AS flops UNION ALL SELECT 'left', {n - 1}, ({turn})"
+
+
+@query("contraction_path", _chain_sql(_CHAIN))
 def contraction_path(spark, sf_dir):
-    return contraction.path_table(spark, "ij,jk,kl,lm->im", (10, 30), (30, 60), (60, 20), (20, 10), strategy="optimal")
+    """A chain of 16 matrices, whose lengths are counts of line items: the best order by subsets, and the operands in turn."""
+    k = (F.col("l_quantity").cast("long") % (_CHAIN + 1)).alias("k")
+    lengths = [r["n"] for r in fx._table(spark, sf_dir, "lineitem").groupBy(k).agg((1 + F.count("*") % 50).alias("n")).orderBy("k").collect()]
+    labels = "abcdefghijklmnopq"
+    equation = ",".join(map("".join, zip(labels, labels[1:]))) + f"->{labels[0]}{labels[_CHAIN]}"
+    return contraction.compare_strategies(spark, equation, *zip(lengths, lengths[1:]), strategies=("dp", "left")).select("strategy", "steps", "flops")
 
 
 # reductions

@@ -68,6 +68,27 @@ def rows_of(tables, *names: str) -> Iterator[tuple]:
             yield tuple(c[k].as_buffer() if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c[k].as_py() for c in columns)
 
 
+def packed(cells: DataFrame, key: str) -> DataFrame:
+    """(key, at, v): the places and values of a key's cells as one row of binary values."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        return pa.table({key: group[key][:1], "at": pa.array([group["at"].to_numpy().astype("i8").tobytes()], pa.binary()), "v": pa.array([group["v"].to_numpy().astype("f8").tobytes()], pa.binary())})
+
+    return cells.groupBy(key).applyInArrow(pack, f"{key} long, at binary, v binary")
+
+
+def filled(group: pa.Table, size: int) -> np.ndarray:
+    """The array of a group's cells, packed or one by one; absent cells, and packed rows that are null, are 0."""
+    out = np.zeros(size)
+    if not pa.types.is_binary(group["at"].type):
+        out[group["at"].to_numpy()] = group["v"].to_numpy()
+        return out
+    for at, v in rows_of([group], "at", "v"):
+        if at is not None:
+            out[np.frombuffer(at, np.int64)] = np.frombuffer(v)
+    return out
+
+
 def tile_batch(bi: int, bj: int, data: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"bi": [bi], "bj": [bj], "data": [data.tobytes()]}, _ARROW)
 
@@ -171,7 +192,8 @@ def product(a: Tiled, b: Tiled, panel: int = 4) -> Tiled:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda c: F.floor(F.col(c) / panel).cast("int")
     left = a.df.select("bi", every(columns).alias("bj"), part("bj").alias("p"), F.col("bj").alias("k"), "data")
-    right = b.df.select(every(rows).alias("bi"), "bj", part("bi").alias("p"), F.col("bi").alias("k"), "data")
+    # under new names, as both sides may be one
+    right = b.df.select(every(rows).alias("bi"), F.col("bj").alias("bj"), part("bi").alias("p"), F.col("bi").alias("k"), F.col("data").alias("data"))
 
     def multiply(x: pa.Table, y: pa.Table) -> pa.Table:
         of = {k: (bj, data) for k, bj, data in rows_of([y], "k", "bj", "data")}

@@ -273,6 +273,9 @@ def test_tiles_of_sparse_and_refused(spark):
     a[7, 1] = 2.0
     t = tiles.from_cells(sparse(from_numpy(spark, a)), 4)
     assert t.df.count() == 1 and to_numpy(tiles.to_cells(tiles.product(t, tiles.from_cells(from_numpy(spark, np.ones((10, 10))), 4)), sparse=True)).sum() == 20
+    assert to_numpy(tiles.to_cells(tiles.product(t, t))).sum() == 0
+    one = from_numpy(spark, rand(4, 3, 3))
+    assert np.allclose(to_numpy(matrix.batch_matmul(one, one)), to_numpy(one) @ to_numpy(one))
     with pytest.raises(TensorError):
         tiles.product(t, t.with_df(t.df, tile=5))
     a, b = rand(30, 20), rand(20, 10)
@@ -343,3 +346,74 @@ def test_large_planes(spark, monkeypatch):
     assert np.allclose(to_numpy(fourier.fft2d(from_numpy(spark, x), (12, 10), (2, 0), "ortho")), np.fft.fft2(x, (12, 10), (2, 0), "ortho"))
     z = x[0] + 1j * rand(9, 14)
     assert np.allclose(to_numpy(fourier.fft2d_pencil(from_numpy(spark, z))), np.fft.fft2(z))
+
+
+@pytest.mark.parametrize("bucket", [1 << 18, 70, 8])
+def test_batches_in_buckets(spark, monkeypatch, bucket):
+    monkeypatch.setattr(matrix, "BUCKET", bucket)
+    a, b = rand(11, 4, 5), rand(11, 5, 3)
+    t = lambda x: from_numpy(spark, x)
+    assert np.allclose(to_numpy(matrix.batch_matmul(t(a), t(b))), a @ b)
+    assert np.allclose(to_numpy(matrix.batch_matmul(t(a), t(b[3]))), a @ b[3])
+    assert np.allclose(to_numpy(matrix.batch_matmul(sparse(t(a)), t(b))), a @ b)
+    pairs = [(a[0], b[0]), (b[1], rand(3, 2)), (rand(1, 1), rand(1, 4))]
+    got = [np.zeros((x.shape[0], y.shape[1])) for x, y in pairs]
+    for r in matrix.matmul_pairs([(t(x), t(y)) for x, y in pairs]).collect():
+        got[r["pair"]][r["i0"], r["i1"]] = r["v"]
+    assert all(np.allclose(g, x @ y) for g, (x, y) in zip(got, pairs))
+    with pytest.raises(TensorError):
+        matrix.batch_matmul(t(a), t(b[:2]))
+
+
+def cost_of(steps):
+    return sum(s["flops"] for s in steps)
+
+
+def test_path_strategies_agree():
+    import random
+
+    rng = random.Random(4)
+    for n in (1, 2, 3, 5, 7):
+        for _ in range(6):
+            labels = "abcdefghij"
+            inputs = ["".join(rng.sample(labels, rng.randint(1, 4))) for _ in range(n)]
+            length = {c: rng.randint(2, 9) for c in labels}
+            output = "".join(rng.sample(sorted(set("".join(inputs))), min(2, len(set("".join(inputs))))))
+            equation, shapes = f"{','.join(inputs)}->{output}", [tuple(length[c] for c in x) for x in inputs]
+            best = cost_of(contraction.find_path(equation, *shapes, strategy="optimal")[1])
+            assert cost_of(contraction.find_path(equation, *shapes, strategy="branch-all")[1]) == best
+            for other in ("dp", "greedy", "random-greedy", "left"):
+                path, steps = contraction.find_path(equation, *shapes, strategy=other)
+                assert cost_of(steps) >= best and len(path) == n - 1
+            arrays = [RNG.integers(-3, 4, s).astype(float) for s in shapes]
+            for name in contraction.STRATEGIES:
+                parts, labels_ = list(zip(inputs, arrays)), None
+                for i, j in contraction.find_path(equation, *shapes, strategy=name)[0]:
+                    (li, x), (lj, y) = parts[i], parts[j]
+                    rest = [p for k, p in enumerate(parts) if k not in (i, j)]
+                    labels_ = "".join(c for c in dict.fromkeys(li + lj) if c in output or any(c in p[0] for p in rest))
+                    parts = [*rest, (labels_, np.einsum(f"{li},{lj}->{labels_}", x, y))]
+                assert np.allclose(np.einsum(f"{parts[0][0]}->{output}", parts[0][1]), np.einsum(equation, *arrays))
+
+
+def test_paths_of_many_operands():
+    rng = np.random.default_rng(9)
+    labels = "abcdefghijklmnopq"
+    d = rng.integers(2, 60, 17).tolist()
+    equation = ",".join(map("".join, zip(labels, labels[1:]))) + "->aq"
+    best = {(i, i): 0 for i in range(16)}
+    for size in range(2, 17):
+        for i in range(17 - size):
+            j = i + size - 1
+            best[i, j] = min(best[i, k] + best[k + 1, j] + d[i] * d[k + 1] * d[j + 1] for k in range(i, j))
+    assert cost_of(contraction.find_path(equation, *zip(d, d[1:]), strategy="dp")[1]) == best[0, 15]
+    assert contraction.find_path(equation, *zip(d, d[1:]))[1] == contraction.find_path(equation, *zip(d, d[1:]), strategy="dp")[1]
+    with pytest.raises(TensorError):
+        contraction.find_path(equation, *zip(d, d[1:]), strategy="optimal")
+    with pytest.raises(TensorError):
+        contraction.find_path("ij,jk->ik", (9, 9), (9, 9), strategy="branch-all", most_cells=80)
+
+
+def test_strategies_as_a_table(spark):
+    rows = {r["strategy"]: r for r in contraction.compare_strategies(spark, "ij,jk,kl->il", (2, 30), (30, 40), (40, 3)).collect()}
+    assert rows["optimal"]["flops"] == rows["dp"]["flops"] == 2 * 30 * 40 + 2 * 40 * 3 and rows["left"]["largest"] == 80 and set(rows) == set(contraction.STRATEGIES)
