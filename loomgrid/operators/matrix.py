@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from loomgrid.functions.numeric import half
 from loomgrid.meta import Tensor, TensorError
 from loomgrid.operators.contraction import einsum
+from loomgrid.operators.sparse import products, sparse_product
 from loomgrid.session import written
 from loomgrid.sources.layouts import dense, sparse
 from loomgrid.sources.tiles import filled, from_cells, packed, product, tile_for, to_cells
 
 #: Bytes of a coordinate row in a broadcast, and products from which dense operands are multiplied in tiles.
 CELL, MANY = 40, 1 << 26
+#: Products of non-zeros up to which cells are joined.
+FEW = 1 << 16
 #: Cells of a bucket of small matrices.
 BUCKET = 1 << 18
 
@@ -192,8 +195,15 @@ def sparsity(t: Tensor) -> float:
 
 
 def matmul_sparse_aware(a: Tensor, b: Tensor, threshold: float = 0.5, dense_output: bool = True, **how) -> Tensor:
-    """The product over non-zero cells alone if either operand is sparser than ``threshold``, else ``matmul``."""
-    if max(sparsity(a), sparsity(b)) <= threshold:
+    """The product over non-zero cells alone if either operand is sparser than ``threshold``, else ``matmul``.
+
+    One job counts the non-zeros of both and the products that they make; the non-zeros are multiplied in parts (``sparse``), or joined
+    cell by cell where so few products are expected that no group is worth making.
+    """
+    if a.rank != 2 or b.rank != 2 or a.shape[1] != b.shape[0]:
+        raise TensorError(f"matmul of {a.shape} and {b.shape}")
+    ones, twos, met = products(a, b)
+    if max(1 - ones / a.size, 1 - twos / b.size) <= threshold:
         return matmul(a, b, **how)
-    out = einsum("ik,kj->ij", sparse(a), sparse(b))
+    out = sparse_product(a, b, (ones, twos)) if met > FEW else einsum("ik,kj->ij", sparse(a), sparse(b))
     return dense(out) if dense_output else out

@@ -202,6 +202,48 @@ def matmul_sparse(spark, sf_dir):
     return shown(matrix.matmul_sparse_aware(fx.thinned(a), b), "ij")
 
 
+def _sides(cells: DataFrame, name: str, **sides) -> DataFrame:
+    """(side, name, v): sums of the cells by each side's place, times its weights, from one pass over the cells."""
+    each = [F.struct(F.lit(side).alias("side"), at.alias(name), (F.col("v") * weight).alias("v")) for side, (at, weight) in sides.items()]
+    return cells.select(F.explode(F.array(*each)).alias("c")).groupBy("c.side", f"c.{name}").agg(F.sum("c.v").alias("v"))
+
+
+#: Cells of the sparse operands: in each 100 of a row, so many are not 0; the first 16 rows and columns are full.
+_THIN = (lambda q, p, i, k: (q * 3 + p * 5 + i * 7 + k * 13) % 100, lambda q, p, i, k: (q + p * 3 + i * 11 + k * 17) % 100)
+
+
+def _thin(n: int, share: int):
+    """Both projections of the product of two sparse n x n matrices."""
+
+    def run(spark, sf_dir):
+        profiles = [fx.profile(spark, sf_dir, n, key) for key in ("l_orderkey", "l_partkey")]
+        sides = []
+        for f, rows, columns, full in ((_THIN[0], *profiles, 0), (_THIN[1], *profiles[::-1], 1)):
+            lines = fx.dense_lines(rows, columns, f).select("i", F.filter(F.transform("x", lambda v, k: F.struct(k.alias("k"), v.alias("v"))), lambda c: (c["v"] < share) | ((F.col("i") if full == 0 else c["k"]) < 16)).alias("x"))
+            cells = lines.select(F.col("i").alias("i0"), F.explode("x").alias("c")).select("i0", F.col("c.k").cast("long").alias("i1"), (F.col("c.v") % 7 + 1).alias("v"))
+            sides.append(Tensor(cells, (n, n), sparse=True))
+        out = matrix.matmul_sparse_aware(*sides, dense_output=False).df
+        return _sides(out, "i", row=(F.col("i0"), F.col("i1") % 5 + 1), column=(F.col("i1"), F.col("i0") % 3 + 1))
+
+    return run
+
+
+def _thin_sql(n: int, share: int) -> str:
+    cells = [
+        f"SELECT i, k, CAST(v % 7 + 1 AS DOUBLE) AS v FROM (SELECT r.i, c.i AS k, {_names(f)('r.q', 'c.q', 'r.i', 'c.i')} AS v FROM {r} r, {c} c) WHERE v < {share} OR {full} < 16"
+        for f, r, c, full in ((_THIN[0], "o", "p", "i"), (_THIN[1], "p", "o", "k"))
+    ]
+    return (
+        f"WITH o AS ({fx.profile_sql(n, 'l_orderkey')}), p AS ({fx.profile_sql(n, 'l_partkey')}), x AS ({cells[0]}), y AS ({cells[1]}) "
+        "SELECT 'row' AS side, x.i, sum(x.v * s.v) AS v FROM x JOIN (SELECT i, sum(v * (k % 5 + 1)) AS v FROM y GROUP BY i) s ON x.k = s.i GROUP BY ALL "
+        "UNION ALL SELECT 'column', y.k, sum(y.v * s.v) FROM y JOIN (SELECT k, sum(v * (i % 3 + 1)) AS v FROM x GROUP BY k) s ON y.i = s.k GROUP BY ALL"
+    )
+
+
+for _share in (10, 1):
+    query(f"matmul_sparse_{100 - _share}", _thin_sql(2048, _share))(_thin(2048, _share))
+
+
 @query("sparsity_stats", fx.with_tensors("as", "SELECT count(*) FILTER (v <> 0) AS nonzero, count(*) AS cells FROM s"))
 def sparsity_stats(spark, sf_dir):
     return fx.thinned(fx.matrix_a(spark, sf_dir)).df.agg(F.count_if(F.col("v") != 0).alias("nonzero"), F.count("*").alias("cells"))
@@ -256,6 +298,39 @@ def _plane(spark, sf_dir, n: int, value) -> Tensor:
 _LAYER, _PLANES, _SIDE, _OUTS = (lambda q, p, i, k: (q * 3 + p * 7 + i * k) % 23 - 11), 64, 56, 128
 
 
+@query(
+    "conv2d_64_128",
+    f"WITH o AS ({fx.profile_sql(512, 'l_orderkey')}), p AS ({fx.profile_sql(3136, 'l_partkey')}), "
+    f"layer AS MATERIALIZED (SELECT r.i // 64 AS n, r.i % 64 AS c, c.i // 56 AS y, c.i % 56 AS x, CAST({_names(_LAYER)('r.q', 'c.q', 'r.i', 'c.i')} AS DOUBLE) AS v FROM o r, p c), w AS {fx.polynomial_sql((_OUTS, _PLANES, 3, 3), 2, 'ocab')}, "
+    "tapped AS (SELECT x.n, x.c, x.v, r.a, s.b, x.y + 1 - r.a AS y, x.x + 1 - s.b AS x FROM layer x, range(3) r(a), range(3) s(b) WHERE x.y + 1 - r.a BETWEEN 0 AND 55 AND x.x + 1 - s.b BETWEEN 0 AND 55) "
+    "SELECT 'pixel' AS side, CAST(t.n * 3136 + t.y * 56 + t.x AS BIGINT) AS at, sum(t.v * k.v) AS v FROM tapped t JOIN (SELECT c, a, b, sum(v * (o % 7 + 1)) AS v FROM w GROUP BY ALL) k USING (c, a, b) GROUP BY t.n, t.y, t.x "
+    "UNION ALL SELECT 'channel', CAST(w.o AS BIGINT), sum(w.v * k.v) FROM w JOIN (SELECT c, a, b, sum(v * ((n + y + x) % 5 + 1)) AS v FROM tapped GROUP BY ALL) k USING (c, a, b) GROUP BY w.o",
+)
+def conv2d_64_128(spark, sf_dir):
+    """A network's layer: 8 images of 64 channels of 56 x 56, 128 kernels of 3 x 3; both projections of all 3.2 million cells."""
+    rows = fx.dense_lines(fx.profile(spark, sf_dir, 512, "l_orderkey"), fx.profile(spark, sf_dir, 3136, "l_partkey"), _LAYER)
+    cells = rows.select("i", F.posexplode("x").alias("at", "v"))
+    split = lambda c, n: (F.floor(F.col(c) / n).cast("long"), (F.col(c) % n).cast("long"))
+    x = Tensor(cells.select(*[c.alias(f"i{k}") for k, c in enumerate((*split("i", _PLANES), *split("at", _SIDE)))], "v"), (8, _PLANES, _SIDE, _SIDE))
+    out = convolution.conv2d(x, fx.polynomial(spark, (_OUTS, _PLANES, 3, 3), 2), padding=(1, 1)).df
+    pixel, channel = F.col("i0") * 3136 + F.col("i2") * 56 + F.col("i3"), F.col("i1")
+    return _sides(out, "at", pixel=(pixel, channel % 7 + 1), channel=(channel, (F.col("i0") + F.col("i2") + F.col("i3")) % 5 + 1))
+
+
+#: Cells of a grid and of a right-hand side by the profiles and places of row and column.
+_GRID = (lambda q, p, i, k: (q * 3 + p * 5 + i * k) % 101, lambda q, p, i, k: (q + p * 7 + i + k) % 11)
+
+
+def _plane(spark, sf_dir, n: int, value) -> Tensor:
+    """A dense n x n grid by the profiles of orders and parts."""
+    rows = fx.dense_lines(*(fx.profile(spark, sf_dir, n, key) for key in ("l_orderkey", "l_partkey")), value)
+    return from_rows(rows, (n, n), ["i"], "x")
+
+
+#: Cells of the images of a network's layer, by the profiles of 512 planes and of 3136 pixels.
+_LAYER, _PLANES, _SIDE, _OUTS = (lambda q, p, i, k: (q * 3 + p * 7 + i * k) % 23 - 11), 64, 56, 128
+
+
 @query(
     "conv2d_64_128",
     f"WITH o AS ({fx.profile_sql(512, 'l_orderkey')}), p AS ({fx.profile_sql(3136, 'l_partkey')}), "

@@ -417,3 +417,32 @@ def test_paths_of_many_operands():
 def test_strategies_as_a_table(spark):
     rows = {r["strategy"]: r for r in contraction.compare_strategies(spark, "ij,jk,kl->il", (2, 30), (30, 40), (40, 3)).collect()}
     assert rows["optimal"]["flops"] == rows["dp"]["flops"] == 2 * 30 * 40 + 2 * 40 * 3 and rows["left"]["largest"] == 80 and set(rows) == set(contraction.STRATEGIES)
+
+
+@pytest.mark.parametrize("part,expanded,whole", [(1 << 17, 1 << 21, 1 << 22), (20, 7, 1 << 22), (20, 50, 4)])
+def test_sparse_products(spark, monkeypatch, part, expanded, whole):
+    from loomgrid.operators import sparse as sp
+
+    a, b = rand(40, 30), rand(30, 25)
+    a[RNG.random(a.shape) < 0.8] = 0
+    b[RNG.random(b.shape) < 0.9] = 0
+    a[3], b[:, 7] = rand(30), rand(30)
+    monkeypatch.setattr(sp, "PART", part)
+    assert sp.products(from_numpy(spark, a), from_numpy(spark, b)) == ((a != 0).sum(), (b != 0).sum(), ((a != 0).sum(0) * (b != 0).sum(1)).sum())
+    got = sp.sparse_product(from_numpy(spark, a), from_numpy(spark, b))
+    assert np.allclose(to_numpy(got), a @ b)
+    monkeypatch.setattr(sp, "EXPANDED", expanded)
+    monkeypatch.setattr(sp, "DENSE", whole)
+    cells = lambda x: (*map(np.asarray, np.nonzero(x)), x[np.nonzero(x)])
+    i, j, v = sp.expanded(cells(a), cells(b))
+    out = np.zeros((40, 25))
+    out[i, j] = v
+    assert np.allclose(out, a @ b) and len(i) == ((a != 0).astype(int) @ (b != 0).astype(int) > 0).sum()
+
+
+def test_sparse_aware_chooses(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "FEW", 0)
+    a, b = rand(9, 8), rand(8, 7)
+    thin = np.where(RNG.random(a.shape) < 0.7, 0, a)
+    for x, y in ((a, b), (thin, b), (np.zeros_like(a), b), (a, np.zeros_like(b))):
+        assert np.allclose(to_numpy(matrix.matmul_sparse_aware(from_numpy(spark, x), from_numpy(spark, y))), x @ y)
