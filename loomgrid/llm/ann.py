@@ -13,7 +13,8 @@ Equal vectors are one entry with its smallest ids (one more than asked for, whic
 equal queries are searched once, so copies cost nothing. Queries are dealt into blocks of ``QUERIES`` by their own first
 centroid, so that queries of a block visit much the same cells; entries into bands of ``SHARD`` by theirs, where a centroid
 with more is split by hash. An entry is sent to the blocks that visit its cell, and within a block and band each cell is
-multiplied with the queries that visit it and no others. Only the codebooks and the cell counts reach the driver.
+multiplied with the queries that visit it and no others. Only the codebooks and the cell counts, 4 bytes for each of at most
+(``SAMPLE / 8``)^2 cells, reach the driver; the traversal reads a count when its cell comes up.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, and
 neither do rows with a null id. Rows with equal id and vector count once. Other columns are ignored. If there are fewer
@@ -63,7 +64,9 @@ def kmeans(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def assigned(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres**2).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
+    """The nearest centre of each row, for some rows at a time."""
+    norms, step = (centres**2).sum(1), max(1, (1 << 20) // len(centres))
+    return np.concatenate([np.zeros(0, np.int64), *((norms - 2 * x[at : at + step] @ centres.T).argmin(1) for at in range(0, len(x), step))])
 
 
 def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: float) -> tuple[np.ndarray, int]:
@@ -73,20 +76,20 @@ def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted: flo
     """
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()
-    sizes, rows, columns = counts[np.ix_(a, b)].tolist(), len(a), len(b)
+    rows, columns, of_row, of_column = len(a), len(b), a.tolist(), b.tolist()
     seen, heap, held, reach = [], [(-(x[0] + y[0]), 0, 0)], 0, [0] * rows
     while heap and held < wanted:
         _, i, j = heapq.heappop(heap)
-        if sizes[i][j]:
-            seen.append(i * columns + j)
-            held += sizes[i][j]
+        size = counts.item(of_row[i], of_column[j])
+        if size:
+            seen.append(of_row[i] * columns + of_column[j])
+            held += size
         reach[i] = j + 1
         if j + 1 < columns and (i == 0 or reach[i - 1] > j + 1):
             heapq.heappush(heap, (-(x[i] + y[j + 1]), i, j + 1))
         if i + 1 < rows and reach[i + 1] == j:
             heapq.heappush(heap, (-(x[i + 1] + y[j]), i + 1, j))
-    at = np.array(seen, np.int64)
-    return a[at // columns] * columns + b[at % columns], held
+    return np.array(seen, np.int64), held
 
 
 def fit(x: np.ndarray, k: int, total: int, recall: float = RECALL, queries: int = 200) -> dict:
@@ -98,15 +101,12 @@ def fit(x: np.ndarray, k: int, total: int, recall: float = RECALL, queries: int
     scores = q @ x.T
     most = min(k + 1, len(x))
     true = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-    cell = assigned(x[:, :half], model["first"]) * own + assigned(x[:, half:], model["second"])
-    held = np.bincount(cell, minlength=own * own)
-    near = ((q[:, :half] @ model["first"].T)[:, :, None] + (q[:, half:] @ model["second"].T)[:, None, :]).reshape(len(q), -1)
+    one, two = assigned(x[:, :half], model["first"]), assigned(x[:, half:], model["second"])
     parts = []
-    for i in range(len(q)):
-        order = np.argsort(-near[i], kind="stable")
-        part = np.empty(own * own)
-        part[order] = np.cumsum(held[order]) / len(x)
-        parts.append(part[cell[true[i]]])
+    for v, own in zip(q, true):
+        # the sample's vectors in cells that are visited before a neighbour's, or with it
+        near = (model["first"] @ v[:half])[one] + (model["second"] @ v[half:])[two]
+        parts.append(1 - np.searchsorted(np.sort(near), near[own], side="left") / len(x))
     model["part"] = float(np.quantile(np.concatenate(parts), recall))
     return model
 
@@ -146,9 +146,9 @@ def searched(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             yield f[["key", "vector"]].assign(cell=(i * columns + j).astype(np.int32))
 
     placed = written(found.select("key", "vector").mapInPandas(place, "key string, vector array<double>, cell int"), "cells")
-    counts = np.zeros(shape[0] * columns, np.int64)
-    for r in placed.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
+    filled = placed.groupBy("cell").agg(F.count("*").cast("int").alias("n")).toArrow()
+    counts = np.zeros(shape[0] * columns, np.int32)
+    counts[filled["cell"].to_numpy()] = filled["n"].to_numpy()
     counts = counts.reshape(shape)
     wanted = max(model["part"] * total, k + 1)
 

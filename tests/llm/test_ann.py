@@ -80,3 +80,35 @@ def test_recall_and_visited_part_of_many(spark, kind, most):
         hits += len(set(np.argpartition(-score, 19)[:20].tolist()) & set(r.ids))
     assert len(found) == n // 100
     assert hits / (20 * len(found)) >= 0.9 and visited < most
+
+
+def test_fit_and_traversal_stay_small_at_any_size():
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 8))
+    tracemalloc.start()
+    model = ann.fit(x, 20, 100_000_000)
+    counts = rng.integers(0, 3, (len(model["first"]), len(model["second"]))).astype(np.int32)
+    began = time.process_time()
+    cells, held = ann.visit(model["first"] @ x[0, :4], model["second"] @ x[0, 4:], counts, 2000)
+    assert time.process_time() - began < 0.5 and held >= 2000
+    assert len(model["first"]) == 2500 and tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def test_recall_of_200000_vectors():
+    rng, n = np.random.default_rng(8), 200_000
+    x = rng.standard_normal((500, 16))[rng.integers(0, 500, n)] + 0.5 * rng.standard_normal((n, 16))
+    model = ann.fit(x[rng.permutation(n)[: ann.SAMPLE]], 20, n)
+    columns = len(model["second"])
+    cell = ann.assigned(x[:, :8], model["first"]) * columns + ann.assigned(x[:, 8:], model["second"])
+    counts = np.bincount(cell, minlength=len(model["first"]) * columns).astype(np.int32).reshape(-1, columns)
+    hits = part = 0
+    for q in x[:50]:
+        cells, held = ann.visit(model["first"] @ q[:8], model["second"] @ q[8:], counts, model["part"] * n)
+        score = x @ q
+        hits += np.isin(cell[np.argpartition(-score, 20)[:21]], cells).sum()
+        part += held / n
+    assert hits / (21 * 50) >= 0.9 and part / 50 < 0.3
