@@ -123,16 +123,19 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     The one document that the budget cuts keeps its first words, joined by spaces. Columns are those of ``docs``.
     """
-    keyed = docs.withColumns(row_keys(docs, text_col))
-    took = written(queue(keyed, weights, share, id_col, text_col, source_col, KEYS).where("taken > 0"), "took")
+    # the row is a struct, so that none of its columns can bear a name that is used here
+    keys = [k.alias(name) for name, k in row_keys(docs, text_col).items()]
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), *keys)
+    took = written(queue(keyed, weights, share, keep=KEYS).where("taken > 0"), "took")
     took = took.select(*KEYS, F.explode(F.array(*[f"taken_{k}" for k in range(1, PASSES + 1)])).alias("taken_words"), F.col("size").alias("taken_of")).where("taken_words > 0")
     # equal rows are one row here and as many in the queue, so that each of those finds one
-    once = keyed.select(*KEYS, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    once = keyed.select(*KEYS, "doc")
     if keyed.groupBy(*KEYS).count().where("count > 1").limit(1).count():
         once = once.groupBy(*KEYS).agg(F.first("doc").alias("doc"))
-    out = once.join(took, list(KEYS)).select("doc.*", "taken_words", "taken_of")
-    text = F.when(F.col("taken_words") < F.col("taken_of"), F.array_join(F.slice(words(F.col(text_col)), 1, F.col("taken_words").cast("int")), " ")).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else c for c in docs.columns])
+    out = once.join(took, list(KEYS)).select("doc", "taken_words", "taken_of")
+    whole = F.col("doc")[text_col]
+    text = F.when(F.col("taken_words") < F.col("taken_of"), F.array_join(F.slice(words(whole), 1, F.col("taken_words").cast("int")), " ")).otherwise(whole)
+    return out.select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = f"""

@@ -99,3 +99,14 @@ def test_a_third_of_all_rows_are_equal(spark):
     assert len(found) == 600 and sum(r.taken for r in found) == int(1.5 * (600 + 1200 + 100))
     assert all(r.taken <= 2 * r.size for r in found)
     assert sorted(map(tuple, mixing.queue(docs.repartition(3)).collect()), key=repr) == sorted(map(tuple, found), key=repr)
+
+
+def test_clashing_names(spark):
+    names = ("_text_key", "_row_key", "taken_words", "taken_of", "doc", "size", "finish_1")
+    rows = [(i, f"w{i} " * (i + 1), "ab"[i % 2], *names) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    plain = mixing.mixed_documents(docs.select("doc_id", "text", "source")).collect()
+    found = mixing.mixed_documents(docs)
+    assert found.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in found.collect()) == sorted((r["doc_id"], r["text"]) for r in plain)
+    assert all(tuple(r[3:]) == names for r in found.collect())
