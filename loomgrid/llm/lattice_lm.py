@@ -37,6 +37,8 @@ BLOCK_WORDS, BLOCK_TOKENS = 300_000, 4_000_000
 #: Temperatures whose likelihoods are compared, the one without training documents, the weight of all bytes together.
 TEMPERATURES, NEUTRAL, BYTES = (500.0, 1000.0, 2000.0, 4000.0, 8000.0, 16000.0), 4000.0, 0.01
 MARK = "▁"
+#: Characters of a word whose pieces are looked up at a time.
+WINDOW = 4096
 _P = np.uint64(0x100000001B3)
 _vocabularies: dict = {}
 
@@ -91,7 +93,10 @@ class Vocabulary:
 
         Shapes (L, K, n) and (L, n): entry [j, k] is the piece of k + 1 characters that ends with character j.
         """
-        code = np.array([list(map(ord, MARK + w)) for w in words], np.int64).T
+        return self.of_codes(np.stack([codes(MARK + w) for w in words], axis=1))
+
+    def of_codes(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``lattice`` of code points (L, n)."""
         size, n = code.shape
         reach = min(self.longest, size)
         out = np.full((size, reach, n), -1, np.int32)
@@ -102,6 +107,10 @@ class Vocabulary:
         return out, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
 def vocabulary(path: str) -> Vocabulary:
     if path not in _vocabularies:
         _vocabularies[path] = Vocabulary(path)
@@ -120,15 +129,28 @@ def edges(found: np.ndarray, size: np.ndarray, logp: np.ndarray) -> np.ndarray:
     return own
 
 
-def forward(weights: np.ndarray) -> np.ndarray:
+def forward(weights: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Log sums at every place, after those of the places ``before`` (the start alone, if none are given)."""
     size, reach, n = weights.shape
-    a = np.zeros((size + 1, n))
-    for j in range(1, size + 1):
+    before = np.zeros((1, n)) if before is None else before
+    a = np.concatenate([before, np.zeros((size, n))])
+    for j in range(len(before), len(a)):
         k = min(j, reach)
-        a[j] = _logsum(a[j - k : j][::-1] + weights[j - 1, :k])
+        a[j] = _logsum(a[j - k : j][::-1] + weights[j - len(before), :k])
     return a
 
 
+def long_word(vocab: Vocabulary, word: str, logps: list[np.ndarray]) -> list[float]:
+    """Log probabilities of one word, ``WINDOW`` characters at a time: of what is behind only the longest piece's places are kept."""
+    code, reach = codes(MARK + word)[:, None], vocab.longest
+    held: list = [None] * len(logps)
+    for at in range(0, len(code), WINDOW):
+        low = max(0, at - reach + 1)
+        found, sizes = (x[at - low :] for x in vocab.of_codes(code[low : at + WINDOW]))
+        held = [forward(edges(found, sizes, logp), h)[-reach:] for logp, h in zip(logps, held)]
+    return [float(h[-1, 0]) for h in held]
+
+
 def by_length(words: list[str], cells: int = 300_000) -> Iterator[np.ndarray]:
     """Positions of words of equal length, in groups of bounded size."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -222,6 +244,10 @@ def word_scores(vocab: Vocabulary, words: list[str], logps: list[np.ndarray]) ->
     """(len(logps), len(words)): log probability of every word under each set of weights."""
     out = np.empty((len(logps), len(words)))
     for group in by_length(words):
+        if len(group) and len(words[group[0]]) > WINDOW:
+            for i in group:
+                out[:, i] = long_word(vocab, words[i], logps)
+            continue
         found, sizes = vocab.lattice([words[i] for i in group])
         for t, logp in enumerate(logps):
             out[t, group] = forward(edges(found, sizes, logp))[-1]

@@ -197,3 +197,20 @@ def test_logistic_is_the_likeliest():
     slope, offset = compress_quality.logistic(x, y)
     loss = lambda a, b: -np.mean(y * -np.logaddexp(0, -(a * x + b)) + (1 - y) * -np.logaddexp(0, a * x + b))
     assert all(loss(slope, offset) <= loss(slope + a, offset + b) + 1e-5 for a, b in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)))
+
+
+def test_long_words_in_windows(monkeypatch):
+    import tracemalloc
+
+    vocab = lattice_lm.vocabulary(PATH)
+    logps = [vocab.weights(t, 0.1) for t in (0.5, 2.0)]
+    words = ["the" * 30 + "é" * 9 + "quality" * 20, "x" * 200, "ab" * 60]
+    whole = lattice_lm.word_scores(vocab, words, logps)
+    for window in (18, 40, 100):
+        monkeypatch.setattr(lattice_lm, "WINDOW", window)
+        assert np.allclose(lattice_lm.word_scores(vocab, words, logps), whole, rtol=1e-12)
+    monkeypatch.setattr(lattice_lm, "WINDOW", 4096)
+    tracemalloc.start()
+    lattice_lm.long_word(vocab, "word" * 25_000, logps[:1])
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
