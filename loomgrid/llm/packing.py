@@ -15,7 +15,8 @@ length, which is counted within (length, bucket) and shifted by the counts of th
 a third of all pieces share is dealt over ``BUCKETS`` tasks. No step sees all pieces in one place.
 
 Nulls: a null text is packed as an empty one (its end id alone). Null or repeated ids are packed like others.
-Columns other than the id and the text are ignored. An empty table gives an empty result.
+Columns other than the id and the text are ignored. An empty table gives an empty result. A text of any length is encoded
+as a whole by the task that reads it, and gives as many pieces as it needs.
 """
 
 from __future__ import annotations
