@@ -302,6 +302,7 @@ def test_stencil_over_many_tiles(spark, monkeypatch, boundary, shape, kernel):
 def test_jacobi_over_many_tiles(spark, monkeypatch, boundary):
     monkeypatch.setattr(stencil, "TILE", 6)
     monkeypatch.setattr(stencil, "DEEP", 2)
+    monkeypatch.setattr(stencil, "CUT", 50)
     grid, rhs = rand(20, 13), rand(20, 13)
     rhs -= rhs.mean()
     u, steps = grid, 0
