@@ -21,6 +21,7 @@ as a whole by the task that reads it, and gives as many pieces as it needs.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -39,7 +40,7 @@ BUCKETS, PER_BUCKET = 256, 1_000_000
 #: Words whose ids a Python worker remembers; beyond it, it starts anew. Memory only, never results.
 REMEMBERED = 1_200_000
 #: The first of them, which it keeps between tasks: words that are met early are frequent.
-KEPT = 200_000
+KEPT = 100_000
 #: Words that are encoded as one line.
 TOGETHER = 64
 
@@ -82,8 +83,11 @@ class WordIds:
             yield from (ids[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:]))
 
     def rest(self) -> None:
-        """Forget all but the first words, at the end of a task: the worker may idle beside others for long."""
+        """Forget all but the first words, at the end of a task, and give back the memory: the worker may idle beside others for long."""
         self.known = dict(islice(self.known.items(), KEPT))
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def word_ids(path: str) -> WordIds:
