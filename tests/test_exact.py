@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomgrid.functions import exact
+from loomgrid.plans import registry
 
 
 def nearest(values):
@@ -72,3 +73,9 @@ def test_order_does_not_matter_and_no_python(spark):
     plan = one._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     df.unpersist()
+
+
+@pytest.mark.parametrize("name", ["sum_kahan", "mean_kahan"])
+def test_the_large_values_do_not_hang_on_the_order_of_a_shuffle(spark, sf_dir, name):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Limit" not in plan and "Offset" not in plan
