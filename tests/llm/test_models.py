@@ -91,6 +91,36 @@ def test_scores_and_base(spark):
     assert lattice_lm.scored(docs.limit(0), F.lit(True), PATH).count() == 0
 
 
+def test_expected_pieces_equal_enumeration():
+    vocab = lattice_lm.vocabulary(PATH)
+    logp, words, plain = vocab.weights(3000.0, 0.0), ["the", "été", "日x", "of"], Counter()
+    weigh = lambda x: logp[x] if isinstance(x, int) else x[1] * (logp[-1] - math.log(256))
+    for w in words:
+        ways = segmentations(vocab, w)
+        p = [math.exp(sum(map(weigh, way))) for way in ways]
+        for way, q in zip(ways, p):
+            for x in way:
+                plain[x if isinstance(x, int) else len(logp) - 1] += (1 if isinstance(x, int) else x[1]) * q / sum(p)
+    found = lattice_lm.expected(vocab, words, logp)
+    assert np.allclose(found[list(plain)], list(plain.values())) and math.isclose(found.sum(), sum(plain.values()))
+
+
+def test_words_share_what_the_ends_leave(spark):
+    vocab = lattice_lm.vocabulary(PATH)
+    docs = spark.createDataFrame([(1, "the the cat", True), (2, "cat zq", True), (3, "cat", False), (4, "zqx", False)], "doc_id long, text string, train boolean")
+    found = {r.doc_id: 10**r.score / (2 / 7) for r in lattice_lm.scored(docs, F.col("train"), PATH).collect()}
+    counts = spark.createDataFrame([("the", 2), ("cat", 2), ("zq", 1)], "word string, n long")
+    logp = lattice_lm.learned(counts, PATH, lattice_lm.best_temperature(counts, PATH, 2 / 7))
+    assert math.isclose(np.exp(logp).sum(), 1)
+    cat, new = np.exp(lattice_lm.word_scores(vocab, ["cat", "zqx"], [logp])[0])
+    assert math.isclose(found[3], (2 - 0.75) / 7 + 0.75 * 3 / 7 * cat, rel_tol=1e-6) and math.isclose(found[4], 0.75 * 3 / 7 * new, rel_tol=1e-6)
+
+
+def test_held_out_scores_come_near_the_base(spark):
+    rows = queries()["op6_lattice_lm"](spark, "/root/testdata/sf0.01").where("held_out").collect()
+    assert all(math.isfinite(r.score) for r in rows) and sum(r.score for r in rows) > 1.4 * sum(r.base_score for r in rows)
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = queries()["op7_language"](spark, sf_dir).join(docs, "doc_id").where("held_out").collect()
