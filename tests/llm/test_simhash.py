@@ -163,3 +163,12 @@ def test_blocks_and_forest():
             return [root.index(x) for x in root]
 
         assert groups(pairs) == groups(zip(*map(list, np.nonzero(linked))))
+
+
+def test_no_side_that_grows_passes_through_the_driver(spark, monkeypatch):
+    plans, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k // 4 * 7 + j * (k % 4 + 1)) % 50}" for j in range(30))) for k in range(40)], "doc_id long, text string")
+    plans.append(simhash.near_duplicates(docs, 3)._jdf.queryExecution().executedPlan().toString())
+    simhash.similar_documents(docs)
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
