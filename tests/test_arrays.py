@@ -5,11 +5,13 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgrid.meta import Tensor, TensorError
 from loomgrid.operators import contraction, convolution, fourier, matrix, pipeline, reduction, stencil
 from loomgrid.plans.api import OPERATIONS, compute
 from loomgrid.session import shared_dir
+from loomgrid.sources import tiles
 from loomgrid.sources.layouts import dense, from_numpy, sparse, to_numpy
 
 RNG = np.random.default_rng(0)
@@ -449,3 +451,40 @@ def test_sparse_aware_chooses(spark, monkeypatch):
     thin = np.where(RNG.random(a.shape) < 0.7, 0, a)
     for x, y in ((a, b), (thin, b), (np.zeros_like(a), b), (a, np.zeros_like(b))):
         assert np.allclose(to_numpy(matrix.matmul_sparse_aware(from_numpy(spark, x), from_numpy(spark, y))), x @ y)
+
+
+@pytest.mark.parametrize("strategy", ["row", "column", "shuffle"])
+def test_many_products_join_no_cells(spark, strategy, monkeypatch):
+    monkeypatch.setattr(matrix, "MANY", 1000)
+    a, b = rand(30, 7), rand(7, 25)
+    made = matrix.matmul(from_numpy(spark, a), from_numpy(spark, b), strategy)
+    assert np.allclose(to_numpy(made), a @ b) and "Join" not in made.df._jdf.queryExecution().toString()
+
+
+def test_short_common_axes_make_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "GROUPS", 4)
+    a, b = rand(61, 3), rand(3, 58)
+    one, two = (tiles.from_cells(from_numpy(spark, x), 4) for x in (a, b))
+    made = tiles.product(one, two)
+    assert np.allclose(to_numpy(tiles.to_cells(made)), a @ b)
+    monkeypatch.undo()
+    assert tiles.together(118, 118, 1 << 19) == 16 and tiles.together(118, 118, 1 << 24) == 1 and tiles.together(2, 2, 8) == 1
+
+
+def test_bundles_hold_cells_in_any_order(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6, 50))
+    cells = [(k, int(at), float(x[k, at])) for k in range(6) for at in range(50) if at % 7]
+    rng.shuffle(cells)
+    df = spark.createDataFrame([(int(k), int(at), float(v)) for k, at, v in cells], "k long, at long, v double").repartition(3)
+    made = tiles.bundled(df, "k")
+    assert made.count() <= 18
+    for k in range(6):
+        found = tiles.unbundled(made.where(F.col("k") == k).toArrow(), 50)
+        assert np.array_equal(found, np.where(np.arange(50) % 7 > 0, x[k], 0))
+
+
+def test_a_batch_moves_few_bytes_a_cell(spark):
+    cells = spark.range(64 * 2000).select(F.floor(F.col("id") / 64).alias("i0"), F.floor(F.col("id") % 64 / 8).alias("i1"), (F.col("id") % 8).alias("i2"), (F.col("id") % 17).cast("double").alias("v"))
+    t = Tensor(cells, (2000, 8, 8))
+    assert matrix.batch_matmul(t, t).df._jdf.queryExecution().toString().count("MapInArrow") >= 2
