@@ -152,23 +152,27 @@ def find_anchors(rows: DataFrame) -> DataFrame:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of ``text`` (bytes; 0 ends a segment) by ``WINDOW`` symbols at least, by doubling; equal ones in any order.
+    """Order of the suffixes of ``text`` (bytes; 0 ends a segment) by ``WINDOW`` symbols at least, by ranks of ever longer prefixes; equal ones in any order.
 
     What lies beyond the end of a segment may decide between suffixes that are shorter than a window.
     """
     n = len(text)
     wide = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)[:n]
     key, step = np.ascontiguousarray(wide).view(">u8").reshape(-1).astype(np.uint64), 8
+    bits = n.bit_length()  # of a rank and of its successor; a key takes as many ranks as fit
     while True:
         order = np.argsort(key)
         own = key[order]
         rank = np.empty(n, np.uint64)
-        rank[order] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])]).astype(np.uint64)
-        if step >= WINDOW or rank[order[-1]] == n - 1:
+        rank[order[0]] = 1
+        rank[order[1:]] = np.cumsum(own[1:] != own[:-1]) + 1
+        if step >= WINDOW or rank[order[-1]] == n:
             return order
-        other = np.zeros(n, np.uint64)
-        other[:-step] = rank[step:] + np.uint64(1)
-        key, step = (rank << np.uint64(32)) | other, 2 * step
+        key = rank
+        for k in range(1, 64 // bits):
+            key = key << np.uint64(bits)
+            key[: max(0, n - k * step)] |= rank[k * step :]
+        step *= 64 // bits
 
 
 def transform(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,20 +200,24 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], lengths: np.n
     """
     sizes = np.cumsum([0, *(len(s) for s, _, _ in shards)])
     symbols = np.concatenate([s for s, _, _ in shards])
-    to_first = np.concatenate([f + np.int32(b) for (_, f, _), b in zip(shards, sizes)])
+    to_first = np.concatenate([f + b for (_, f, _), b in zip(shards, sizes)])
     common = np.zeros(len(symbols), np.int16)
     place = np.concatenate([o + b for (_, _, o), b in zip(shards, sizes)])
     at_end = np.concatenate([np.arange(n + 1) >= window for n in lengths]) if len(lengths) else np.zeros(0, bool)
-    now = np.nonzero(at_end[place])[0].astype(np.int32)
+    now = np.nonzero(at_end[place])[0]
     group = np.zeros(len(now), np.int32)
     for h in range(window // 2):
-        c = symbols[now]
+        c = symbols.take(now)
         order = np.argsort(c, kind="stable")
-        c, now, group = c[order], to_first[now[order]], group[order]
+        c, now, group = c.take(order), to_first.take(now.take(order)), group.take(order)
         new = np.ones(len(now) + 1, bool)
-        new[1:-1] = (c[1:] != c[:-1]) | (group[1:] != group[:-1])
-        stay = np.nonzero(~(new[:-1] & new[1:]))[0]
-        now, group = now[stay], np.cumsum(new[:-1], dtype=np.int32)[stay]
+        np.not_equal(c[1:], c[:-1], out=new[1:-1])
+        new[1:-1] |= group[1:] != group[:-1]
+        alone = new[:-1] & new[1:]
+        group = np.cumsum(new[:-1], dtype=np.int32)
+        if alone.any():
+            stay = np.nonzero(~alone)[0]
+            now, group = now.take(stay), group.take(stay)
         common[now] = 2 * h + 2
         if not len(now):
             break

@@ -95,6 +95,15 @@ def test_shards_are_in_suffix_order():
             assert order[to_first[rank]] == order[rank] - 2 and symbols[rank] == text[order[rank] - 2] << 8 | text[order[rank] - 1]
 
 
+def test_suffixes_are_sorted_three_times(monkeypatch):
+    rng, sorts, argsort = random.Random(8), [], np.argsort
+    text = "".join(rng.choices("abcd ", k=500)).encode() * 60
+    monkeypatch.setattr(b.np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    order = b.suffix_order(np.frombuffer(text + b"\0", np.uint8))
+    assert len(sorts) == 3
+    assert all(text[x : x + 100] <= text[y : y + 100] for x, y in zip(order, order[1:]))
+
+
 def test_repeated_rows_of_one_id(spark):
     t = "".join(random.Random(1).choices("abcdefgh ", k=300))
     rows = [(5, t, 0, "m"), (5, t, 0, "m"), (5, t + "tail", 0, "m"), (6, t, 0, "m")]
