@@ -131,3 +131,45 @@ def test_cleaned_keeps_the_other_columns(spark):
     rows = [(None, t, 7, "m"), (None, None, 8, "m"), (3, t + "é tail", 9, None), (3, "  ", 1, "m"), (3, t, 2, "z")]
     found = sorted(map(tuple, b.cleaned(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
     assert found in (sorted([(3, t, 2, "z"), (3, "é tail", 9, None)], key=repr), [(3, t + "é tail", 9, None)])
+
+
+@pytest.mark.parametrize("few,most", [(1024, 1024), (2, 5), (1, 1)])
+def test_anchors_that_are_dealt_in_many_batches(spark, monkeypatch, few, most):
+    for name, value in {"FEW": few, "MOST": most, "BATCH": 50, "GROUPS": 7, "BUCKET": 5000, "SHARD": 600}.items():
+        monkeypatch.setattr(b, name, value)
+    rows = corpus(3)
+    docs = spark.createDataFrame([(i, t, 0, "m") for i, t in rows], SCHEMA).repartition(3)
+    assert {r.doc_id: tuple(r) for r in b.spans(docs).collect()} == brute(rows)
+
+
+def test_entries_of_an_anchor_meet_once():
+    rng = np.random.default_rng(7)
+    entries = np.stack([rng.integers(0, 400, 5000), rng.integers(0, 9, 5000), rng.integers(-5, 5, 5000), np.full(5000, -1), rng.permutation(5000) * 128 + 3])
+    entries[1] += entries[0] * 100  # stretches of an anchor
+    entries[1, :2000], entries[0, :2000] = np.arange(2000) + 10**6, 17  # very many of one
+    want = {}
+    for a, s, *owner in entries.T.tolist():
+        want.setdefault(a, {}).setdefault(s, []).append(tuple(owner))
+    batches = [b.dealt(np.ascontiguousarray(x)) for x in np.array_split(entries, 4, axis=1)]
+    group, dealt = (np.concatenate(x, axis=-1) for x in zip(*batches))
+    assert np.array_equal(b.unbundled([b.bundle(dealt[:, :9]), b.bundle(dealt[:, 9:])]), dealt)
+    found = [x for g in np.unique(group) for x in zip(*(c.tolist() for c in b.met(dealt[:, group == g].copy())))]
+    later, hot = (sorted(tuple(x[1:4]) for x in found if x[4] == k) for k in (b.LATER, b.HOT))
+    crowded = {o for s in want[17].values() for o in s}
+    assert crowded == {*hot, *later} & crowded and {min(s) for s in want[17].values()} <= set(hot) <= crowded
+    assert [o for o in later if o not in crowded] == sorted(o for a, kinds in want.items() if a != 17 for s in kinds.values() for o in sorted(s)[1:])
+    firsts = [min(s) for a, kinds in want.items() if a != 17 and sum(map(len, kinds.values())) > 1 for s in kinds.values()]
+    assert sorted(tuple(x[1:4]) for x in found if x[4] == 0) == sorted(firsts)
+    assert np.bincount(group).max() < 600  # the many stretches of one anchor are no group
+
+
+def test_texts_are_shuffled_twice_and_anchors_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(b, "written", lambda df, name: written.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or _written(df, name))
+    from loomgrid.llm.common import written as _written
+
+    docs = spark.createDataFrame([(i, t, 0, "m") for i, t in corpus(4)], SCHEMA)
+    b.spans(docs).count()
+    assert [name for name, _ in written] == ["anchors", "repeats"]  # no table of all anchors, of windows or of verdicts
+    assert not any("Join" in plan for name, plan in written if name == "anchors")
+    assert sum(plan.count("Join ") for _, plan in written) == 1  # the texts with their stretches
