@@ -5,16 +5,17 @@ id, or earlier in the same row. Matches never cross rows.
 
 1. Anchors deal the text. Each window names its least ``GRAM``-byte gram by hash, leftmost of equals. Equal windows name
    equal grams at equal places, so windows can only repeat where an anchor does; about one position in 39 is one.
-   Anchors are counted, and those that occur once are dropped: no window of theirs repeats.
-2. Segments. An anchor's windows are one stretch of text. Equal stretches of an anchor (equal XXH64 of their bytes, besides
-   the 48-bit hash of their anchor) are one segment with its first owner and its number of owners.
-3. Transforms. Segments are dealt into buckets by anchor and cut into shards. Every shard gets its suffix order and
+   They are dealt in bundles to groups by their hash, once; no group takes more than ``FEW`` stretches of an anchor from a batch.
+2. Segments. An anchor's windows are one stretch of text. Of equal stretches of an anchor (equal XXH64 of their bytes, besides
+   the 48-bit hash of their anchor) all but the first repeat: that is decided by the group. An anchor's windows name it at
+   different places, so one stretch holds no window twice, and an anchor with a single different stretch is done with.
+3. Transforms. The different stretches of the other anchors, one owner each, are segments. They are dealt into buckets by
+   anchor and cut into shards. Every shard gets its suffix order and
    transform; the transforms of a bucket are merged by refining their interleave, two symbols in a round, and intervals that
    are down to one suffix leave, so that work is spent on what still repeats. What is left after ``WINDOW`` symbols are the
-   repeated intervals: all but the first owner of an interval repeat. An interval counts all owners of a segment, so every
-   repeat is decided here, also that of copies. The segments of an anchor with more than ``MOST`` of them are cut into their
-   single windows, which are dealt by their own hash, equal ones as one segment: a passage that very many rows share
-   with different surroundings fills no bucket, whatever their number.
+   repeated intervals: all but the first owner of an interval repeat. The segments of an anchor with more than ``MOST`` of them
+   are cut into their single windows, which are dealt by their own hash: a passage that very many rows share
+   with different surroundings fills no bucket. Of equal windows of a batch, compared byte by byte, one goes on.
 4. Spans. The repeats of a row are collected (they are bounded by its own length) and joined with its text.
 
 Nulls: a null text is empty. Null ids come after all others. Rows with equal id are ordered by a hash of their text; rows
@@ -44,7 +45,7 @@ LAST = (1 << 63) - 1
 #: Groups that anchors are dealt into and anchors that are dealt at once; different stretches of an anchor in these beyond which
 #: its windows are dealt one by one; kinds of entries.
 GROUPS, BATCH, FEW = 2048, 200_000, 256
-TWICE, HOT, LATER = 1, 2, 3
+HOT, LATER = 1, 2
 _UP = bytes((b + 1) % 256 for b in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -153,8 +154,7 @@ def _equals(sorted_: np.ndarray) -> np.ndarray:
 def dealt(entries: np.ndarray, groups: int = GROUPS, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
     """(group, entries) of the anchors of some texts: rows anchor, stretch, id, mark, at; the anchor gets its kind above it.
 
-    Of equal stretches the first is ``TWICE``, the others are ``LATER`` whatever other texts hold, and need no anchor more. An
-    anchor's entries are of one group, but for those that are decided and for those of an anchor with more than ``few``
+    Of equal stretches all but the first are ``LATER`` whatever other texts hold, and need no anchor more. An anchor's entries are of one group, but for those that are decided and for those of an anchor with more than ``few``
     different stretches here, of which one tells its group: no group grows with what very many texts share.
     """
     kind = np.zeros(entries.shape[1], np.int64)
@@ -162,7 +162,6 @@ def dealt(entries: np.ndarray, groups: int = GROUPS, few: int = FEW) -> tuple[np
     order = order[_equals(entries[1][order])]
     order = order[np.lexsort([*entries[4:1:-1, order], entries[1, order], entries[0, order]])]
     same = (entries[:2, order[1:]] == entries[:2, order[:-1]]).all(axis=0)
-    kind[order[:-1][same]] = TWICE
     kind[order[1:][same]] = LATER
     group = entries[0] % groups
     left = np.sort(entries[0][kind != LATER])
@@ -182,21 +181,22 @@ def met(entries: np.ndarray, most: int = MOST) -> tuple[np.ndarray, ...]:
     """(a, id, mark, at, kind) from all entries of some groups.
 
     Stretches with an earlier equal one are ``LATER``. The others are of kind 0, or ``HOT`` where their anchor has more than
-    ``most`` of them; those of an anchor that occurs once are left out.
+    ``most`` of them; the only one of an anchor is left out.
     """
     kind, entries[0] = entries[0] >> 48, entries[0] & ((1 << 48) - 1)
     passed, entries, kind = entries[:, kind == LATER], entries[:, kind != LATER], kind[kind != LATER]
     order = np.argsort(entries[0])
-    order = order[_equals(entries[0][order]) | (kind[order] > 0)]
+    order = order[_equals(entries[0][order]) | (kind[order] == HOT)]
     order = order[np.lexsort(entries[::-1, order])]
     entries, kind = entries[:, order], kind[order]
     anchor = np.append(True, entries[0, 1:] != entries[0, :-1])[: len(order)]
     first = anchor | np.append(True, entries[1, 1:] != entries[1, :-1])[: len(order)]
     of = np.cumsum(anchor) - 1
-    hot = (np.bincount(of, first) > most) | (np.bincount(of, kind == HOT) > 0)
-    kind = np.where(first, np.where(hot[of], HOT, 0), LATER)
-    out = [np.concatenate([entries[i], passed[i]]) for i in (0, 2, 3, 4)]
-    return *out, np.concatenate([kind, np.full(passed.shape[1], LATER)])
+    kinds, hot = np.bincount(of, first), np.bincount(of, kind == HOT) > 0
+    kind = np.where(first, np.where((hot | (kinds > most))[of], HOT, 0), LATER)
+    stay = ~first | (hot | (kinds > 1))[of]
+    out = [np.concatenate([entries[i, stay], passed[i]]) for i in (0, 2, 3, 4)]
+    return *out, np.concatenate([kind[stay], np.full(passed.shape[1], LATER)])
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
