@@ -488,3 +488,49 @@ def test_a_batch_moves_few_bytes_a_cell(spark):
     cells = spark.range(64 * 2000).select(F.floor(F.col("id") / 64).alias("i0"), F.floor(F.col("id") % 64 / 8).alias("i1"), (F.col("id") % 8).alias("i2"), (F.col("id") % 17).cast("double").alias("v"))
     t = Tensor(cells, (2000, 8, 8))
     assert matrix.batch_matmul(t, t).df._jdf.queryExecution().toString().count("MapInArrow") >= 2
+
+
+def test_rounded_as_in_sql():
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal(5000), rng.integers(-5000, 5000, 5000) / 128, rng.integers(-99, 99, 500) / 2e6, [0.0, -0.0, 1e300, -1e305, 7e9, np.inf, -np.inf, np.nan]])
+    want = [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6) + 0.0", [float(v)]).fetchone()[0] for v in x]
+    assert list(map(repr, tiles.rounded(x, 6)[1].tolist())) == list(map(repr, want))
+
+
+def test_rounded_cells_come_once_in_order_of_value(monkeypatch):
+    monkeypatch.setattr(tiles, "CELLS", 200)
+    monkeypatch.setattr(tiles, "PLACE", 11)
+    monkeypatch.setattr(tiles, "SHEET", 1 << 11)
+    x = rand(90, 70)
+    x[3, 5], x[60, 2] = np.inf, 1e12
+    pieces = [(i, j, x[i : i + 40, j : j + 30]) for i in range(0, 90, 40) for j in range(0, 70, 30)]
+    for digits in (0, 1, 6, None):
+        i, j, v = map(np.concatenate, zip(*tiles.cells_of(iter(pieces), digits), strict=True))
+        out = np.full(x.shape, np.nan)
+        out[i, j] = v
+        assert len(v) == x.size and np.allclose(out, x if digits is None else np.round(x, digits), rtol=0, atol=1e-9)
+        steps = (np.diff(v) < 0).sum()
+        # the part with the infinite cell comes as it is
+        assert steps < 150 if digits in (0, 1) else steps > 2000
+
+
+@pytest.mark.parametrize("how", ["row", "column", "shuffle", "block", "mixed", "gram"])
+def test_rounded_products_take_few_bytes(spark, tmp_path, how, monkeypatch):
+    monkeypatch.setattr(matrix, "MANY", 1000)
+    x = rand(1100, 6)
+    if how == "gram":
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        made = matrix.gram(df, "id", "v", digits=2)
+    else:
+        a, b = from_numpy(spark, x), from_numpy(spark, x.T)
+        made = (matrix.matmul_mixed_precision(a, b, digits=2) if how == "mixed" else matrix.matmul(a, b, how, digits=2)).df
+    made.coalesce(1).write.parquet(str(tmp_path / "out"))
+    table = spark.read.parquet(str(tmp_path / "out")).toArrow()
+    i, j, v = (c.to_numpy() for c in table.columns[:3])
+    out = np.full((1100, 1100), np.nan)
+    out[i, j] = v
+    y = x.astype(np.float16).astype(float) if how == "mixed" else x
+    assert table.num_rows == out.size and np.allclose(out, y @ y.T, rtol=0, atol=0.00501) and np.array_equal(np.round(v * 100) / 100, v)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3.5 * out.size
